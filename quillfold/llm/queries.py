@@ -7,10 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfold.llm import binpack, encode, mixing, split
+from quillfold.llm import binpack, encode, mixing, pairs, scans, spam, split
 from quillfold.sources.tables import table
 
 
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    rag = table(spark, folder, "rag_responses").select(F.lit("rag_responses").alias("rel"), F.col("request_id").alias("row_key"), "question", "answer", F.lit(False).alias("abstains"))
+    gold = table(spark, folder, "golden_set").select(F.lit("golden_set").alias("rel"), F.col("qid").alias("row_key"), "question", F.col("ground_truth").alias("answer"), (F.col("capability") == "negative").alias("abstains"))
+    return rag.unionByName(gold)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _pairs(spark, folder)
+    return pairs.faulty_pairs(rows, pairs.fit(rows.where("not coalesce(abstains, false)")))
+
+
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "vector_records").select("id", "content", "source", "file_type")
+    counts = scans.vocabulary(records)
+    scanned = records.where((F.col("file_type") == "pdf") | F.lower("source").endswith(".pdf")).where("id is not null")
+    return scans.repair_scans(scanned, counts)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder).select("id", F.explode("noise").alias("noise")).distinct()
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The repaired text and the noise of each record of a PDF source."""
+    return _repaired(spark, folder).groupBy("id").agg(F.max("repaired").alias("repaired"), F.max("noise").alias("noise"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     packed = binpack.fill_containers(binpack.request_items(table(spark, folder, "retrieved_sources"), table(spark, folder, "packed_contexts")))
     return packed.where("piece_no > 1").select(F.col("group_key").alias("request_id"), F.col("item").alias("source_index")).distinct()
@@ -48,7 +75,11 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_contexts, p6_found, p6_pieces, p7_ids, p8_uses, p8_shares)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_pages(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p3_repaired, p4_found, p4_contexts, p6_found, p6_pieces, p7_ids, p8_uses, p8_shares, p9_found)}
 
 SQL: dict[str, str] = {
     "p4_found": """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfold.llm import binpack, encode, mixing, pairs, scans, spam, split
+from quillfold.llm import binpack, encode, mixing, neighbours, pairs, scans, spam, split
 from quillfold.sources.tables import table
 
 
@@ -49,6 +49,21 @@ def p4_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select(F.col("group_key").alias("request_id"), F.col("item").alias("source_index"), "piece_no", "piece_start", "piece_size", F.col("container_no").alias("context_no"), F.col("used").alias("budget_used"))
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "vector_records").select("id", "embedding").unionByName(table(spark, folder, "embedded_documents").select("id", "embedding"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.close_pairs(_vectors(spark, folder), 0.9)
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest of every vector whose id, a hexadecimal number, is divisible by 20."""
+    # 16 leaves 1 when divided by 5, so the number's digits' sum tells about 5 and its last digit about 4.
+    ask = (F.conv(F.substring("id", -1, 1), 16, 10).cast("int") % 4 == 0) & (F.aggregate(F.transform(F.split("id", ""), lambda c: F.coalesce(F.conv(c, 16, 10).cast("int"), F.lit(0))), F.lit(0), lambda a, b: a + b) % 5 == 0)
+    return neighbours.neighbours(_vectors(spark, folder).withColumn("ask", ask), 5, cells=400, stop=9.0)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "vector_records").select("id", "content", "file_type")
     cut = split.split_oversized(records, table(spark, folder, "splitter_settings"))
@@ -79,7 +94,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p3_repaired, p4_found, p4_contexts, p6_found, p6_pieces, p7_ids, p8_uses, p8_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p3_repaired, p4_found, p4_contexts, p5_found, p5_neighbours, p6_found, p6_pieces, p7_ids, p8_uses, p8_shares, p9_found)}
 
 SQL: dict[str, str] = {
     "p4_found": """

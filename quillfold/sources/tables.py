@@ -5,12 +5,33 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.is_dir():
+        at = os.path.join(tempfile.mkdtemp(prefix="quillfold-code-"), "quillfold.zip")
+        with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+        spark.sparkContext.addPyFile(at)
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of the folder; columns are pruned by the plan that uses it."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillfold.llm.sketch import least_hashed
+
 
 SAMPLE_VECTORS = 20_000  # vectors that the centroids are fitted on
 PER_CELL = 200  # vectors a cell should hold; the number of centroids follows from it
@@ -108,7 +110,8 @@ def _sizes(total: int) -> int:
 
 def fit(vectors: DataFrame, total: int, width: int, sample: int = SAMPLE_VECTORS) -> MultiIndex:
     """Centroids from the ``sample`` vectors whose hashed id is least, at most 1,500 for a half."""
-    rows = vectors.select(F.xxhash64("id").alias("h"), "embedding").where(F.col("embedding").isNotNull()).orderBy("h").limit(sample).toPandas()
+    few = least_hashed(vectors.select("id", "embedding").where(F.col("embedding").isNotNull()), ["id"], sample)
+    rows = few.groupBy("id").agg(F.max("embedding").alias("embedding")).toPandas().sort_values("id")
     _, x = _unit(rows["embedding"], width)
     k = _sizes(total)
     if not len(x):

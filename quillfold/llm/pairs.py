@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillfold.llm.sketch import least_hashed
+
 DEFECTS = ("empty", "copied_question", "refusal", "other_language", "truncated")
 SAMPLE_PAIRS = 5000  # pairs the classifier is fitted on
 WIDTH = 1 << 16
@@ -348,8 +350,9 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: float = 2.0) -> float:
 
 def fit(pairs: DataFrame, sample_pairs: int = SAMPLE_PAIRS) -> PairModel:
     """Trains on the ``sample_pairs`` pairs (question, answer) whose hash is least, in any order of rows."""
-    rows = pairs.where("question is not null and answer is not null").select(F.xxhash64("question", "answer").alias("h"), "question", "answer").distinct().orderBy("h", "question", "answer").limit(sample_pairs).collect()
-    return train([(r.question, r.answer) for r in rows])
+    full = pairs.where("question is not null and answer is not null").select("question", "answer")
+    rows = least_hashed(full, ["question", "answer"], sample_pairs).distinct().collect()
+    return train(sorted((r.question, r.answer) for r in rows))
 
 
 def faulty_pairs(pairs: DataFrame, model: PairModel) -> DataFrame:

@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfold.llm import binpack, encode, mixing, neighbours, pairs, scans, spam, split
+from quillfold.llm import binpack, encode, mixing, neardup, neighbours, pairs, scans, spam, split
 from quillfold.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "vector_records").select(F.lit("vector_records").alias("rel"), F.lit("").alias("grp"), F.col("id").alias("key"), "content")
+    key = F.format_string("%s#%02d", "request_id", "source_index")
+    sources = table(spark, folder, "retrieved_sources").where("request_id is not null and source_index is not null").select(F.lit("retrieved_sources").alias("rel"), F.col("request_id").alias("grp"), key.alias("key"), "content")
+    return neardup.similar_pairs(records.unionByName(sources))
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     rag = table(spark, folder, "rag_responses").select(F.lit("rag_responses").alias("rel"), F.col("request_id").alias("row_key"), "question", "answer", F.lit(False).alias("abstains"))
     gold = table(spark, folder, "golden_set").select(F.lit("golden_set").alias("rel"), F.col("qid").alias("row_key"), "question", F.col("ground_truth").alias("answer"), (F.col("capability") == "negative").alias("abstains"))
@@ -94,7 +101,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p3_found, p3_repaired, p4_found, p4_contexts, p5_found, p5_neighbours, p6_found, p6_pieces, p7_ids, p8_uses, p8_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p4_contexts, p5_found, p5_neighbours, p6_found, p6_pieces, p7_ids, p8_uses, p8_shares, p9_found)}
 
 SQL: dict[str, str] = {
     "p4_found": """

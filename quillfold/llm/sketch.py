@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PARTS = 16
 
@@ -44,3 +45,13 @@ def hashed_counts(df: DataFrame, places: Callable[[pd.DataFrame], np.ndarray], s
     for r in df.mapInPandas(run, kind).groupBy("part").applyInPandas(add, kind).collect():
         out[r.part * step : (r.part + 1) * step] = np.frombuffer(zlib.decompress(r.counts), dtype=np.uint32)
     return out
+
+
+def least_hashed(df: DataFrame, key: list[str], n: int) -> DataFrame:
+    """The rows of ``df`` whose hashed key is among the ``n`` least distinct hashes.
+
+    Only hashes go to the driver to find the bound, no rows.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(*key))
+    last = hashed.select("__h").distinct().orderBy("__h").limit(n).agg(F.max("__h").alias("b")).first().b
+    return hashed.where(F.col("__h") <= F.lit(last if last is not None else 0)).drop("__h")

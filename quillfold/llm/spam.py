@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillfold.llm.sketch import least_hashed
+
 LABELS = ("prose", "link_list", "tag_list", "menu")
 PROSE, LINKS, TAGS, MENU = range(4)
 SAMPLE_PAGES = 3000  # pages the model is fitted on
@@ -169,8 +171,9 @@ def shares(model: LineModel, text: str) -> tuple[float, ...]:
 
 def fit(df: DataFrame, id_col: str, text_col: str, sample_pages: int = SAMPLE_PAGES) -> LineModel:
     """Trains on the ``sample_pages`` non-blank pages whose hashed id is least."""
-    rows = df.where(F.col(text_col).rlike(r"\S") & F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).orderBy("h", "t").limit(sample_pages)
-    return train([r.t for r in rows.collect()])
+    pages = df.where(F.col(text_col).rlike(r"\S") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    rows = least_hashed(pages, ["id"], sample_pages).groupBy("id").agg(F.max("t").alias("t")).collect()
+    return train([r.t for r in sorted(rows, key=lambda r: r.id)])
 
 
 def page_shares(df: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -62,7 +62,7 @@ def _bm25(docs: str, doc_id: str, body: str, asked: str, k: int) -> str:
         q AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('question')}) AS token FROM {asked}),
         s AS (SELECT query_id, p.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
               FROM q JOIN p USING (token) JOIN df USING (token) CROSS JOIN st GROUP BY ALL),
-        b AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= {k})"""
+        b AS (SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score > 0) WHERE rank <= {k})"""
 
 
 # ---------------------------------------------------------------- tables
@@ -112,7 +112,7 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query(f"SELECT doc_id, array_to_string({_TOKENS.format('text')}, ' ') AS tokens, coalesce(len({_TOKENS.format('text')}), -1) AS n_tokens FROM documents")
+@query(f"SELECT doc_id, array_to_string({_TOKENS.format('text')}, ' ') AS tokens, CAST(coalesce(len({_TOKENS.format('text')}), -1) AS INTEGER) AS n_tokens FROM documents")
 def tokenize_docs(spark: SparkSession, folder: str) -> DataFrame:
     t = documents(spark, folder).select("doc_id", text.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.array_join("t", " ").alias("tokens"), F.when(F.col("t").isNull(), -1).otherwise(F.size("t")).alias("n_tokens"))
@@ -161,8 +161,8 @@ def source_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
     WITH t AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, len(regexp_extract_all(t, '(?m)^(#{1,6}[ \\t]+.*?)[ \\t]*$', 1)) AS n_headings, array_to_string(list_transform(regexp_extract_all(t, '(?m)^(#{1,6}[ \\t]+.*?)[ \\t]*$', 1), lambda h: regexp_replace(h, '^#+[ \\t]+', '')), '|') AS titles,
-      len(regexp_extract_all(t, '(?ms)^```[^\\n]*\\n(.*?)^```[ \\t]*$', 1)) AS n_code FROM t""")
+    SELECT doc_id, CAST(len(regexp_extract_all(t, '(?m)^(#{1,6}[ \\t]+.*?)[ \\t]*$', 1)) AS INTEGER) AS n_headings, array_to_string(list_transform(regexp_extract_all(t, '(?m)^(#{1,6}[ \\t]+.*?)[ \\t]*$', 1), lambda h: regexp_replace(h, '^#+[ \\t]+', '')), '|') AS titles,
+      CAST(len(regexp_extract_all(t, '(?ms)^```[^\\n]*\\n(.*?)^```[ \\t]*$', 1)) AS INTEGER) AS n_code FROM t""")
 def markdown_outline(spark: SparkSession, folder: str) -> DataFrame:
     t = documents(spark, folder).where("text is not null").select("doc_id", F.regexp_replace("text", r"\r\n?", "\n").alias("t"))
     h = t.select("doc_id", markdown.headings(F.col("t")).alias("h"), markdown.code_blocks(F.col("t")).alias("c"))
@@ -220,7 +220,7 @@ def corpus_identity(spark: SparkSession, folder: str) -> DataFrame:
     return store.corpus_identity(table(spark, folder, "vector_records").select("id"))
 
 
-@query("SELECT embedding_model, CASE WHEN embedding IS NULL THEN NULL ELSE len(embedding) END AS dimension, count(*) AS n FROM vector_records GROUP BY ALL")
+@query("SELECT embedding_model, CAST(CASE WHEN embedding IS NULL THEN NULL ELSE len(embedding) END AS INTEGER) AS dimension, count(*) AS n FROM vector_records GROUP BY ALL")
 def embedding_profile(spark: SparkSession, folder: str) -> DataFrame:
     return embedding.embedding_profile(table(spark, folder, "vector_records"))
 
@@ -254,7 +254,7 @@ def _dense_sql(score: str) -> str:
     return f"""
     WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({score}, 6) AS score FROM e AS q CROSS JOIN e WHERE q.vec_id % 20 = 0)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) WHERE rank <= 10"""
 
 
 def _dense(spark: SparkSession, folder: str, metric: str) -> DataFrame:
@@ -297,11 +297,11 @@ _HYBRID = (
     f"""WITH a AS (SELECT id AS query_id, any_value(content) AS question, any_value(embedding) AS e FROM embedded_documents WHERE {_DIVISIBLE} GROUP BY id),
     rec AS {_RECORDS},
     ds AS (SELECT query_id, id, round(CASE WHEN list_dot_product(e, e) * list_dot_product(embedding, embedding) = 0 THEN 0 ELSE list_cosine_similarity(e, embedding) END, 6) AS score FROM a CROSS JOIN rec WHERE e IS NOT NULL AND embedding IS NOT NULL),
-    dn AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ds) WHERE rank <= 30),"""
+    dn AS (SELECT query_id, id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM ds) WHERE rank <= 30),"""
     + _bm25("rec", "id", "content", "a", 30)
     + """, u AS (SELECT query_id, 'dense' AS path, id, rank FROM dn UNION ALL SELECT query_id, 'sparse', id, rank FROM b),
     f AS (SELECT query_id, id, round(sum(CASE WHEN path = 'dense' THEN 0.2 ELSE 1.0 END / (60.0 + rank)), 6) AS score, min(path) AS representative, min(CASE WHEN path = 'dense' THEN rank END) AS dense_rank, min(CASE WHEN path = 'sparse' THEN rank END) AS sparse_rank FROM u GROUP BY ALL)
-    SELECT query_id, id, score, representative, dense_rank, sparse_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10"""
+    SELECT query_id, id, score, representative, dense_rank, sparse_rank, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f) WHERE rank <= 10"""
 )
 
 
@@ -322,7 +322,7 @@ _RERANK = f"""
     w AS (SELECT m.query_id, m.id, sum(qtf * (1 + ln(tf)) * (ln((n + 1.0) / (f + 1)) + 1)) AS w, count(*) AS shared FROM m JOIN f USING (query_id, token) JOIN n USING (query_id) GROUP BY ALL),
     s AS (SELECT c.query_id, c.id, dr, round(CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0.0 ELSE coalesce(w, 0) + 2.0 * coalesce(shared, 0) / greatest(len(qd), 1)
         + 0.25 * len(list_intersect(list_transform(range(1, len(qd)), lambda i: qd[i] || ' ' || qd[i + 1]), list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])))) + 1 / (1000.0 + dr) END, 6) AS score FROM c LEFT JOIN w USING (query_id, id))
-    SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr, id) AS rank FROM s) WHERE rank <= 5"""
+    SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dr, id) AS INTEGER) AS rank FROM s) WHERE rank <= 5"""
 
 
 @query(_RERANK)
@@ -382,7 +382,7 @@ _GATE = f"""
     WITH f AS (SELECT s.request_id AS query_id, lower(s.retrieval_mode) AS m, s.score FROM {_SOURCES} s JOIN (SELECT request_id, min(source_index) AS source_index FROM {_SOURCES} GROUP BY 1) USING (request_id, source_index)),
     g AS (SELECT query_id, score, m IS NULL AND score IS NULL AS none_, CASE WHEN m IS NULL AND score IS NULL THEN NULL WHEN m = 'bm25' THEN 'bm25' WHEN m IN ('hybrid', 'hybrid_rrf', 'rrf') THEN 'rrf' ELSE 'dense_cosine' END AS space FROM f),
     h AS (SELECT query_id, score, space, none_, CASE WHEN none_ THEN 'retrieval_returned_no_candidates' WHEN space <> 'dense_cosine' THEN 'unsupported_score_space:' || space WHEN score IS NULL THEN 'usable_score_missing' WHEN score < 0.63 THEN 'score_below_threshold' ELSE 'score_meets_threshold' END AS reason FROM g),
-    d AS (SELECT query_id, CASE WHEN none_ THEN 'no_candidates' WHEN reason = 'score_below_threshold' THEN 'rejected' WHEN reason = 'score_meets_threshold' THEN 'accepted' ELSE 'skipped' END AS action, reason, space AS score_space, score AS gate_score, CASE WHEN space = 'dense_cosine' THEN 0.63 END AS threshold FROM h)"""
+    d AS (SELECT query_id, CASE WHEN none_ THEN 'no_candidates' WHEN reason = 'score_below_threshold' THEN 'rejected' WHEN reason = 'score_meets_threshold' THEN 'accepted' ELSE 'skipped' END AS action, reason, space AS score_space, score AS gate_score, CASE WHEN space = 'dense_cosine' THEN CAST(0.63 AS DOUBLE) END AS threshold FROM h)"""
 
 
 @query(_GATE + " SELECT * FROM d")
@@ -404,7 +404,7 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
     WITH s AS (SELECT request_id, source_index, {_QUESTION.format('content')} AS c FROM {_SOURCES} WHERE content IS NOT NULL)
-    SELECT request_id, source_index, CASE WHEN length(c) = 0 THEN 0 WHEN length(c) <= 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(c) - 3), lambda i: substring(c, i, 5)))) END AS n_shingles FROM s""")
+    SELECT request_id, source_index, CAST(CASE WHEN length(c) = 0 THEN 0 WHEN length(c) <= 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(c) - 3), lambda i: substring(c, i, 5)))) END AS INTEGER) AS n_shingles FROM s""")
 def shingle_counts(spark: SparkSession, folder: str) -> DataFrame:
     s = sources(spark, folder).where("content is not null").select("request_id", "source_index", text.normalize_question(F.col("content")).alias("c"))
     return s.select("request_id", "source_index", F.size(context.shingles(F.col("c"))).alias("n_shingles"))
@@ -457,7 +457,7 @@ def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.summary(evaluation.cases(golden(spark, folder), _run(spark, folder), (1, 3, 5)))
 
 
-@query(_CASES + " SELECT qid, k, n_relevant, n_retrieved, n_matched, first_rank FROM e WHERE (n_relevant > 0 AND recall < 1) OR (n_relevant = 0 AND n_retrieved > 0)")
+@query(_CASES + " SELECT qid, k, n_relevant, CAST(n_retrieved AS INTEGER) AS n_retrieved, CAST(n_matched AS INTEGER) AS n_matched, first_rank FROM e WHERE (n_relevant > 0 AND recall < 1) OR (n_relevant = 0 AND n_retrieved > 0)")
 def low_recall_cases(spark: SparkSession, folder: str) -> DataFrame:
     low = evaluation.low_recall(evaluation.cases(golden(spark, folder), _run(spark, folder), (1, 3, 5)))
     return low.select("qid", "k", "n_relevant", "n_retrieved", "n_matched", "first_rank")

@@ -284,6 +284,8 @@ class PairModel:
         over = self.scores(question, answer) - self.thresholds
         if barred:
             over[DEFECTS.index(barred)] = -1.0
+        if max(over[DEFECTS.index("refusal")], over[DEFECTS.index("copied_question")]) > 0:
+            over[DEFECTS.index("truncated")] = -1.0  # these often come without a full stop
         k = int(over.argmax())
         return DEFECTS[k] if over[k] > 0 else None
 

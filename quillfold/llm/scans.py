@@ -34,6 +34,8 @@ BROKEN = re.compile(rf"({LETTER}[^\s]*?|{LETTER})[{HYPHENS}][ \t]*$")
 LEADING = re.compile(rf"^[ \t]*([^\s]*{LETTER}[^\s]*)")
 ROMAN = r"(?=[ivxlc])c{0,3}(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})"
 PAGE = re.compile(rf"^[\W_]*(?:p[a-z@0]{{0,3}}[.:]?\s*|seite\s*|página\s*|第\s*)?(\d{{1,4}}|{ROMAN})(?:\s*(?:of|von|de|sur|/)\s*\d{{1,4}})?[\W_页]*$", re.I)
+IN_TAIL = re.compile(rf"(?:^|\s)(\d{{1,4}}|{ROMAN})(?:\s*(?:of|von|de|sur|/)\s*\d{{1,4}})?\W*$", re.I)
+IN_HEAD = re.compile(rf"^\W*(?:p\w{{0,3}}\.?\s*)?(\d{{1,4}}|{ROMAN})(?=\W)", re.I)
 BARE = re.compile(rf"^\s*(?:\d{{1,4}}|{ROMAN})\s*$", re.I)
 ENTRY = re.compile(r"(?:[-*•]|\d+[.)])\s")
 RAW = re.compile(r"[^\s,;:()\[\]{}\"“”„«»<>|/]+")
@@ -101,7 +103,7 @@ class Vocabulary:
         if odd and sum(c.isalpha() for c in word) < 2:
             return None
         own = 0 if odd else self.count(word)
-        best, most = None, max(20, 40 * own)
+        best, most = None, max(20, 40 * own) if len(word) > 3 else max(200, 400 * own)
         tried = set()
         for read, meant in CONFUSED:
             at = word.find(read)
@@ -128,13 +130,23 @@ def _line_key(line: str) -> str:
     return re.sub(r"[^a-zà-ÿ一-鿿]+", " ", "".join(SIGNS.get(c, c) for c in line.lower())).strip()
 
 
-def header_lines(lines: list[str]) -> set[int]:
-    """Short lines, not ends of sentences, that come back nearly the same with text between."""
+def _like_title(bare: str) -> bool:
+    """Begins with a capital (or a script without them), and half its words do or it is all capitals."""
+    first = next((c for c in bare if c.isalpha()), "")
+    if not first or first.islower() or "," in bare or ". " in re.sub(r"\b(?:Rev|No|Vol|[Pp])\. ", "", bare):
+        return False
+    words = [w for w in re.findall(r"[^\W\d_][\w@!‡-]*", bare) if len(w) > 1]
+    return 2 * sum(not w[0].islower() for w in words) >= len(words)
+
+
+def header_lines(lines: list[str]) -> tuple[set[int], bool]:
+    """Lines like titles that come back nearly the same with text between, and whether a page
+    number stands in them: a last or first number that isn't the same throughout."""
     groups: list[tuple[str, set[str], list[int]]] = []
     for k, line in enumerate(lines):
         bare = line.strip()
         key = _line_key(bare)
-        if not 5 <= len(key) <= 70 or bare[-1:] in ".,;:。，；" or bare[:1] in "#|`-*" or "(" in bare or PAGE.match(bare):
+        if not 5 <= len(key) <= 70 or bare[-1:] in ".,;:。，；" or bare[:1] in "#|`-*" or "(" in bare or PAGE.match(bare) or not _like_title(bare):
             continue
         parts = {key[j : j + 3] for j in range(len(key) - 2)}
         for first, of_first, at in groups:
@@ -144,11 +156,15 @@ def header_lines(lines: list[str]) -> set[int]:
         else:
             groups.append((key, parts, [k]))
     found: set[int] = set()
+    numbered = False
     for _, _, at in groups:
         text = [k for k in range(at[0], at[-1]) if k not in at and len(lines[k].strip()) > 20] if len(at) > 1 else []
         if len(at) > 1 and text and all(b - a > 1 for a, b in zip(at, at[1:])):
             found |= set(at)
-    return found
+            for place in (IN_TAIL, IN_HEAD):
+                numbers = [m.group(1) if (m := place.search(lines[k].strip())) else None for k in at]
+                numbered |= None not in numbers and len(set(numbers)) > 1
+    return found, numbered
 
 
 def _number(text: str) -> int:
@@ -163,7 +179,7 @@ def page_lines(lines: list[str]) -> set[int]:
     dressed, bare = [], []
     for place, k in enumerate(full):
         m = PAGE.match(lines[k])
-        if not m or len(lines[k].strip()) > 24:
+        if not m or len(lines[k].strip()) > 24 or lines[k].rstrip()[-1:] in ".,;:)%":
             continue
         if not BARE.match(lines[k]):
             dressed.append(k)
@@ -183,10 +199,10 @@ def repair(text: str, known: Vocabulary) -> tuple[str, list[str]]:
     """The text in continuous paragraphs, and the kinds of noise that it had."""
     noise: set[str] = set()
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    heads, pages = header_lines(lines), page_lines(lines)
+    (heads, numbered), pages = header_lines(lines), page_lines(lines)
     if heads:
         noise.add("header")
-    if pages:
+    if pages or numbered:
         noise.add("page_number")
     for k in heads:
         for token in RAW.findall(lines[k]):
@@ -238,6 +254,8 @@ CODE = re.compile(r"^[A-Z]{2,}-?\d|^\d+[A-Za-z]?$|^[A-Za-z]{1,3}\d+(?:\.\d+)*$|:
 def _misread(token: str, known: Vocabulary) -> str | None:
     """The right form of a token as it stands in a text, or None."""
     core = token.strip(".'’?-…*_~`")
+    if token[-1] in HYPHENS:
+        return None  # half a word
     if core[-1:] == "!" and known.count(core[:-1].lower()) > 5:
         return None
     if len(core) < 3 or CODE.search(core) or sum(c.isalpha() for c in core) < (2 if core.isalpha() else 3) or "一" <= core[0] <= "鿿":

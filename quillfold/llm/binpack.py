@@ -14,9 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PART = 4000  # items of a group that are packed together; a larger group is packed in parts
 CJK = "[\\u4e00-\\u9fff]"
 
 
@@ -96,18 +97,29 @@ def fill_containers(items: DataFrame, segments: int | None = None, loss_limit: i
     may be cut for it. A null size leaves the item out; a null or non-positive capacity gives
     null container and used. Repeated rows of an item count once; if they differ, the largest
     counts. Items of no size take a place in a container. An empty table gives no rows.
+    A group of more than ``PART`` items is dealt to parts by hash, each packed in a task of its own
+    with containers of its own, so that a part may leave one container partly filled.
     """
     distinct = items.where(F.col("size").isNotNull() & F.col("group_key").isNotNull() & F.col("item").isNotNull()).groupBy("group_key", "item").agg(F.max("size").alias("size"), F.max("loss").alias("loss"), F.max("capacity").alias("capacity"))
-    groups = distinct.groupBy("group_key").agg(F.sort_array(F.collect_list(F.struct("item", F.col("size").cast("int").alias("size"), F.coalesce(F.col("loss"), F.col("size")).cast("int").alias("loss")))).alias("items"), F.max("capacity").cast("int").alias("capacity"))
+    large = distinct.groupBy("group_key").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    dealt = distinct.join(large, "group_key", "left").withColumn("part", F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / PART)).cast("int")))
+    groups = dealt.groupBy("group_key", "part").agg(F.sort_array(F.collect_list(F.struct("item", F.col("size").cast("int").alias("size"), F.coalesce(F.col("loss"), F.col("size")).cast("int").alias("loss")))).alias("items"), F.max("capacity").cast("int").alias("capacity"))
     kind = items.schema["item"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(g, *r) for g, rows, c in zip(pdf["group_key"], pdf["items"], pdf["capacity"]) for r in _pack_rows(rows, None if pd.isna(c) else int(c), segments, loss_limit)]
-            yield pd.DataFrame(out, columns=["group_key", "item", "piece_no", "piece_start", "piece_size", "container_no", "used"]).astype({"container_no": "Int32", "used": "Int32"})
-
-    packed = groups.mapInPandas(run, f"group_key string, item {kind}, piece_no int, piece_start int, piece_size int, container_no int, used int")
-    return packed
+            out = [(g, int(n), *r) for g, n, rows, c in zip(pdf["group_key"], pdf["part"], pdf["items"], pdf["capacity"]) for r in _pack_rows(rows, None if pd.isna(c) else int(c), segments, loss_limit)]
+            yield pd.DataFrame(out, columns=["group_key", "part", "item", "piece_no", "piece_start", "piece_size", "container_no", "used"]).astype({"container_no": "Int32", "used": "Int32"})
+
+    schema = f"group_key string, part int, item {kind}, piece_no int, piece_start int, piece_size int, container_no int, used int"
+    whole = groups.where("part < 0").mapInPandas(run, schema).drop("part")
+    packed = groups.where("part >= 0").mapInPandas(run, schema)
+    # The parts of a large group number their containers one after another.
+    most = packed.groupBy("group_key", "part").agg(F.max("container_no").alias("m"))
+    before = Window.partitionBy("group_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = most.select("group_key", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).cast("int").alias("shift"))
+    shifted = packed.join(shift, ["group_key", "part"]).withColumn("container_no", F.col("container_no") + F.col("shift")).drop("part", "shift")
+    return whole.unionByName(shifted)
 
 
 def request_items(sources: DataFrame, contexts: DataFrame) -> DataFrame:

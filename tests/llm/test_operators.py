@@ -167,6 +167,18 @@ def test_containers(spark):
     assert binpack.fill_containers(df.limit(0)).count() == 0
 
 
+def test_a_large_group_is_packed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(binpack, "PART", 20)
+    df = spark.createDataFrame([("g", k, 1 + k % 7, 1 + k % 7, 10) for k in range(100)] + [("h", 1, 3, 3, 10)], "group_key string, item int, size int, loss int, capacity int")
+    got = binpack.fill_containers(df).collect()
+    used = {}
+    for r in got:
+        used[r.group_key, r.container_no] = used.get((r.group_key, r.container_no), 0) + r.piece_size
+    assert len(got) == 101 and max(used.values()) <= 10
+    numbers = sorted(c for g, c in used if g == "g")
+    assert numbers == list(range(1, len(numbers) + 1)) and len(numbers) <= sum(1 + k % 7 for k in range(100)) / 10 + 8
+
+
 def test_packing_is_close_to_the_lower_bound():
     rng = np.random.default_rng(2)
     for _ in range(40):

@@ -78,6 +78,23 @@ def shingles(c: Column, n: int = 5) -> Column:
     return F.when(size == 0, F.array().cast("array<string>")).when(size <= n, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(c, i, F.lit(n)))))
 
 
+def near_duplicates(sources: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, a, b, jaccard): pairs of a query's sources, a before b, whose shingles are that similar.
+
+    ``sources`` has (query_id, source_index, content) once each. Null contents take no part; two
+    empty ones are alike, an empty and another aren't. Pairs whose sizes rule them out are dropped before the sets are
+    compared. A query has at most some dozens of sources; for a whole corpus use another operator.
+    """
+    s = sources.where("content is not null").select("query_id", "source_index", F.lower("content").alias("c")).withColumn("c", F.trim(F.regexp_replace("c", r"\s+", " ")))
+    s = s.select("query_id", "source_index", shingles(F.col("c")).alias("g")).withColumn("n", F.size("g"))
+    x = s.select("query_id", F.col("source_index").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"))
+    y = s.select("query_id", F.col("source_index").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"))
+    fit = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    p = x.join(y, "query_id").where(fit).withColumn("both", F.size(F.array_intersect("ga", "gb")))
+    jaccard = F.when((F.col("na") == 0) & (F.col("nb") == 0), 1.0).otherwise(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
+    return p.select("query_id", "a", "b", F.round(jaccard, 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
 @dataclass(frozen=True)
 class Packing:
     limit_column: str = "budget_limit"

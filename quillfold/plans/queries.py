@@ -195,7 +195,10 @@ def parent_child_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.parent_child(documents(spark, folder), "doc_id", "text")[1]
 
 
-@query()
+@query(f"""
+    WITH r AS (SELECT id, arg_max({{'c': content, 's': source, 'k': chunk_index, 'a': start_char, 'e': end_char}}, ingest_sequence) AS r FROM vector_records WHERE id IS NOT NULL GROUP BY id)
+    SELECT id, sha256('{{"content": ' || CAST(to_json(coalesce(r.c, '')) AS VARCHAR) || ', "metadata": {{' || array_to_string(list_filter([CASE WHEN r.k IS NOT NULL THEN '"chunk_index": ' || r.k END, CASE WHEN r.e IS NOT NULL THEN '"end_char": ' || r.e END,
+      CASE WHEN r.s IS NOT NULL THEN '"source": ' || CAST(to_json(replace(r.s, chr(92), '/')) AS VARCHAR) END, CASE WHEN r.a IS NOT NULL THEN '"start_char": ' || r.a END], lambda x: x IS NOT NULL), ', ') || '}}}}') AS record_id FROM r""")
 def record_ids(spark: SparkSession, folder: str) -> DataFrame:
     r = records(spark, folder, "content", "source", "chunk_index", "start_char", "end_char")
     return r.select("id", chunking.record_id(F.col("content"), [(c, F.col(c)) for c in ("source", "chunk_index", "start_char", "end_char")]).alias("record_id"))
@@ -213,6 +216,13 @@ def delete_records(spark: SparkSession, folder: str) -> DataFrame:
     return store.delete(records(spark, folder), gone).select("id", "ingest_sequence")
 
 
+@query("SELECT id, ingest_sequence FROM vector_records ORDER BY coalesce(ingest_sequence, 9223372036854775807), coalesce(source, ''), coalesce(chunk_index, 9223372036854775807), coalesce(start_char, 9223372036854775807), coalesce(end_char, 9223372036854775807), id LIMIT 100")
+def list_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 100 records in the order of the index; the limit is the operator's."""
+    v = table(spark, folder, "vector_records").select("id", "ingest_sequence", "source", "chunk_index", "start_char", "end_char")
+    return v.orderBy(*chunking.record_order()).limit(100).select("id", "ingest_sequence")
+
+
 @query("""
     WITH i AS (SELECT DISTINCT id AS k FROM vector_records WHERE id IS NOT NULL), b AS (SELECT left(sha256(k), 3) AS b, sha256(string_agg(k, chr(0) ORDER BY k)) AS d, count(*) AS n FROM i GROUP BY 1)
     SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n, sha256(coalesce(string_agg(d, chr(0) ORDER BY b), '')) AS identity FROM b""")
@@ -283,6 +293,21 @@ def vector_norms(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("length"), F.round(F.aggregate(vectors.normalize(F.col("embedding")), F.lit(0.0), lambda a, b: a + b), 6).alias("unit_sum"))
 
 
+_VARIANTS = f"(SELECT qid || '#0' AS query_id, question FROM {_GOLDEN} UNION ALL SELECT qid || '#1', ground_truth FROM (SELECT qid, min(ground_truth) AS ground_truth FROM golden_set GROUP BY qid) WHERE ground_truth IS NOT NULL)"
+
+
+@query("WITH" + _bm25("documents", "doc_id", "text", _VARIANTS, 20) + """,
+    f AS (SELECT split_part(query_id, '#', 1) AS query_id, id, round(sum(CASE WHEN suffix(query_id, '#0') THEN 1.0 ELSE 0.7 END / (60.0 + rank)), 6) AS score FROM b GROUP BY 1, 2)
+    SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f) WHERE rank <= 10""")
+def multi_query_rrf(spark: SparkSession, folder: str) -> DataFrame:
+    """A question and its reference answer as two variants, fused."""
+    truth = table(spark, folder, "golden_set").groupBy("qid").agg(F.min("ground_truth").alias("question")).where("question is not null")
+    asked = golden(spark, folder).select(F.concat("qid", F.lit("#0")).alias("query_id"), "question").unionByName(truth.select(F.concat("qid", F.lit("#1")).alias("query_id"), "question"))
+    ranked = lexical.bm25_topk(asked, documents(spark, folder), 20, id_col="doc_id")
+    part = F.split("query_id", "#")
+    return fusion.multi_query(ranked.select(part[0].alias("query_id"), part[1].cast("int").alias("variant_no"), "id", "rank"), 10)
+
+
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embedded_documents").where(divisible_by_20())
     return e.groupBy("id").agg(F.first("content").alias("question"), F.first("embedding").alias("embedding")).withColumnRenamed("id", "query_id")
@@ -410,6 +435,20 @@ def shingle_counts(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("request_id", "source_index", F.size(context.shingles(F.col("c"))).alias("n_shingles"))
 
 
+_SHINGLES = "CASE WHEN length(c) = 0 THEN [] WHEN length(c) <= 5 THEN [c] ELSE list_distinct(list_transform(range(1, length(c) - 3), lambda i: substring(c, i, 5))) END"
+
+
+@query(f"""
+    WITH s AS (SELECT request_id, source_index, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) AS c FROM {_SOURCES} WHERE content IS NOT NULL),
+    g AS (SELECT request_id, source_index, {_SHINGLES} AS g FROM s),
+    p AS (SELECT x.request_id AS query_id, x.source_index AS a, y.source_index AS b, len(x.g) AS na, len(y.g) AS nb, len(list_intersect(x.g, y.g)) AS shared FROM g x JOIN g y ON x.request_id = y.request_id AND x.source_index < y.source_index),
+    j AS (SELECT query_id, a, b, round(CASE WHEN na = 0 AND nb = 0 THEN 1.0 ELSE shared / (na + nb - shared) END, 6) AS jaccard FROM p)
+    SELECT * FROM j WHERE jaccard >= 0.8""")
+def near_dup_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    s = sources(spark, folder).select(F.col("request_id").alias("query_id"), "source_index", "content")
+    return context.near_duplicates(s, 0.8)
+
+
 @query()
 def context_pack(spark: SparkSession, folder: str) -> DataFrame:
     return context.pack_contexts(table(spark, folder, "retrieved_sources"), table(spark, folder, "packed_contexts"))
@@ -479,9 +518,30 @@ def compare_runs(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.compare(s.where("retrieval_mode = 'dense'"), after, "route")
 
 
+@query(f"""
+    WITH v AS (SELECT request_id AS qid, retrieval_mode AS metric, score AS value FROM {_SOURCES} WHERE score IS NOT NULL AND retrieval_mode IS NOT NULL),
+    c AS (SELECT qid, metric, round(avg(value), 6) AS mean, round(median(value), 6) AS med, round(mad(value), 6) AS mad FROM v GROUP BY ALL),
+    g AS (SELECT metric, round(avg(mean), 6) AS mean, min(med) AS lowest_median, max(mad) AS largest_mad, CAST(sum(CASE WHEN metric = 'dense' AND med < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS failures FROM c GROUP BY metric)
+    SELECT *, CASE WHEN metric = 'dense' THEN failures = 0 AND largest_mad * 3 <= 0.1 ELSE TRUE END AS passed FROM g""")
+def verdict_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of retrieval as if they were verdicts, with one metric gated."""
+    v = sources(spark, folder).where("score is not null and retrieval_mode is not null").select(F.col("request_id").alias("qid"), F.col("retrieval_mode").alias("metric"), F.col("score").alias("value"))
+    return evaluation.verdict_gate(v, {"dense": 0.5}, {"dense": 0.1})
+
+
 # ---------------------------------------------------------------- observation
 
 
+@query(f"""
+    WITH l AS {_LOG}, h AS (SELECT route, count(*) AS n FROM l WHERE cache_outcome = 'hit' GROUP BY 1), m AS (SELECT route, count(*) AS n FROM l WHERE cache_outcome = 'miss' GROUP BY 1)
+    SELECT route, coalesce(h.n, 0) - coalesce(m.n, 0) AS delta FROM h FULL JOIN m USING (route)""")
+def counter_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """Cache misses against hits by route."""
+    by = log(spark, folder).groupBy("route", "cache_outcome").agg(F.count("*").alias("n"))
+    return observe.delta(by.where("cache_outcome = 'miss'"), by.where("cache_outcome = 'hit'"), "route")
+
+
+
 @query(f"SELECT route, count(*) AS n, round(min(latency_ms), 3) AS min_ms, round(avg(latency_ms), 3) AS mean_ms, round(quantile_disc(latency_ms, 0.5), 3) AS p50_ms, round(quantile_disc(latency_ms, 0.95), 3) AS p95_ms, round(CASE WHEN count(*) >= 1000 THEN quantile_disc(latency_ms, 0.99) END, 3) AS p99_ms, round(max(latency_ms), 3) AS max_ms FROM {_LOG} WHERE latency_ms IS NOT NULL GROUP BY route")
 def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
     return observe.latency_summary(log(spark, folder), ["route"])

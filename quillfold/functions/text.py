@@ -33,7 +33,9 @@ ABSTENTIONS = ("not provided in the knowledge base", "knowledge base does not co
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Without white space at both ends. A run is tried once, from its start: texts padded by
+    thousands of spaces would take quadratic time otherwise."""
+    return F.regexp_replace(c, f"^{WS}++|(?<!{WS}){WS}++$", "")
 
 
 def clean_text(c: Column) -> Column:

@@ -73,9 +73,12 @@ def exact_dedup(sources: DataFrame, key: list[str]) -> DataFrame:
 
 
 def shingles(c: Column, n: int = 5) -> Column:
-    """Distinct runs of ``n`` characters of a text that is lower-cased and single-spaced already; a shorter text is its own shingle."""
+    """Hashes of the distinct runs of ``n`` characters of a text that is lower-cased and single-spaced
+    already; a shorter text is its own shingle. Spark's array functions use hash sets for numbers only,
+    and compare strings one by one with all others, hence the hashes; ``substring`` walks from the
+    start of a text each time, hence one pass of a pattern that takes a character and looks at the run."""
     size = F.char_length(c)
-    return F.when(size == 0, F.array().cast("array<string>")).when(size <= n, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(c, i, F.lit(n)))))
+    return F.when(size == 0, F.array().cast("array<bigint>")).when(size <= n, F.array(F.xxhash64(c))).otherwise(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1)), lambda g: F.xxhash64(g))))
 
 
 def near_duplicates(sources: DataFrame, threshold: float) -> DataFrame:

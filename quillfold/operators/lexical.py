@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions.text import tokens
+from quillfold.sources.tables import stored
 
 LONG_TERM = 200_000  # postings of a term from which its part of a join is salted
 
@@ -45,10 +46,11 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id"
     (query_id, id) restricts what a query may see before ranking. The query side of the join
     on terms is what is distinct there, and the plan is a join on (token) with partial sums.
     """
-    # Tokenize once: postings and lengths come from one pass.
-    post = postings(docs, id_col, text_col)
+    # Tokenized once: frequencies, lengths and hits are read from the written postings.
+    post = stored(postings(docs, id_col, text_col), "postings")
     terms = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("token"))
-    stats = corpus_stats(docs, id_col, text_col)
+    size = docs.where(F.col(id_col).isNotNull()).agg(F.count("*").alias("n"))
+    stats = size.crossJoin(F.broadcast(post.agg(F.sum("tf").alias("t")))).select("n", (F.coalesce("t", F.lit(0)) / F.col("n")).alias("avgdl"))
     idf = document_frequency(post).join(terms.select("token").distinct(), "token", "left_semi").crossJoin(F.broadcast(stats)).select("token", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
     part = F.col("idf") * F.col("tf") * (option.k1 + 1) / (F.col("tf") + option.k1 * (1 - option.b + option.b * F.col("dl") / F.col("avgdl")))
     hits = post.join(idf, "token").select("token", "id", part.alias("part")).join(terms, "token")

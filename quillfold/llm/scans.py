@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from quillfold.llm.sketch import hashed_counts
 
 BINS = 1 << 20  # of each of the two rows of the sketch
+ENOUGH = 1e-6  # of all words: what a form takes to be known well; no limit is a count, so that a larger corpus of the same kind is judged alike
 NOISE = ("hyphenation", "misread", "header", "page_number")
 
 HYPHENS = "-\u00ad\u2010\u2011\u00ac"
@@ -76,6 +77,7 @@ def _vocabulary_places(pdf: pd.DataFrame) -> np.ndarray:
 class Vocabulary:
     def __init__(self, counts: np.ndarray):
         self.counts = counts
+        self.enough = max(1.0, ENOUGH * int(counts[:BINS].sum(dtype=np.uint64)))
         self.seen: dict[str, int] = {}
         self.meant: dict[str, str | None] = {}
 
@@ -103,7 +105,7 @@ class Vocabulary:
         if odd and sum(c.isalpha() for c in word) < 2:
             return None
         own = 0 if odd else self.count(word)
-        best, most = None, max(20, 40 * own) if len(word) > 3 else max(200, 400 * own)
+        best, most = None, max(self.enough, 40 * own) if len(word) > 3 else max(10 * self.enough, 400 * own)
         tried = set()
         for read, meant in CONFUSED:
             at = word.find(read)
@@ -256,16 +258,12 @@ def _misread(token: str, known: Vocabulary) -> str | None:
     core = token.strip(".'’?-…*_~`")
     if token[-1] in HYPHENS:
         return None  # half a word
-    if core[-1:] == "!" and known.count(core[:-1].lower()) > 5:
-        return None
     if len(core) < 3 or CODE.search(core) or sum(c.isalpha() for c in core) < (2 if core.isalpha() else 3) or "一" <= core[0] <= "鿿":
         return None
     low = core.lower()
-    if low.isalpha() and known.count(low) > 2000:
-        return None
     right = known.repaired(low)
-    if right is None:
-        return None
+    if right is None or (low[-1] == "!" and 40 * known.count(low[:-1]) > known.count(right)):
+        return None  # not a misreading, or a word with its exclamation mark
     if core.isupper():
         right = right.upper()
     elif core[0].isupper() or (not core[0].isalpha() and core[1:2].isupper()):
@@ -296,7 +294,7 @@ def _rejoin(left: str, right: str, known: Vocabulary) -> tuple[bool, str, bool]:
         return True, left + right, True
     if fixed_compound or b[0].isupper():
         return True, f"{left}-{right}", False
-    both = known.count(low_a) > 20 and known.count(first) > 20
+    both = known.count(low_a) > known.enough and known.count(first) > known.enough
     return True, (f"{left}-{right}" if both else left + right), not both
 
 

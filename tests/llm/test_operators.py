@@ -143,6 +143,18 @@ def test_repair_of_a_scanned_page(spark):
     assert scans.repair_scans(df.limit(0), counts).count() == 0
 
 
+def test_misreadings_dont_depend_on_the_size_of_the_corpus():
+    words = {"every": 4000, "evcry": 45, "dawn": 3000, "celui": 240, "celu": 1, "stop": 900, "stopl": 1, "base": 30, "line": 30, "the": 400_000, "and": 200_000, "aud": 26, "rest": 1_560_000}
+    for times in (1, 10, 1000):
+        counts = np.zeros(2 * scans.BINS, dtype=np.uint32)
+        for word, n in words.items():
+            np.add.at(counts, list(scans._places(word)), n * times)
+        known = scans.Vocabulary(counts)
+        got = [scans._misread(w, known) for w in ("evcry", "Aud", "Celu!", "stop!", "dawn", "every")]
+        assert got == ["every", "And", "Celui", None, None, None]
+        assert scans._rejoin("base", "line", known) == (True, "base-line", False)
+
+
 def test_vocabulary_counts_all_rows(spark):
     df = spark.createDataFrame([("one two-\nthree",), ("one",), (None,)], "content string")
     v = scans.Vocabulary(scans.vocabulary(df))

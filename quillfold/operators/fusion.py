@@ -53,9 +53,11 @@ def variants(questions: DataFrame, rewrites: DataFrame, limit: int) -> DataFrame
     return every.withColumn("r", F.row_number().over(first)).where("r = 1").withColumn("variant_no", F.row_number().over(order) - 1).where(F.col("variant_no") < max(limit, 2)).select("query_id", "variant_no", "text")
 
 
-def multi_query(ranked: DataFrame, top: int, k: int = RRF_K) -> DataFrame:
-    """Fuses (query_id, variant_no, id, rank): the original weighs 1, a rewrite 0.7."""
-    part = F.when(F.col("variant_no") == 0, ORIGINAL_WEIGHT).otherwise(VARIANT_WEIGHT) / (float(k) + F.col("rank"))
+def multi_query(ranked: DataFrame, top: int, k: int = RRF_K, original: float = ORIGINAL_WEIGHT, variant: float = VARIANT_WEIGHT) -> DataFrame:
+    """Fuses (query_id, variant_no, id, rank): the original weighs 1 by default, a rewrite 0.7; of weight 0 it is skipped."""
+    weight = F.when(F.col("variant_no") == 0, float(original)).otherwise(float(variant))
+    part = weight / (float(k) + F.col("rank"))
+    ranked = ranked.where(weight > 0)
     fused = ranked.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -57,6 +57,8 @@ class CallEmbedder:
 
 
 class LexicalReranker:
+    provider = "deterministic"
+
     def rerank(self, candidates: DataFrame, top_n: int) -> DataFrame:
         return lexical.lexical_rerank(candidates, top_n)
 

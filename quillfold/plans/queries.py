@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quillfold.functions import markdown, text, vectors
 from quillfold.operators import access, chunking, context, dense, embedding, evaluation, fusion, lexical, observe
+from quillfold.plans import retrieval
 from quillfold.sources import index as store
-from quillfold.sources.tables import table
+from quillfold.sources.tables import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -356,6 +357,19 @@ def lexical_rerank(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.lexical_rerank(s.select(F.col("request_id").alias("query_id"), "question", F.col("source_index").alias("id"), "content", F.col("source_index").alias("dense_rank")), 5)
 
 
+@query()
+def retrieval_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole plan over the children of all documents, for one in 200 golden questions with the reference answer as a
+    rewrite: hybrid search per variant, fusion, rerank, parents, gate, packing. These tables name no readers of documents, so no access filter."""
+    parents, children = chunking.parent_child(documents(spark, folder), "doc_id", "text")
+    chunks = stored(children.select(F.concat_ws("#", "id", "chunk_index").alias("id"), "parent_id", "content"))
+    g = table(spark, folder, "golden_set").where(F.pmod(F.xxhash64("qid"), F.lit(200)) == 0).groupBy("qid").agg(F.min("question").alias("question"), F.min("ground_truth").alias("rewrite"))
+    rewrites = g.where("rewrite is not null").groupBy(text.normalize_question(F.col("question")).alias("question_key")).agg(F.min("rewrite").alias("rewrite")).withColumn("pos", F.lit(0))
+    option = retrieval.Options(rerank=True, multi_query=True, expand=True, gate=context.Gate(), pack=context.Packing())
+    found = retrieval.contexts(g.select(F.col("qid").alias("query_id"), "question"), chunks, option, rewrites=rewrites, parents=parents.select("parent_id", "content").dropDuplicates(["parent_id"]))
+    return found.withColumn("used_ids", F.array_join("used_ids", ","))
+
+
 # ---------------------------------------------------------------- access
 
 

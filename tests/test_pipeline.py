@@ -40,6 +40,35 @@ def test_rerank_and_variants(spark, corpus):
     assert [r.id for r in call.rerank(c, 1).collect()] == ["b"]
 
 
+def test_every_stage_that_an_option_asks_for_is_done(spark, corpus):
+    chunks, questions = corpus
+    rewrites = spark.createDataFrame([("how many days of annual leave", 0, "travel expenses approval finance")], "question_key string, pos int, rewrite string")
+    parents = spark.createDataFrame([("p", "the whole handbook")], "parent_id string, content string")
+    family = chunks.withColumn("parent_id", F.when(F.col("id").isin("a", "b"), "p").when(F.col("id") == "c", "lost"))
+
+    def ids(option, **more):
+        return {(r.query_id, r.id) for r in retrieval.retrieve(questions, chunks, option, **more).collect()}
+
+    plain, many = retrieval.Options(mode="bm25", top_k=3), retrieval.Options(mode="bm25", top_k=3, multi_query=True)
+    assert ("q1", "b") not in ids(plain) and ("q1", "b") in ids(many, rewrites=rewrites)
+    assert ("q1", "b") not in ids(retrieval.Options(mode="bm25", top_k=3, multi_query=True, variant_weight=0.0), rewrites=rewrites)
+    may = spark.createDataFrame([("q1", "b"), ("q2", "c")], "query_id string, id string")
+    assert {r.id for r in retrieval.retrieve_variants(questions, rewrites, chunks, plain, allowed=may).where("query_id = 'q1'").collect()} == {"b"}
+    both = retrieval.Options(mode="bm25", rerank=True)
+    got = retrieval.retrieve_variants(questions, rewrites, chunks, both).where("query_id = 'q1'").orderBy("rank").collect()
+    assert [r.id for r in got] == ["a", "b"] and got[0].score > 1  # the reranker's score of the original question
+    got = retrieval.retrieve(questions, family, retrieval.Options(mode="dense", expand=True), parents=parents).where("query_id = 'q1'").collect()
+    assert sorted(r.content for r in got if r.expanded) == ["the whole handbook"] and any(r.id == "c" and not r.expanded for r in got)
+    strict = retrieval.Options(mode="dense", gate=context.Gate(dense_threshold=1.1), pack=context.Packing())
+    assert {(r.action, r.context) for r in retrieval.contexts(questions, chunks, strict).collect()} == {("rejected", None)}
+    assert {r.action for r in retrieval.retrieve(questions, chunks, strict).collect()} == {"rejected"}
+    small = retrieval.contexts(questions, chunks, retrieval.Options(mode="dense", pack=context.Packing(), budget=90, budget_unit="chars")).collect()
+    assert len(small) == 2 and all(0 < len(r.context) <= 90 for r in small)
+    for option in (retrieval.PROFILES["multi_query"], retrieval.PROFILES["parent_child"]):
+        with pytest.raises(ValueError):
+            retrieval.retrieve(questions, chunks, option)
+
+
 def test_rejected_queries_never_reach_the_generator(spark, corpus):
     _, questions = corpus
     contexts = spark.createDataFrame([("q1", "[1] leave")], "query_id string, context string")

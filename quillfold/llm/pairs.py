@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.sketch import least_hashed
+from quillfold.llm.sketch import hashed_counts, least_hashed
 
 DEFECTS = ("empty", "copied_question", "refusal", "other_language", "truncated")
 SAMPLE_PAIRS = 5000  # pairs the classifier is fitted on
@@ -314,13 +314,17 @@ def _targets(labels: list[str]) -> np.ndarray:
     return np.array([[d == x for d in DEFECTS] for x in labels], dtype=float)
 
 
-def train(pairs: list[tuple[str, str]], seed: int = 5, rounds: int = 5) -> PairModel:
+def _answer_words(pdf: pd.DataFrame) -> np.ndarray:
+    """The places of the words of each answer, once an answer; its last word may be cut and isn't counted."""
+    return np.array([crc32(w.encode()) % VOCABULARY for a in pdf["answer"] for w in {t for t in TOKEN.findall(a.lower())[:-1]}], dtype=np.int64)
+
+
+def train(pairs: list[tuple[str, str]], seed: int = 5, rounds: int = 5, known_counts: np.ndarray | None = None) -> PairModel:
+    """``known_counts`` counts the answers that have a word, over more pairs than these; without it, over these."""
     rng = random.Random(seed)
     pairs = [(q, a) for q, a in pairs if q and a and any(c.isalnum() for c in a)]
-    known_counts = np.zeros(VOCABULARY, dtype=np.int32)
-    for _, a in pairs:
-        for w in {t for t in TOKEN.findall(a.lower())[:-1]}:
-            known_counts[crc32(w.encode()) % VOCABULARY] += 1
+    if known_counts is None:
+        known_counts = np.bincount(_answer_words(pd.DataFrame(pairs, columns=["question", "answer"])), minlength=VOCABULARY)
     known = known_counts >= 2
     sound = pairs
     for turn in range(2):
@@ -351,10 +355,14 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: float = 2.0) -> float:
 
 
 def fit(pairs: DataFrame, sample_pairs: int = SAMPLE_PAIRS) -> PairModel:
-    """Trains on the ``sample_pairs`` pairs (question, answer) whose hash is least, in any order of rows."""
+    """Trains on the ``sample_pairs`` pairs (question, answer) whose hash is least, in any order of rows.
+
+    The known words are counted over all distinct pairs, in an array of fixed size.
+    """
     full = pairs.where("question is not null and answer is not null").select("question", "answer")
     rows = least_hashed(full, ["question", "answer"], sample_pairs).distinct().collect()
-    return train(sorted((r.question, r.answer) for r in rows))
+    known_counts = hashed_counts(full.distinct().select("answer"), _answer_words, VOCABULARY)
+    return train(sorted((r.question, r.answer) for r in rows), known_counts=known_counts)
 
 
 def faulty_pairs(pairs: DataFrame, model: PairModel) -> DataFrame:

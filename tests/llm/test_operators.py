@@ -117,6 +117,13 @@ def test_faulty_pairs(spark):
     assert pairs.faulty_pairs(df.limit(0), model).count() == 0
 
 
+def test_known_words_are_of_all_pairs(spark):
+    rows = [(f"What is {k}?", f"The word{k} and the word{k + 1} are here.") for k in range(300)]
+    model = pairs.fit(spark.createDataFrame(rows * 2, "question string, answer string"), sample_pairs=100)
+    assert all(model.known[pairs.crc32(f"word{k}".encode()) % pairs.VOCABULARY] for k in range(1, 300))
+    assert not model.known[pairs.crc32(b"word0") % pairs.VOCABULARY]  # in one answer, given twice
+
+
 # ------------------------------------------------------------ problem 3
 
 

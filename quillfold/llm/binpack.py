@@ -80,8 +80,8 @@ def _pack_rows(items: list, limit: int | None, segments: int | None, loss_limit:
     if limit is None or limit <= 0:
         return [(i["item"], 1, 0, i["size"], None, None) for i in items]
     parts = [(i["item"], k + 1, k * limit, min(limit, i["size"] - k * limit), min(limit, i["loss"])) for i in items for k in range(max(1, -(-i["size"] // limit)))]
-    sizes = np.array([[p[3], 1, p[4]] for p in parts], dtype=float)
-    most = np.array([limit, segments or max(1, len(parts)), max(loss_limit or 0, limit)], dtype=float)
+    sizes = np.array([[p[3], 1, min(p[4], loss_limit or limit)] for p in parts], dtype=float)  # one above the loss limit fills a container
+    most = np.array([limit, segments or max(1, len(parts)), loss_limit or limit], dtype=float)
     where = pack(sizes, most)
     used = np.bincount(where, weights=sizes[:, 0])
     return [(*p[:4], int(c) + 1, int(used[c])) for p, c in zip(parts, where)]
@@ -93,13 +93,15 @@ def fill_containers(items: DataFrame, segments: int | None = None, loss_limit: i
     Out come group_key, item, piece_no, piece_start, piece_size, pieces, container_no and used.
     An item within the capacity stays whole; a larger one is cut into pieces of the capacity,
     counted in its size's unit. ``segments`` and ``loss_limit`` bound a container further
-    where they are given; a loss limit below the capacity counts as the capacity, as no item
-    may be cut for it. A null size leaves the item out; a null or non-positive capacity gives
+    where they are given, both positive; no item is cut for its loss, and only a single one above the
+    limit exceeds it, in a container of no other loss. A null size leaves the item out; a null or non-positive capacity gives
     null container and used. Repeated rows of an item count once; if they differ, the largest
     counts. Items of no size take a place in a container. An empty table gives no rows.
     A group of more than ``PART`` items is dealt to parts by hash, each packed in a task of its own
     with containers of its own, so that a part may leave one container partly filled.
     """
+    if min(segments or 1, loss_limit or 1) < 1 or 0 in (segments, loss_limit):
+        raise ValueError("segments and loss_limit must be positive")
     distinct = items.where(F.col("size").isNotNull() & F.col("group_key").isNotNull() & F.col("item").isNotNull()).groupBy("group_key", "item").agg(F.max("size").alias("size"), F.max("loss").alias("loss"), F.max("capacity").alias("capacity"))
     large = distinct.groupBy("group_key").agg(F.count("*").alias("n")).where(F.col("n") > PART)
     dealt = distinct.join(large, "group_key", "left").withColumn("part", F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / PART)).cast("int")))

@@ -209,6 +209,14 @@ def test_packing_is_close_to_the_lower_bound():
         assert where.max() + 1 <= 2 * np.ceil(sizes.sum(0) / capacity).max() + 1
 
 
+def test_a_loss_limit_below_the_capacity_binds(spark):
+    df = spark.createDataFrame([("g", k, 10, 10 if k < 4 else 30, 100) for k in range(5)], "group_key string, item int, size int, loss int, capacity int")
+    loss: dict[int, list[int]] = {}
+    for r in binpack.fill_containers(df, loss_limit=20).collect():
+        loss.setdefault(r.container_no, []).append(10 if r.item < 4 else 30)
+    assert sorted(map(sorted, loss.values())) == [[10, 10], [10, 10], [30]]
+
+
 # ------------------------------------------------------------ problem 5
 
 

@@ -42,7 +42,7 @@ def counters(log: DataFrame, keys: Sequence[str]) -> DataFrame:
     got = log.groupBy(*keys).agg(F.count("*").alias("n"))
     grid = log.select(keys[0]).distinct()
     for k in keys[1:]:
-        grid = grid.join(F.broadcast(log.select(k).distinct().limit(10_000)))  # label values: a handful
+        grid = grid.crossJoin(log.select(k).distinct())
     on = None
     named = got.select(*[F.col(k).alias(f"__{k}") for k in keys], "n")
     for k in keys:

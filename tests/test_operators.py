@@ -158,3 +158,8 @@ def test_index_table(spark):
     assert [r.id for r in store.delete(a, spark.createDataFrame([("1",)], "id string")).collect()] == ["2"]
     with pytest.raises(Exception):
         store.upsert(a, spark.createDataFrame([(None, "y", 1)], a.schema)).collect()
+
+
+def test_counters_keep_every_label_value(spark):
+    log = spark.range(10_050).selectExpr("'r' AS route", "cast(id AS string) AS label")
+    assert observe.counters(log, ["route", "label"]).agg(F.sum("n")).first()[0] == 10_050

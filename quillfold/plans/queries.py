@@ -207,8 +207,9 @@ def record_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT id, ingest_sequence, updated_at FROM (SELECT id, ingest_sequence, updated_at, row_number() OVER (PARTITION BY id ORDER BY ingest_sequence DESC) AS r FROM vector_records WHERE id IS NOT NULL) WHERE r = 1")
 def upsert_records(spark: SparkSession, folder: str) -> DataFrame:
-    v = table(spark, folder, "vector_records").select("id", "ingest_sequence", "updated_at").where("id is not null")
-    return store.upsert(v, v.limit(0))
+    v = table(spark, folder, "vector_records").select("id", "ingest_sequence", "updated_at", "ingested_at").where("id is not null")
+    late = F.coalesce(F.col("ingested_at") > F.col("updated_at") + F.expr("interval 1 day"), F.lit(False))
+    return store.upsert(v.where(~late), v.where(late)).select("id", "ingest_sequence", "updated_at")
 
 
 @query(f"SELECT id, ingest_sequence FROM (SELECT id, max(ingest_sequence) AS ingest_sequence FROM vector_records WHERE id IS NOT NULL GROUP BY id) WHERE id NOT IN (SELECT record_id FROM retrieved_sources WHERE record_id IS NOT NULL)")

@@ -163,3 +163,15 @@ def test_index_table(spark):
 def test_counters_keep_every_label_value(spark):
     log = spark.range(10_050).selectExpr("'r' AS route", "cast(id AS string) AS label")
     assert observe.counters(log, ["route", "label"]).agg(F.sum("n")).first()[0] == 10_050
+
+
+def test_upsert_records_merges_late_deliveries(spark, monkeypatch, tmp_path):
+    from quillfold.plans import queries as core
+
+    rows = [("a", 1, "2024-01-01", "2024-01-01"), ("a", 2, "2024-01-02", "2024-01-09"), ("b", 4, "2024-01-01", "2024-01-01"), ("b", 3, "2024-01-01", "2024-01-08"), ("c", 5, "2024-01-01", "2024-01-07"), ("d", 6, None, "2024-01-01")]
+    df = spark.createDataFrame(rows, "id string, ingest_sequence bigint, u string, i string").selectExpr("id", "ingest_sequence", "cast(u AS timestamp) AS updated_at", "cast(i AS timestamp) AS ingested_at")
+    df.write.parquet(str(tmp_path / "vector_records.parquet"))
+    sizes, real = [], core.store.upsert
+    monkeypatch.setattr(core.store, "upsert", lambda old, new: sizes.append((old.count(), new.count())) or real(old, new))
+    got = {r.id: r.ingest_sequence for r in core.QUERIES["upsert_records"](spark, str(tmp_path)).collect()}
+    assert sizes == [(3, 3)] and got == {"a": 2, "b": 4, "c": 5, "d": 6}

@@ -7,11 +7,14 @@ best untried cell of every row of the grid (the multi-sequence walk, for a batch
 once), and is compared with the vectors of each cell that it visits. The best of all cells
 are reranked by their exact cosine.
 
-Cells of one first-half centroid lie in one task, so that a query travels once per centroid
-that it visits there, not once per cell. A centroid with many vectors is cut into blocks and
-its queries go to every block. Within a cell both sides of a comparison learn of one another,
-so that a neighbour is missed only if neither visits the other. Equal vectors are compared
-once: a group of copies travels as one vector with its least ids.
+Cells of one first-half centroid that lie next to one another in the other half are dealt to
+blocks of some thousand vectors, so that a query travels once for each block that holds a
+cell it visits, however many vectors a centroid has. A cell that is larger than a block is cut,
+and its queries go to all parts of it. A block that very many queries visit, as the sample
+has it, is given to several tasks, and each of these queries goes to one of them. Within a cell
+both sides of a comparison learn of one another, so that a neighbour is missed only if neither
+visits the other. Equal vectors are compared once: a group of copies travels as one vector
+with its least ids.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillfold.llm.sketch import least_hashed
+from quillfold.llm.sketch import hashed_counts, least_hashed
+from quillfold.sources.tables import ship_package
 
 
 SAMPLE_VECTORS = 20_000  # vectors that the centroids are fitted on
 PER_CELL = 200  # vectors a cell should hold; the number of centroids follows from it
 BLOCK = 6_000  # vectors of one centroid in one task
+ASKING = 60_000  # queries of a block in one task, about
+CENTROIDS = 4_000  # at most for a half
+TASKS = 20_000  # at most for all blocks
 EPS = 1e-6
 
 
@@ -84,13 +91,62 @@ def walk(d1: np.ndarray, d2: np.ndarray, cells: int) -> tuple[np.ndarray, np.nda
 
 
 class MultiIndex:
-    def __init__(self, first: np.ndarray, second: np.ndarray, blocks: np.ndarray | None = None):
-        self.first, self.second, self.blocks = first, second, blocks
+    """Centroids of both halves, and where the vectors of each cell are compared.
+
+    Cell c1 * len(second) + c2 lies in ``parts[cell]`` blocks from ``block[cell]`` on (no part: an
+    empty cell), and block b in ``tasks[b]`` tasks from ``base[b]`` on.
+    """
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.first, self.second = first, second
         self.half = first.shape[1]
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _distances(x[:, : self.half], self.first), _distances(x[:, self.half :], self.second)
 
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        first, second = walk(*self.distances(x), 1)
+        return first[:, 0].astype(np.int64) * len(self.second) + second[:, 0]
+
+    def deal(self, count: np.ndarray) -> None:
+        """Blocks from the number of vectors of each cell."""
+        whole = (count > 0) & (count <= BLOCK)
+        grid = np.where(whole, count, 0).reshape(len(self.first), -1)
+        before = (np.cumsum(grid, axis=1) - grid) // BLOCK
+        owner = np.repeat(np.arange(len(self.first)), len(self.second))
+        _, block = np.unique(owner[whole] * (int(before.max(initial=0)) + 1) + before.ravel()[whole], return_inverse=True)
+        self.parts = np.where(whole, 1, -(-count // BLOCK)).astype(np.int32)
+        self.block = np.zeros(len(count), dtype=np.int32)
+        self.block[whole] = block
+        large = np.flatnonzero(count > BLOCK)
+        start = int(block.max(initial=-1)) + 1
+        self.block[large] = start + np.cumsum(self.parts[large]) - self.parts[large]
+        blocks = start + int(self.parts[large].sum())
+        self.tasks = np.ones(max(blocks, 1), dtype=np.int32)
+        self.number()
+
+    def number(self) -> None:
+        self.base = np.cumsum(self.tasks) - self.tasks
+
+    def visits(self, x: np.ndarray, cells: int, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, block, second centroid) of what each vector visits, in the order of row and block."""
+        d1, d2 = self.distances(x)
+        first, second = walk(d1, d2, cells)
+        every = np.arange(len(x))[:, None]
+        reach = d1[every, first] + d2[every, second]
+        cell = first.astype(np.int64) * len(self.second) + second
+        row, k = np.nonzero((reach - reach[:, :1] <= stop) & (self.parts[cell] > 0))
+        cell = cell[row, k]
+        times = self.parts[cell]
+        if times.max(initial=0) > 1:
+            which = np.repeat(np.arange(len(cell)), times)
+            block = self.block[cell[which]] + (np.arange(len(which)) - (np.cumsum(times) - times)[which])
+            row, second = row[which], second[row, k][which]
+        else:
+            block, second = self.block[cell], second[row, k]
+        order = np.lexsort((second, block, row))
+        return row[order], block[order], second[order].astype(np.int32)
+
 
 def _unit(values: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, unit vectors as float32) of the usable entries: right length, finite, not all zero."""
@@ -105,22 +161,27 @@ def _unit(values: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sizes(total: int) -> int:
-    return max(1, min(1500, round(math.sqrt(total / PER_CELL))))
+    return max(1, min(CENTROIDS, round(math.sqrt(total / PER_CELL))))
+
 
+def fit(vectors: DataFrame, total: int, width: int, sample: int = SAMPLE_VECTORS) -> tuple[MultiIndex, np.ndarray]:
+    """(centroids, sample): from the ``sample`` vectors whose hashed id is least, at most ``CENTROIDS`` for a half.
 
-def fit(vectors: DataFrame, total: int, width: int, sample: int = SAMPLE_VECTORS) -> MultiIndex:
-    """Centroids from the ``sample`` vectors whose hashed id is least, at most 1,500 for a half."""
+    The second half's centroids are numbered along their main axis, so that neighbouring numbers are near.
+    """
     few = least_hashed(vectors.select("id", "embedding").where(F.col("embedding").isNotNull()), ["id"], sample)
     rows = few.groupBy("id").agg(F.max("embedding").alias("embedding")).toPandas().sort_values("id")
     _, x = _unit(rows["embedding"], width)
     k = _sizes(total)
     if not len(x):
-        x = np.zeros((1, width), dtype=np.float32)
+        return MultiIndex(np.zeros((1, width // 2), dtype=np.float32), np.zeros((1, width - width // 2), dtype=np.float32)), x
     half = width // 2
-    return MultiIndex(kmeans(x[:, :half], k), kmeans(x[:, half:], k))
+    second = kmeans(x[:, half:], k)
+    axis = np.linalg.svd(second - second.mean(0), full_matrices=False)[2][0]
+    return MultiIndex(kmeans(x[:, :half], k), second[np.argsort(second @ axis, kind="stable")]), x
 
 
-_SENT = "b int, cell int, visits binary, vec binary, ids array<string>, own boolean"
+_SENT = "t int, cell int, visits binary, vec binary, ids array<string>, own boolean, asks boolean"
 
 
 def _keys(x: np.ndarray) -> np.ndarray:
@@ -135,8 +196,9 @@ def _keys(x: np.ndarray) -> np.ndarray:
     return h
 
 
-def _route(index: MultiIndex, width: int, cells: int, copies: int, stop: float):
+def _route(sent, width: int, cells: int, copies: int, stop: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index: MultiIndex = sent.value
         for pdf in batches:
             where, x = _unit(pdf["embedding"], width)
             if not len(where):
@@ -155,28 +217,35 @@ def _route(index: MultiIndex, width: int, cells: int, copies: int, stop: float):
                 x, key = x[lead], key[lead]
             else:
                 ids = [[name] for name in names]
-            d1, d2 = index.distances(x)
-            first, second = walk(d1, d2, cells)
-            every = np.arange(len(x))
-            near = d1[every[:, None], first] + d2[every[:, None], second] - (d1[every, first[:, 0]] + d2[every, second[:, 0]])[:, None]
-            use = near <= stop
-            out_b, out_cell, out_visits, out_row, out_own = [], [], [], [], []
-            blocks, base = index.blocks, np.concatenate([[0], np.cumsum(index.blocks)[:-1]])
-            for r in range(len(x)):
-                c1, c2 = first[r][use[r]], second[r][use[r]]
-                home = int(c1[0])
-                own_block = int(key[r] % np.uint64(blocks[home]))
-                for c in dict.fromkeys(c1.tolist()) if ask[r] else (home,):
-                    visits = c2[c1 == c].astype(np.int32).tobytes() if ask[r] else b""
-                    for k in range(int(blocks[c])) if ask[r] else (own_block,):
-                        out_b.append(int(base[c]) + k)
-                        own = c == home and k == own_block
-                        out_cell.append(int(c2[0]) if own else -1)
-                        out_visits.append(visits)
-                        out_row.append(r)
-                        out_own.append(own)
+            home = index.homes(x)
+            parts = np.maximum(index.parts[home], 1)
+            own_block = index.block[home] + (key % parts.astype(np.uint64)).astype(np.int64)
+            asking = np.flatnonzero(ask)
+            row, block, second = index.visits(x[asking], cells, stop)
+            row = asking[row]
+            cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])) if len(row) else np.zeros(0, dtype=int)
+            raw_cells = second.tobytes()
+            stops = np.concatenate([cut[1:], [len(row)]]) if len(cut) else cut
+            visits = [raw_cells[4 * a : 4 * b] for a, b in zip(cut.tolist(), stops.tolist())]
+            to_r, to_b = row[cut], block[cut]
+            to_t = index.base[to_b] + (key[to_r] % index.tasks[to_b].astype(np.uint64)).astype(np.int64)
+            at = {(r, t): k for k, (r, t) in enumerate(zip(to_r.tolist(), to_t.tolist()))}
+            cell, own = [-1] * len(visits), [False] * len(visits)
+            row_of, task_of = to_r.tolist(), to_t.tolist()
+            home_second = (home % len(index.second)).tolist()
+            for r, b in enumerate(own_block.tolist()):
+                for t in range(int(index.base[b]), int(index.base[b] + index.tasks[b])):
+                    k = at.get((r, t))
+                    if k is None:
+                        row_of.append(r)
+                        task_of.append(t)
+                        visits.append(b"")
+                        cell.append(home_second[r])
+                        own.append(True)
+                    else:
+                        cell[k], own[k] = home_second[r], True
             raw = [v.tobytes() for v in x]
-            yield pd.DataFrame({"b": out_b, "cell": out_cell, "visits": out_visits, "vec": [raw[r] for r in out_row], "ids": [ids[r] for r in out_row], "own": out_own})
+            yield pd.DataFrame({"t": task_of, "cell": cell, "visits": visits, "vec": [raw[r] for r in row_of], "ids": [ids[r] for r in row_of], "own": own, "asks": ask[row_of]})
 
     return run
 
@@ -201,14 +270,14 @@ def _leading(s: np.ndarray, k: int) -> np.ndarray:
 def _compare(width: int, k: int, least: float):
     """Within a task: every vector against those of the cells it visits, and the other way round."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.frombuffer(b"".join(pdf["vec"]), dtype=np.float32).reshape(-1, width)
         key = _keys(x)
         names: dict[int, set] = {}
         for h, ids in zip(key.tolist(), pdf["ids"]):
             names.setdefault(h, set()).update(ids)
         # One row per distinct vector; its lists of cells are the same wherever it came from.
-        asking = pdf["visits"].str.len().to_numpy() > 0
+        asking = pdf["asks"].to_numpy(dtype=bool)
         order = np.lexsort((~asking, key))
         _, lead = np.unique(key[order], return_index=True)
         lead = order[lead]
@@ -258,6 +327,15 @@ def _compare(width: int, k: int, least: float):
         out = [(ids[p][0], other, float(c)) for p, q_, c in zip(a[top].tolist(), b[top].tolist(), cos[top].tolist()) for other in ids[q_][:k]]
         return pd.DataFrame(out, columns=["a", "b", "cosine"])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[pd.DataFrame]] = {}
+        for pdf in batches:
+            for t, rows in pdf.groupby("t", sort=False):
+                held.setdefault(int(t), []).append(rows)
+        for t in list(held):
+            rows = held.pop(t)
+            yield compared(pd.concat(rows, ignore_index=True))
+
     return run
 
 
@@ -265,8 +343,8 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int =
     """(id, neighbour, cosine, rank from 1): up to ``k`` nearest others of each id, best first.
 
     ``vectors`` has (id string, embedding array). Ids that are null, and embeddings that are
-    null, all zero, not finite or of another length than ``width`` (that of the first one
-    found) take no part; repeated rows of an id count once; ties go to the lesser id; pairs
+    null, all zero, not finite or of another length than ``width`` (the most frequent length; of
+    two, the greater) take no part; repeated rows of an id count once; ties go to the lesser id; pairs
     under the cosine ``least`` are left out. ``cells`` cells are visited, or fewer where the
     next lies more than ``stop`` further than the nearest. Every vector is indexed; all are
     queries, or those with a true ``ask`` where there is such a column. The centroids are fitted on a bounded sample. An empty table gives no rows.
@@ -274,27 +352,29 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int =
     ask = F.coalesce(F.col("ask"), F.lit(False)) if "ask" in vectors.columns else F.lit(True)
     v = vectors.select(F.col("id").cast("string").alias("id"), "embedding", ask.alias("ask")).where("id is not null and embedding is not null")
     spark = v.sparkSession
+    ship_package(spark)
     schema = "id string, neighbour string, cosine double, rank int"
-    facts = v.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("w")).first()
-    width = width or facts.w
-    if not facts.n or not width:
+    lengths = v.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).where("w > 0").orderBy(F.desc("n"), F.desc("w")) if width is None else v.where(F.size("embedding") == width).agg(F.lit(width).alias("w"), F.count("*").alias("n"))
+    facts = lengths.first()
+    if facts is None or not facts.n:
         return spark.createDataFrame([], schema)
-    index = fit(v, facts.n, width, sample)
-
-    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(index.first), dtype=np.int64)
-        for pdf in batches:
-            _, x = _unit(pdf["embedding"], width)
-            if len(x):
-                total += np.bincount(walk(*index.distances(x), 1)[0][:, 0], minlength=len(total))
-        yield pd.DataFrame({"c": np.flatnonzero(total), "n": total[total > 0]})
-
-    count = np.zeros(len(index.first), dtype=np.int64)
-    for r in v.mapInPandas(homes, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect():
-        count[r.c] = r.n
-    index.blocks = np.maximum(1, -(-count // BLOCK))
-    routed = v.mapInPandas(_route(index, width, cells, k, stop), _SENT)
-    found = routed.groupBy("b").applyInPandas(_compare(width, k, least), "a string, b string, cosine double").withColumnRenamed("b", "neighbour")
+    width = facts.w
+    v = v.where(F.size("embedding") == width)
+    index, seen = fit(v, facts.n, width, sample)
+
+    def homes(pdf: pd.DataFrame) -> np.ndarray:
+        _, x = _unit(pdf["embedding"], width)
+        return index.homes(x) if len(x) else np.zeros(0, dtype=np.int64)
+
+    index.deal(hashed_counts(v.select("embedding"), homes, len(index.first) * len(index.second)))
+    if len(seen):
+        row, block, _ = index.visits(seen, cells, stop)
+        met = np.unique(row * len(index.tasks) + block) % len(index.tasks)
+        index.tasks = np.maximum(1, np.round(np.bincount(met, minlength=len(index.tasks)) * (facts.n / len(seen)) / ASKING)).astype(np.int32)
+        index.number()
+    sent = spark.sparkContext.broadcast(index)
+    routed = v.mapInPandas(_route(sent, width, cells, k, stop), _SENT).repartitionById(min(TASKS, int(index.tasks.sum())), "t")
+    found = routed.mapInPandas(_compare(width, k, least), "a string, b string, cosine double").withColumnRenamed("b", "neighbour")
     # Equal vectors: their members ask through the least id of the group, and find one another.
     return _members(v, width, found, k, least)
 

@@ -1,4 +1,4 @@
-"""Problem 1: groups of nearly equal texts by pigeonring filtering of shingle sets.
+"""Problem 1: pairs and groups of nearly equal texts by pigeonring filtering of shingle sets.
 
 Two texts are similar if at least half of all their distinct shingles occur in both, that is,
 if the Hamming distance of their shingle sets is at most a third of the sum of their sizes.
@@ -19,6 +19,10 @@ if the Hamming distance of their shingle sets is at most a third of the sum of t
    by at most n/8 of the budget.
 5. What is left is decided by the whole Hamming distance.
 
+Signatures are dealt to tasks by their rarer shingle. One that very many sets have, a passage
+that a third of all texts share, say, is counted beforehand and its sets are dealt to sub-blocks:
+every two sub-blocks meet in a task of their own, so that no task holds more than a bounded number of sets of it.
+
 No step loses a similar pair; shingles are compared by 32-bit hashes (a pair of texts of 100
 shingles has a false match in one of about 400,000 cases).
 """
@@ -36,12 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfold.llm.sketch import hashed_counts
-from quillfold.sources.tables import shuffle_partitions, stored
+from quillfold.sources.tables import ship_package, shuffle_partitions, stored
 
 BITS = 24  # the frequency sketch has 2**24 places
 SEGMENTS = 12  # of the ring of sets of up to 256 shingles; more for larger ones
 CLASSES_A_PART = 30_000
-COPIES_EXPANDED = 1000
+HOT = 20_000  # sets of one signature that are compared in one task
+HOT_BITS = 20  # signatures of frequent shingles are counted on 2**20 places
+COPIES_EXPANDED = 1000  # exact copies of a text that are paired with one another
 
 _K = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -130,20 +136,20 @@ def _classes(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFra
                     if len(seen) < 1_000_000:
                         seen.add(c)
                     sets.append(np.unique(short[ends[k] - sizes[k] : ends[k]]).tobytes())
-            yield pd.DataFrame({"rel": part["rel"].to_numpy()[keep], "grp": part["grp"].to_numpy()[keep], "key": part["key"].to_numpy()[keep], "cls": cls, "toks": sets})
+            yield pd.DataFrame({"rel": part["rel"].to_numpy()[keep], "grp": part["grp"].to_numpy()[keep], "key": part["key"].to_numpy()[keep], "txt": part["txt"].to_numpy()[keep], "cls": cls, "toks": sets})
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each class of a partition that holds all of its rows."""
-    seen: set[int] = set()
+    """The first row of each class of a partition that is sorted by class and holds all rows of it."""
+    last = None
     for batch in batches:
-        keep = []
-        for k, c in enumerate(batch.column(0).to_pylist()):
-            if c not in seen:
-                seen.add(c)
-                keep.append(k)
-        if keep:
-            yield batch.take(pa.array(keep))
+        if not batch.num_rows:
+            continue
+        cls = batch.column(0).to_numpy()
+        new = np.concatenate([[cls[0] != last], cls[1:] != cls[:-1]])
+        last = cls[-1]
+        if new.any():
+            yield batch.filter(pa.array(new))
 
 
 def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,28 +174,31 @@ def _levels(sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
         k += 1
 
 
-def signatures(toks: np.ndarray, row: np.ndarray, sizes: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature uint64, hash of its first shingle, row) of all sets of a batch; ``often`` has the logarithmic frequency of each place."""
+def signatures(toks: np.ndarray, row: np.ndarray, sizes: np.ndarray, often: np.ndarray, most: int = HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature uint64, hash of its rarer shingle, row, whether both are in more than ``most`` sets) of all sets
+    of a batch; ``often`` has the logarithmic frequency of each place."""
     freq = often[toks >> np.uint32(32 - BITS)]
     order = np.lexsort((toks, freq, row))
     toks, row, freq = toks[order], row[order], freq[order]
     begin = np.cumsum(sizes) - sizes
     place = np.arange(len(toks)) - begin[row]
     need = sizes - (sizes + 1) // 2 + 1
-    out_s, out_f, out_r = [], [], []
+    out_s, out_f, out_r, out_h = [], [], [], []
+    hot = freq > 8 * math.log2(most)
     for level, fit, m in _levels(sizes):
         # A shingle of a place that was counted once is in no other set.
         use = fit[row] & (freq > 0) & (place < (need + m)[row])
-        t, r = toks[use].astype(np.uint64), row[use]
+        t, r, h, f = toks[use].astype(np.uint64), row[use], hot[use], freq[use]
         with np.errstate(over="ignore"):
             if not m:
                 out_s.append(_mix(t * _K[2] + _K[4]))
                 out_f.append(_mix(t + _K[4]))
                 out_r.append(r)
+                out_h.append(h)
                 continue
             seg = _mix(t + _K[3]) % np.uint64(m)
             by = np.lexsort((t, seg, r))
-            t, r, seg = t[by], r[by], seg[by]
+            t, r, seg, h, f = t[by], r[by], seg[by], h[by], f[by]
             group = r.astype(np.uint64) * np.uint64(m) + seg
             gap = 1
             while gap < len(t):
@@ -197,12 +206,31 @@ def signatures(toks: np.ndarray, row: np.ndarray, sizes: np.ndarray, often: np.n
                 if not len(same):
                     break
                 out_s.append(_mix(t[same] * _K[2] + t[same + gap] * _K[3] + np.uint64(level)))
-                out_f.append(_mix(t[same] + np.uint64(level)))
+                out_f.append(_mix(np.where(f[same] <= f[same + gap], t[same], t[same + gap]) + np.uint64(level)))
                 out_r.append(r[same])
+                out_h.append(h[same] & h[same + gap])
                 gap += 1
     if not out_s:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(out_s), np.concatenate(out_f), np.concatenate(out_r)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+    return np.concatenate(out_s), np.concatenate(out_f), np.concatenate(out_r), np.concatenate(out_h)
+
+
+def sub_blocks(sig: np.ndarray, first: np.ndarray, at: np.ndarray, hot: np.ndarray, cls: np.ndarray, splits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, what deals them and the marked numbers of their sets, with those of hot signatures once for
+    every two sub-blocks of which one is their set's."""
+    times = np.where(hot, splits[(first >> np.uint64(64 - HOT_BITS)).astype(np.int64)], 1).astype(np.int64)
+    if times.max(initial=1) == 1:
+        return sig, first, at
+    which = np.repeat(np.arange(len(sig)), times)
+    other = np.arange(len(which)) - (np.cumsum(times) - times)[which]
+    with np.errstate(over="ignore"):
+        own = (_mix(cls[at].view(np.uint64)) % times.astype(np.uint64)).astype(np.int64)[which]
+        pair = (np.minimum(own, other) * 65_536 + np.maximum(own, other)).astype(np.uint64)
+        split = times[which] > 1
+        sig = np.where(split, _mix(sig[which] + pair * _K[3]), sig[which])
+        first = np.where(split, _mix(first[which] + pair * _K[2]), first[which])
+    mark = np.where(split & (own != other), CROSS, 0) | np.where(split & (own > other), SIDE, 0)
+    return sig, first, at[which] | mark
 
 
 def size_class(sizes: np.ndarray) -> np.ndarray:
@@ -251,11 +279,37 @@ def _unplanes(raw: bytes, dtype) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(width, -1).T).view(dtype)[:, 0], dtype=dtype)
 
 
+def _hot_places(often_sent, most: int):
+    """Of a batch of classes: the places of the first shingles of signatures that may be hot, once a set."""
+
+    def run(pdf: pd.DataFrame) -> np.ndarray:
+        often = often_sent.value
+        out = []
+        for start in range(0, len(pdf), BATCH):
+            toks, row, sizes = _flat(pdf.iloc[start : start + BATCH])
+            frequent = often[toks >> np.uint32(32 - BITS)] > 8 * math.log2(most)
+            # Only a set whose rarest shingles aren't enough for its signatures has frequent ones there.
+            rare = np.bincount(row[~frequent], minlength=len(sizes))
+            reach = sizes - (sizes + 1) // 2 + 1 + np.where(sizes > 128, sizes, SEGMENTS)
+            mine = np.flatnonzero(rare < reach)
+            if not len(mine):
+                continue
+            use = np.isin(row, mine)
+            _, first, r, hot = signatures(toks[use], np.searchsorted(mine, row[use]), sizes[mine], often, most)
+            first, r = first[hot], r[hot]
+            if len(r):
+                out.append(np.unique((first >> np.uint64(64 - HOT_BITS)).astype(np.int64) * BATCH + r) // BATCH)
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+    return run
+
+
 BATCH = 4000
+CROSS, SIDE = 1 << 14, 1 << 15  # marks on a set's number: of a task of two sub-blocks, and in the second of them
 _DEALT = "part int, sig binary, at binary, cls binary, size binary, sketch binary"
 
 
-def _dealt(parts: int, often_sent):
+def _dealt(parts: int, often_sent, splits: np.ndarray, most: int):
     """Blocks of signatures for each part, with the class, size and sketch of each set once in a block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,9 +318,11 @@ def _dealt(parts: int, often_sent):
             for start in range(0, len(pdf), BATCH):
                 batch = pdf.iloc[start : start + BATCH]
                 toks, row, sizes = _flat(batch)
-                sig, first, r = signatures(toks, row, sizes, often)
+                sig, first, r, hot = signatures(toks, row, sizes, often, most)
                 if not len(sig):
                     continue
+                cls = batch["cls"].to_numpy()
+                sig, first, r = sub_blocks(sig, first, r, hot, cls, splits)
                 raw: list[bytes] = [b""] * len(batch)
                 of = size_class(sizes)
                 for c in np.unique(of):
@@ -276,7 +332,6 @@ def _dealt(parts: int, often_sent):
                     use = of[row] == c
                     for k, x in zip(mine.tolist(), sketches(toks[use], new[row[use]], len(mine), 1 << int(c))):
                         raw[k] = x.tobytes()
-                cls = batch["cls"].to_numpy()
                 part = (first % np.uint64(parts)).astype(np.int32)
                 short = (sig >> np.uint64(32)).astype(np.uint32)
                 by = np.lexsort((short, part))
@@ -284,8 +339,8 @@ def _dealt(parts: int, often_sent):
                 cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 out = []
                 for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
-                    sets, at = np.unique(r[a:b], return_inverse=True)
-                    out.append((part[a], _planes(short[a:b]), at.astype(np.uint16).tobytes(), cls[sets].tobytes(), sizes[sets].astype(np.int32).tobytes(), b"".join([raw[k] for k in sets.tolist()])))
+                    sets, at = np.unique(r[a:b] & (CROSS - 1), return_inverse=True)
+                    out.append((part[a], _planes(short[a:b]), (at | (r[a:b] & (CROSS | SIDE))).astype(np.uint16).tobytes(), cls[sets].tobytes(), sizes[sets].astype(np.int32).tobytes(), b"".join([raw[k] for k in sets.tolist()])))
                 yield pd.DataFrame(out, columns=["part", "sig", "at", "cls", "size", "sketch"])
 
     return run
@@ -344,10 +399,11 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw = [(size_class(sizes[a:b]), r.sketch) for r, a, b in zip(rows, base, base[1:])]
         sets = _Sets(np.frombuffer(b"".join([r.cls for r in rows]), dtype=np.int64), sizes, raw)
         sig = np.concatenate([_unplanes(r.sig, np.uint32) for r in rows])
-        at = np.concatenate([np.frombuffer(r.at, dtype=np.uint16).astype(np.int64) + b for r, b in zip(rows, base)])
+        marked = np.concatenate([np.frombuffer(r.at, dtype=np.uint16) for r in rows])
+        at = (marked & (CROSS - 1)).astype(np.int64) + np.repeat(base[:-1], [len(r.at) // 2 for r in rows])
         del rows, raw
         order = np.argsort(sig, kind="stable")
-        sig, at = sig[order], at[order]
+        sig, at, marked = sig[order], at[order], marked[order]
         found: list[np.ndarray] = []
         kept, gap = 0, 1
         live = np.arange(len(sig))
@@ -361,6 +417,7 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 a, b = at[i], at[i + gap]
                 na, nb = sets.sizes[a], sets.sizes[b]
                 ok = (2 * na >= nb) & (2 * nb >= na) & (sets.cls[a] != sets.cls[b])
+                ok &= (marked[i] & CROSS == 0) | (marked[i] & SIDE != marked[i + gap] & SIDE)
                 a, b = a[ok], b[ok]
                 pair = np.unique(np.minimum(a, b) * len(sets.cls) + np.maximum(a, b))
                 a, b = pair // len(sets.cls), pair % len(sets.cls)
@@ -402,46 +459,111 @@ def _hamming(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def classes_of(texts: DataFrame, words: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(members rel, grp, key, cls; classes cls, toks), both written to the shared folder."""
-    kinds = "rel string, grp string, key string, cls bigint, toks binary"
-    keyed = stored(texts.select("rel", "grp", "key", "content").where("key is not null").mapInPandas(lambda b: _classes(b, words), kinds), "dup-keys")
-    classes = stored(keyed.where("toks is not null").select("cls", "toks").repartition(shuffle_partitions(texts.sparkSession), "cls").mapInArrow(_firsts, "cls bigint, toks binary"), "dup-classes")
-    return keyed.select("rel", "grp", "key", "cls").distinct(), classes
-
-
-def similar_classes(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of similar classes, each once."""
+    """(members rel, grp, key, txt, cls; classes cls, toks), both written to the shared folder; txt is a hash of the exact text."""
+    spark = texts.sparkSession
+    ship_package(spark)
+    kinds = "rel string, grp string, key string, txt bigint, cls bigint, toks binary"
+    rows = texts.select("rel", "grp", "key", "content").where("key is not null").withColumn("txt", F.xxhash64("content"))
+    keyed = stored(rows.mapInPandas(lambda b: _classes(b, words), kinds), "dup-keys")
+    sets = keyed.where("toks is not null").select("cls", "toks").repartition(shuffle_partitions(spark), "cls").sortWithinPartitions("cls")
+    classes = stored(sets.mapInArrow(_firsts, "cls bigint, toks binary"), "dup-classes")
+    return keyed.select("rel", "grp", "key", "txt", "cls").distinct(), classes
+
+
+def similar_classes(classes: DataFrame, most: int = HOT) -> DataFrame:
+    """(a, b), a < b: all pairs of similar classes, each once; a signature of more than ``most`` sets is split."""
     spark = classes.sparkSession
     total = classes.count()
     counts = hashed_counts(classes, lambda pdf: (_flat(pdf)[0] >> np.uint32(32 - BITS)).astype(np.int64), 1 << BITS)
     sent = spark.sparkContext.broadcast(np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8))
+    splits = np.ones(1 << HOT_BITS, dtype=np.uint16)
+    if counts.max(initial=0) > most:
+        splits = np.clip(-(-hashed_counts(classes, _hot_places(sent, most), 1 << HOT_BITS).astype(np.int64) // most), 1, 65_535).astype(np.uint16)
     parts = max(shuffle_partitions(spark), math.ceil(total / CLASSES_A_PART))
-    dealt = classes.mapInPandas(_dealt(parts, sent), _DEALT).repartition(parts, "part")
+    dealt = classes.mapInPandas(_dealt(parts, sent, splits, most), _DEALT).repartitionById(parts, "part")
     met = stored(dealt.mapInPandas(_met, "a bigint, b bigint").distinct(), "dup-candidates")
     whole = met.join(classes.select(F.col("cls").alias("a"), F.col("toks").alias("x")), "a").join(classes.select(F.col("cls").alias("b"), F.col("toks").alias("y")), "b")
     return stored(whole.mapInPandas(_hamming, "a bigint, b bigint"), "dup-links")
 
 
+def _across(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Links between what stands in the same group: ``left`` has (rel, grp, cls, u), ``right`` (rel, grp, cls, v)."""
+    x = left.select("rel", "grp", F.col("cls").alias("a"), "u")
+    y = right.select("rel", "grp", F.col("cls").alias("b"), "v")
+    return links.join(x, "a").join(y, ["rel", "grp", "b"])
+
+
 def similar_pairs(texts: DataFrame, words: int = 3) -> DataFrame:
     """(rel, key_a, key_b), key_a < key_b: pairs of keys of one rel and group with similar contents.
 
     ``texts`` has (rel, grp, key, content), no other columns are read. Null contents and keys,
     empty texts and those of fewer than ``words`` words take no part; repeated rows of a key
-    count once; texts are compared whole; an empty table gives no rows. Keys with the same
-    shingle set are paired with each other; where more than ``COPIES_EXPANDED`` keys of a
-    group share a set, each is paired with the least of them, and other sets' keys with that one.
+    count once; texts are compared whole; an empty table gives no rows. Every two different texts
+    that are similar are paired, and so are exact copies, but where more than ``COPIES_EXPANDED``
+    keys of a group have shingles in common and some of them one and the same text: these are paired
+    with the least of them, which stands for them in all other pairs (``similar_groups`` has every key).
     """
     members, classes = classes_of(texts, words)
     links = similar_classes(classes)
-    counts = members.groupBy("rel", "grp", "cls").agg(F.count("*").alias("n"), F.min("key").alias("least"))
-    large = counts.where(F.col("n") > COPIES_EXPANDED).select("rel", "grp", "cls", "least")
-    joined = members.join(large, ["rel", "grp", "cls"], "left")
+    texts_of = members.groupBy("rel", "grp", "cls", "txt").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    sizes = texts_of.groupBy("rel", "grp", "cls").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    large = sizes.where(F.col("n") > COPIES_EXPANDED).select("rel", "grp", "cls")
+    stars = texts_of.join(large, ["rel", "grp", "cls"]).select("rel", "grp", "cls", "txt", "least")
+    joined = members.join(stars, ["rel", "grp", "cls", "txt"], "left")
     star = joined.where(F.col("least").isNotNull() & (F.col("key") > F.col("least"))).select("rel", F.col("least").alias("key_a"), F.col("key").alias("key_b"))
     usual = joined.where(F.col("least").isNull() | (F.col("key") == F.col("least"))).select("rel", "grp", "cls", "key")
-    shared = counts.where(F.col("n").between(2, COPIES_EXPANDED)).select("rel", "grp", "cls")
-    several = members.join(shared, ["rel", "grp", "cls"], "left_semi")
+    shared = sizes.where(F.col("n").between(2, COPIES_EXPANDED) | (F.col("texts") > 1)).select("rel", "grp", "cls")
+    several = usual.join(shared, ["rel", "grp", "cls"], "left_semi")
     copies = several.alias("x").join(several.alias("y"), ["rel", "grp", "cls"]).where("x.key < y.key").select("rel", F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))
-    x = usual.select("rel", "grp", F.col("cls").alias("a"), F.col("key").alias("k1"))
-    y = usual.select("rel", "grp", F.col("cls").alias("b"), F.col("key").alias("k2"))
-    across = links.join(x, "a").join(y, ["rel", "grp", "b"]).select("rel", F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"))
+    across = _across(links, usual.withColumnRenamed("key", "u"), usual.withColumnRenamed("key", "v")).where("u <> v").select("rel", F.least("u", "v").alias("key_a"), F.greatest("u", "v").alias("key_b"))
     return across.unionByName(copies).unionByName(star).distinct()
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """One round towards components: every node's neighbours are tied to the least of them, the greater ones and then the lesser."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(u, v): the least node of the component of each node that isn't itself the least, from edges (u, v) of numbers.
+
+    Alternating stars: a number of rounds that grows with the logarithm of the nodes, each a written
+    table; an edge never meets more than the least neighbour of its node, so that no neighbourhood is collected.
+    """
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+
+    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "dup-star")
+    before = mark(now)
+    while True:
+        now = stored(_stars(now), "dup-star")
+        after = mark(now)
+        if after == before:
+            return now
+        before = after
+
+
+def similar_groups(texts: DataFrame, words: int = 3) -> DataFrame:
+    """(rel, key, class_id, group_id, n_similar): a row for each key that has a similar one in its rel and group.
+
+    ``class_id`` is the least key with the same shingles, ``group_id`` the least key of all that are
+    tied by similar contents, directly or through others, and ``n_similar`` the number of other keys
+    that are similar to this one. Keys are told apart within their rel. The rules for contents are those of
+    ``similar_pairs``; copies of any number are rows here and never pairs.
+    """
+    members, classes = classes_of(texts, words)
+    links = similar_classes(classes)
+    of = stored(members.groupBy("rel", "grp", "cls").agg(F.countDistinct("key").alias("n"), F.min("key").alias("class_id")).withColumn("node", F.xxhash64("rel", "grp", "cls")), "dup-nodes")
+    side = of.select("rel", "grp", "cls", F.struct("node", "n").alias("u"))
+    tied = stored(_across(links, side, side.withColumnRenamed("u", "v")).select(F.col("u.node").alias("u"), F.col("u.n").alias("nu"), F.col("v.node").alias("v"), F.col("v.n").alias("nv")), "dup-ties")
+    near = tied.select("u", F.col("nv").alias("n")).unionByName(tied.select(F.col("v").alias("u"), F.col("nu").alias("n"))).groupBy("u").agg(F.sum("n").alias("others"))
+    roots = components(tied.select("u", "v")).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    placed = of.join(near.withColumnRenamed("u", "node"), "node", "left").join(roots, "node", "left").where("n > 1 or others is not null").withColumn("root", F.coalesce("root", "node"))
+    first = placed.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    known = placed.join(first, "root").select("rel", "grp", "cls", "class_id", "group_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"))
+    return members.select("rel", "grp", "cls", "key").distinct().join(known, ["rel", "grp", "cls"]).groupBy("rel", "key").agg(F.min("class_id").alias("class_id"), F.min("group_id").alias("group_id"), F.sum("n_similar").alias("n_similar"))

@@ -11,11 +11,20 @@ from quillfold.llm import binpack, encode, mixing, neardup, neighbours, pairs, s
 from quillfold.sources.tables import table
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+def _contents(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "vector_records").select(F.lit("vector_records").alias("rel"), F.lit("").alias("grp"), F.col("id").alias("key"), "content")
     key = F.format_string("%s#%02d", "request_id", "source_index")
     sources = table(spark, folder, "retrieved_sources").where("request_id is not null and source_index is not null").select(F.lit("retrieved_sources").alias("rel"), F.col("request_id").alias("grp"), key.alias("key"), "content")
-    return neardup.similar_pairs(records.unionByName(sources))
+    return records.unionByName(sources)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.similar_pairs(_contents(spark, folder))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each chunk that has similar ones: its class of equal shingles, its group, and how many are similar to it."""
+    return neardup.similar_groups(_contents(spark, folder))
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +110,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_repaired, p4_found, p4_contexts, p5_found, p5_neighbours, p6_found, p6_pieces, p7_ids, p8_uses, p8_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_repaired, p4_found, p4_contexts, p5_found, p5_neighbours, p6_found, p6_pieces, p7_ids, p8_uses, p8_shares, p9_found)}
 
 SQL: dict[str, str] = {
     "p4_found": """

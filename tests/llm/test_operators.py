@@ -61,11 +61,51 @@ def test_similar_pairs_of_an_empty_table(spark):
     assert neardup.similar_pairs(spark.createDataFrame([], "rel string, grp string, key string, content string")).count() == 0
 
 
-def test_copies_beyond_the_bound_are_a_star(spark, monkeypatch):
+def test_only_exact_copies_beyond_the_bound_are_a_star(spark, monkeypatch):
     monkeypatch.setattr(neardup, "COPIES_EXPANDED", 3)
     rows = [("r", "", f"{k}", "one two three four five six seven eight") for k in range(6)] + [("r", "", "x", "one two three four five six seven nine")]
+    rows += [("r", "", "y", "One two three four five six seven eight!"), ("r", "", "z", "ONE two three four five six seven eight")]
     got = {tuple(r)[1:] for r in neardup.similar_pairs(spark.createDataFrame(rows, "rel string, grp string, key string, content string")).collect()}
-    assert got == {("0", str(k)) for k in range(1, 6)} | {("0", "x")}
+    assert got == {("0", str(k)) for k in range(1, 6)} | {("0", "x"), ("0", "y"), ("0", "z"), ("x", "y"), ("x", "z"), ("y", "z")}
+
+
+def test_split_signatures_lose_nothing(spark):
+    rng = random.Random(11)
+    shared = [rng.choice(VOCAB) for _ in range(40)]
+    rows = [("r", "", f"k{k:03d}", " ".join(edited(rng, shared) + [rng.choice(VOCAB) for _ in range(rng.randint(2, 25))])) for k in range(120)]
+    rows += [("r", "", f"s{k:03d}", " ".join(edited(rng, shared[:10]))) for k in range(60)]
+    _, classes = neardup.classes_of(spark.createDataFrame(rows, "rel string, grp string, key string, content string"))
+    whole = {tuple(r) for r in neardup.similar_classes(classes).collect()}
+    assert len(whole) > 500 and {tuple(r) for r in neardup.similar_classes(classes, most=7).collect()} == whole
+
+
+def test_groups_are_the_components_of_all_pairs(spark):
+    rng = random.Random(12)
+    rows = [("r", "", "none", None), ("s", "q1", "q1#01", "one two three four"), ("s", "q1", "q1#02", "one two three four"), ("s", "q2", "q2#01", "one two three four")]
+    for g in range(12):
+        base = [rng.choice(VOCAB) for _ in range(rng.choice([6, 12, 40, 200]))]
+        for m in range(rng.randint(1, 9)):
+            base = edited(rng, base)
+            rows.append(("r", "", f"k{g:02d}-{m}", " ".join(base)))
+            if rng.random() < 0.3:
+                rows.append(("r", "", f"k{g:02d}-{m}c", " ".join(base).upper()))
+    df = spark.createDataFrame(rows + rows[-1:], "rel string, grp string, key string, content string").withColumn("node", F.lit(1))
+    pairs_ = [tuple(r) for r in neardup.similar_pairs(df).collect()]
+    root = {(r[0], r[2]): (r[0], r[2]) for r in rows}
+    for rel, a, b in pairs_:
+        x, y = root[rel, a], root[rel, b]
+        for k in root:
+            if root[k] in (x, y):
+                root[k] = min(x, y)
+    many = {}
+    for rel, a, b in pairs_:
+        for k in (a, b):
+            many[rel, k] = many.get((rel, k), 0) + 1
+    got = {(r.rel, r.key): r for r in neardup.similar_groups(df).collect()}
+    assert set(got) == set(many) and all(got[k].n_similar == n and (k[0], got[k].group_id) == root[k] for k, n in many.items())
+    sets = {(r[0], r[1], r[2]): brute_sets(r[3]) for r in rows}
+    assert all(sets["r", "", r.class_id] == sets["r", "", r.key] and r.class_id <= r.key for r in got.values() if r.rel == "r")
+    assert neardup.similar_groups(df.limit(0)).count() == 0
 
 
 def test_pigeonring_keeps_every_pair_within_the_budget():
@@ -248,6 +288,32 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.neighbours(df.limit(0)).count() == 0
 
 
+def test_one_vector_of_another_length_loses_no_others(spark):
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.normal(size=(5, 4)), 4, axis=0) + 0.01 * rng.normal(size=(20, 4))
+    rows = [(f"{k:02d}", x.tolist()) for k, x in enumerate(v)]
+    plain = {tuple(r) for r in neighbours.close_pairs(spark.createDataFrame(rows, "id string, embedding array<double>"), 0.9).collect()}
+    odd = {tuple(r) for r in neighbours.close_pairs(spark.createDataFrame(rows + [("odd", [1.0] * 8)], "id string, embedding array<double>"), 0.9).collect()}
+    assert len(plain) >= 30 and plain == odd
+
+
+def test_blocks_of_cells_cover_every_vector():
+    rng = np.random.default_rng(7)
+    index = neighbours.MultiIndex(rng.random((6, 3), dtype=np.float32), rng.random((5, 3), dtype=np.float32))
+    count = rng.integers(0, 3000, size=30)
+    count[[3, 17]] = 2 * neighbours.BLOCK + 5, 0
+    index.deal(count)
+    assert (index.parts == np.where(count > neighbours.BLOCK, 3, count > 0)).all() and index.parts[17] == 0
+    load = np.zeros(len(index.tasks))
+    for c in np.flatnonzero(count):
+        load[index.block[c] : index.block[c] + index.parts[c]] += count[c] / index.parts[c]
+    assert (load > 0).all() and load.max() <= 2 * neighbours.BLOCK and round(load.sum()) == count.sum()
+    row, block, second = index.visits(rng.random((40, 6), dtype=np.float32), 30, 9.0)
+    assert len(row) == 40 * (29 + 2) and set(block) == set(range(len(index.tasks)))
+    of = {b: {int(c) // 5 for c in np.flatnonzero(count) if index.block[c] <= b < index.block[c] + index.parts[c]} for b in range(len(index.tasks))}
+    assert all(len(x) == 1 for x in of.values())
+
+
 def test_walk_visits_cells_in_order_of_distance():
     rng = np.random.default_rng(5)
     d1, d2 = rng.random((50, 9)), rng.random((50, 7))

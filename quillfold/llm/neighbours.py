@@ -110,6 +110,7 @@ class MultiIndex:
 
     def deal(self, count: np.ndarray) -> None:
         """Blocks from the number of vectors of each cell."""
+        count = count.astype(np.int64)
         whole = (count > 0) & (count <= BLOCK)
         grid = np.where(whole, count, 0).reshape(len(self.first), -1)
         before = (np.cumsum(grid, axis=1) - grid) // BLOCK

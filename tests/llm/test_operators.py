@@ -302,7 +302,7 @@ def test_blocks_of_cells_cover_every_vector():
     index = neighbours.MultiIndex(rng.random((6, 3), dtype=np.float32), rng.random((5, 3), dtype=np.float32))
     count = rng.integers(0, 3000, size=30)
     count[[3, 17]] = 2 * neighbours.BLOCK + 5, 0
-    index.deal(count)
+    index.deal(count.astype(np.uint32))
     assert (index.parts == np.where(count > neighbours.BLOCK, 3, count > 0)).all() and index.parts[17] == 0
     load = np.zeros(len(index.tasks))
     for c in np.flatnonzero(count):

@@ -1,12 +1,15 @@
 """Problem 3: repair of texts read from scanned pages.
 
-Running headers are lines at page edges that come back, fuzzily, within a text; page numbers
+Running headers are lines like titles at page edges that come back, fuzzily, within a text or at
+the edges of other texts of the same source. A page's edge is the beginning or end of a text, a
+neighbour of a page number, or a place where the line breaks a sentence in two. Page numbers
 are lines of a number in its usual dress, or bare numbers that stand apart and count up. Both
 are taken out. Then the lines of a paragraph are joined: a word broken at a line end is put
 together where the corpus knows it so, and keeps its hyphen where the corpus knows the
 compound. Last, a word that the corpus hardly knows is replaced by one that it knows well and
 that scanning confuses with it. The corpus vocabulary is counted over all texts, in a
-count-min sketch of fixed size.
+count-min sketch that is widened until a quarter of its places are used, up to 64 MB. In one that is
+fuller than that, what most places have by chance is taken off every count.
 """
 
 from __future__ import annotations
@@ -22,9 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillfold.functions.text import normalize_source
 from quillfold.llm.sketch import hashed_counts
+from quillfold.sources.tables import ship_package, stored
 
-BINS = 1 << 20  # of each of the two rows of the sketch
+BINS, MOST_BINS = 1 << 20, 1 << 23  # of each of the two rows of the sketch
+FULL = 0.25  # of the places, from which a sketch is widened
+TEXTS, SHARE = 3, 0.3  # of a source that have a line at an edge, from which it is a running header
 ENOUGH = 1e-6  # of all words: what a form takes to be known well; no limit is a count, so that a larger corpus of the same kind is judged alike
 NOISE = ("hyphenation", "misread", "header", "page_number")
 
@@ -50,12 +57,12 @@ CONFUSED = (
 SIGNS = {"0": "o", "1": "l", "5": "s", "@": "a", "!": "i", "‡": "t", "†": "t", "$": "s", "|": "l"}
 
 
-def _places(word: str) -> tuple[int, int]:
+def _places(word: str, bins: int = BINS) -> tuple[int, int]:
     h = xxhash.xxh64_intdigest(word)
-    return h & (BINS - 1), BINS + ((h >> 32) & (BINS - 1))
+    return h & (bins - 1), bins + ((h >> 32) & (bins - 1))
 
 
-def _vocabulary_places(pdf: pd.DataFrame) -> np.ndarray:
+def _vocabulary_places(pdf: pd.DataFrame, bins: int = BINS) -> np.ndarray:
     seen: Counter[str] = Counter()
     for text in pdf.iloc[:, 0]:
         if isinstance(text, str):
@@ -69,23 +76,26 @@ def _vocabulary_places(pdf: pd.DataFrame) -> np.ndarray:
                 seen.update(words)
     if not seen:
         return np.zeros((2, 0), dtype=np.int64)
-    at = np.array([_places(w) for w in seen], dtype=np.int64)
+    at = np.array([_places(w, bins) for w in seen], dtype=np.int64)
     counts = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
     return np.stack([np.concatenate([at[:, 0], at[:, 1]]), np.concatenate([counts, counts])])
 
 
 class Vocabulary:
     def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.enough = max(1.0, ENOUGH * int(counts[:BINS].sum(dtype=np.uint64)))
+        self.counts, self.bins = counts, len(counts) // 2
+        self.enough = max(1.0, ENOUGH * int(counts[: self.bins].sum(dtype=np.uint64)))
+        # What a place has by chance: both rows exceed it in one of twenty words that never occur.
+        at = int(0.78 * self.bins)
+        self.chance = min(int(np.partition(row, at)[at]) for row in (counts[: self.bins], counts[self.bins :]))
         self.seen: dict[str, int] = {}
         self.meant: dict[str, str | None] = {}
 
     def count(self, word: str) -> int:
         n = self.seen.get(word)
         if n is None:
-            a, b = _places(word)
-            n = self.seen[word] = int(min(self.counts[a], self.counts[b]))
+            a, b = _places(word, self.bins)
+            n = self.seen[word] = max(0, int(min(self.counts[a], self.counts[b])) - self.chance)
             if len(self.seen) > 500_000:
                 self.seen.clear()
                 self.meant.clear()
@@ -141,31 +151,78 @@ def _like_title(bare: str) -> bool:
     return 2 * sum(not w[0].islower() for w in words) >= len(words)
 
 
-def header_lines(lines: list[str]) -> tuple[set[int], bool]:
-    """Lines like titles that come back nearly the same with text between, and whether a page
-    number stands in them: a last or first number that isn't the same throughout."""
-    groups: list[tuple[str, set[str], list[int]]] = []
-    for k, line in enumerate(lines):
-        bare = line.strip()
-        key = _line_key(bare)
-        if not 5 <= len(key) <= 70 or bare[-1:] in ".,;:。，；" or bare[:1] in "#|`-*" or "(" in bare or PAGE.match(bare) or not _like_title(bare):
+def _title_key(line: str) -> str | None:
+    """The key of a line that looks like a title."""
+    bare = line.strip()
+    if not 5 <= len(bare) <= 140 or bare[-1:] in ".,;:。，；" or bare[:1] in "#|`-*" or "(" in bare:
+        return None
+    key = _line_key(bare)
+    return key if 5 <= len(key) <= 70 and not PAGE.match(bare) and _like_title(bare) else None
+
+
+def page_edges(lines: list[str]) -> set[int]:
+    """Lines that stand first or last, beside a page number, or within a sentence."""
+    full = [k for k, x in enumerate(lines) if x.strip()]
+    out = set(full[:1] + full[-1:])
+    for before, k, after in zip(full, full[1:], full[2:]):
+        if PAGE.match(lines[before]) or PAGE.match(lines[after]):
+            out.add(k)
             continue
+        end, begin = lines[before].rstrip()[-1], lines[after].lstrip()[0]
+        if end in HYPHENS or (end not in ".!?:;。！？：；" and not begin.isupper() and begin not in "#|`-*"):
+            out.add(k)
+    return out
+
+
+FOLDS = str.maketrans("etlhqnv", "cfibguy")  # letters that scanning takes for one another, as one
+
+
+def folded(key: str) -> str:
+    """A title's key with the letters that scanning confuses made one, to be equal across texts."""
+    return key.replace("rn", "m").replace("vv", "w").replace("cl", "d").translate(FOLDS)
+
+
+def edge_titles(text: str) -> set[str]:
+    """The folded keys of the titles at page edges."""
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    return {folded(key) for k in page_edges(lines) if (key := _title_key(lines[k]))}
+
+
+def header_lines(lines: list[str], known: frozenset[str] = frozenset()) -> tuple[set[int], bool]:
+    """Running headers, and whether a page number stands in them: a last or first number that isn't
+    the same throughout. ``known`` has the folded keys of the headers of other texts of the source."""
+    groups: dict[str, list[int]] = {}
+    for k, line in enumerate(lines):
+        key = _title_key(line)
+        if key:
+            groups.setdefault(key, []).append(k)
+    # Keys that are nearly equal are one; only keys of nearly the same length are compared.
+    merged: list[tuple[str, set[str], list[int]]] = []
+    by_length: dict[int, list[int]] = {}
+    for key, at in groups.items():
         parts = {key[j : j + 3] for j in range(len(key) - 2)}
-        for first, of_first, at in groups:
-            if first == key or (abs(len(first) - len(key)) <= 3 and 3 * len(parts & of_first) >= len(parts) and SequenceMatcher(None, first, key, autojunk=False).ratio() >= 0.85):
-                at.append(k)
+        for g in [g for n in range(len(key) - 3, len(key) + 4) for g in by_length.get(n, ())]:
+            first, of_first, has = merged[g]
+            if 3 * len(parts & of_first) >= len(parts) and SequenceMatcher(None, first, key, autojunk=False).ratio() >= 0.85:
+                has += at
                 break
         else:
-            groups.append((key, parts, [k]))
+            by_length.setdefault(len(key), []).append(len(merged))
+            merged.append((key, parts, list(at)))
+    edge = page_edges(lines)
     found: set[int] = set()
     numbered = False
-    for _, _, at in groups:
-        text = [k for k in range(at[0], at[-1]) if k not in at and len(lines[k].strip()) > 20] if len(at) > 1 else []
-        if len(at) > 1 and text and all(b - a > 1 for a, b in zip(at, at[1:])):
-            found |= set(at)
+    for key, _, at in merged:
+        at.sort()
+        here = set(at)
+        text = len(at) > 1 and any(k not in here and len(lines[k].strip()) > 20 for k in range(at[0], at[-1]))
+        if text and here & edge and all(b - a > 1 for a, b in zip(at, at[1:])):
+            found |= here
             for place in (IN_TAIL, IN_HEAD):
                 numbers = [m.group(1) if (m := place.search(lines[k].strip())) else None for k in at]
                 numbered |= None not in numbers and len(set(numbers)) > 1
+        elif known and folded(key) in known:
+            found |= here & edge
     return found, numbered
 
 
@@ -197,11 +254,11 @@ def page_lines(lines: list[str]) -> set[int]:
     return set(dressed) | {k for k, _ in bare}
 
 
-def repair(text: str, known: Vocabulary) -> tuple[str, list[str]]:
-    """The text in continuous paragraphs, and the kinds of noise that it had."""
+def repair(text: str, known: Vocabulary, headers: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
+    """The text in continuous paragraphs, and the kinds of noise that it had; ``headers`` are those of its source."""
     noise: set[str] = set()
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    (heads, numbered), pages = header_lines(lines), page_lines(lines)
+    (heads, numbered), pages = header_lines(lines, headers), page_lines(lines)
     if heads:
         noise.add("header")
     if pages or numbered:
@@ -300,23 +357,54 @@ def _rejoin(left: str, right: str, known: Vocabulary) -> tuple[bool, str, bool]:
 
 def vocabulary(df: DataFrame, text_col: str = "content") -> np.ndarray:
     """Counts of the lower-cased words of all texts; half words at line ends are left out."""
-    return hashed_counts(df.select(F.col(text_col)), _vocabulary_places, 2 * BINS)
+    bins = BINS
+    while True:
+        counts = hashed_counts(df.select(F.col(text_col)), lambda pdf, n=bins: _vocabulary_places(pdf, n), 2 * bins)
+        if bins >= MOST_BINS or np.count_nonzero(counts[:bins]) < FULL * bins:
+            return counts
+        bins = min(4 * bins, MOST_BINS)
+
+
+def running_headers(df: DataFrame, source_col: str = "source", text_col: str = "content") -> DataFrame:
+    """(src, heads array<string>): titles that stand at page edges in ``TEXTS`` or more texts of a source, and in a
+    share of ``SHARE`` of them, so that a source has a handful at most. Counted over all rows by partial aggregation."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(s, h) for s, t in zip(pdf["src"], pdf["t"]) if isinstance(t, str) for h in ["", *edge_titles(t)]]
+            yield pd.DataFrame(out, columns=["src", "head"], dtype="str")
+
+    texts = df.where(F.col(source_col).isNotNull() & F.col(text_col).isNotNull()).select(normalize_source(F.trim(source_col)).alias("src"), F.col(text_col).alias("t"))
+    counted = texts.mapInPandas(run, "src string, head string").groupBy("src", "head").agg(F.count("*").alias("n"))
+    of = counted.groupBy("src").agg(F.max(F.when(F.col("head") == "", F.col("n"))).alias("texts"))
+    often = counted.where((F.col("head") != "") & (F.col("n") >= TEXTS)).join(of, "src").where(F.col("n") >= SHARE * F.col("texts"))
+    return often.groupBy("src").agg(F.sort_array(F.collect_list("head")).alias("heads"))
 
 
-def repair_scans(df: DataFrame, counts: np.ndarray, id_col: str = "id", text_col: str = "content") -> DataFrame:
+def repair_scans(df: DataFrame, counts: np.ndarray, id_col: str = "id", text_col: str = "content", source_col: str = "source") -> DataFrame:
     """(id, repaired string, noise array<string>) of each row of ``df``.
 
     A null text gives a null text and no noise, a blank one an empty text. Repeated rows come
-    out as often as they went in. Texts are read whole. The counts have a fixed size of 8 MB.
+    out as often as they went in. Texts are read whole. The counts have a bounded size of 64 MB.
+    Where ``df`` has the column of sources, headers are also told from the other texts of a source; a
+    null source has none.
     """
     spark = df.sparkSession
+    ship_package(spark)
     sent = spark.sparkContext.broadcast(counts)
     kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), (normalize_source(F.trim(source_col)) if source_col in df.columns else F.lit(None).cast("string")).alias("src"))
+    if source_col in df.columns:
+        heads = stored(running_headers(df, source_col, text_col), "heads")
+        few = heads.count() <= 20_000  # of at most some hundred bytes each
+        rows = rows.join(F.broadcast(heads) if few else heads, "src", "left")
+    else:
+        rows = rows.withColumn("heads", F.lit(None).cast("array<string>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Vocabulary(sent.value)
         for pdf in batches:
-            got = [repair(t, known) if isinstance(t, str) else (None, []) for t in pdf.iloc[:, 1]]
-            yield pd.DataFrame({"id": pdf.iloc[:, 0].to_numpy(), "repaired": [g[0] for g in got], "noise": [g[1] for g in got]})
+            got = [repair(t, known, frozenset() if h is None else frozenset(h)) if isinstance(t, str) else (None, []) for t, h in zip(pdf["t"], pdf["heads"])]
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "repaired": [g[0] for g in got], "noise": [g[1] for g in got]})
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, repaired string, noise array<string>").withColumnRenamed("id", id_col)
+    return rows.select("id", "t", "heads").mapInPandas(run, f"id {kind}, repaired string, noise array<string>").withColumnRenamed("id", id_col)

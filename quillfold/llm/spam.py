@@ -4,8 +4,13 @@ A page is a sequence of lines; each line has a hidden label (prose, link list, t
 menu) and shows seven discrete features. Given the label the features are independent, and a
 label depends on the one before. The model is trained here: seed labels by plain rules on a
 bounded sample of pages, then rounds of Viterbi training (label the sample with the most
-likely path, count again). Lines are then labelled over the whole corpus, and a page is
+likely path, count again), in which lines whose seed is certain keep it, so that the labels
+can't drift to other meanings with another sample. Lines are then labelled over the whole corpus, and a page is
 flagged when more than half of its characters stand in lines that aren't prose.
+
+Front matter, code and table rows with numbers are structure, neither prose nor spam. Headings
+and other table rows are structure of a page that has sentences; where there are none, they are
+labelled like all lines.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)|<a\s[^>]*>[^<]*</a>|https?://[^\s<>\
 MARKS = re.compile(r"[,;|#•·»/、，；]| [–—-] ")
 SENTENCE_END = re.compile(r"[.!?](?=[\s\"”')\]]|$)|[。！？]")
 TABLE = re.compile(r"^\s*\|.*\|\s*$")
+FIGURES = re.compile(r"\|\s*[^|A-Za-z一-鿿]*\s*(?=\|)")  # a cell without letters
+HARD, SOFT = 1, 2  # structure that is never labelled, and structure that is where a page has no sentences
+LEAST_PROSE = 0.1  # of a page's characters, from which it has sentences
+SOFT_LINES = 5  # labelled headings and rows from which they count
 SIZES = (4, 4, 5, 5, 4, 5, 4)  # values of each feature
 
 
@@ -53,11 +62,7 @@ def _bucket(x: float, bounds: tuple[float, ...]) -> int:
 
 
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a page: features and characters of each line, and which lines are structure.
-
-    Blank lines are left out. Structure is front matter, code, tables and headings; it counts
-    as content of the page that is neither prose nor spam.
-    """
+    """Of a page: features and characters of each line, and which lines are structure (0, HARD or SOFT). Blank lines are left out."""
     lines = [x.strip() for x in text.splitlines()]
     rows, chars, plain = [], [], []
     fence = front = False
@@ -65,13 +70,17 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, line in enumerate(lines):
         if not line:
             continue
-        structure = fence or front
+        structure, size_of = HARD if fence or front else 0, len(line)
         if line[:3] == "```":
-            fence, structure = not fence, True
+            fence, structure = not fence, HARD
         elif line == "---" and (k == 0 or front):
-            front, structure = not front, True
-        elif line[0] == "|" and TABLE.match(line) or line[0] == "#" and line[1:2] in (" ", "#"):
-            structure = True
+            front, structure = not front, HARD
+        elif line[0] == "|" and TABLE.match(line):
+            structure = structure or (HARD if FIGURES.search(line) else SOFT)
+            line = line.strip("| ").replace("|", ",") or line
+        elif line[0] == "#" and line[1:2] in (" ", "#"):
+            structure = structure or SOFT
+            line = line.strip("# ") or line
         bare = LINK.sub(" ", line) if "://" in line or "<a" in line else line
         linked = 1 - len(bare.strip(" -*:.\t")) / len(line)
         words = WORD.findall(bare.lower())
@@ -81,33 +90,37 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if cjk * 2 > n:
             function = sum([1 for w in words if w in FUNCTION_CHARS]) / n
             level = _bucket(function, (1e-9, 0.05, 0.10))
-            fresh = 0 if n < 16 else 1 + _bucket(len(kinds) / n, (0.15, 0.3, 0.45))
+            again = 0 if n < 16 else 1 + _bucket(1 - len(set(zip(words, words[1:]))) / (n - 1), (0.2, 0.35, 0.5))
         else:
             function = sum([1 for w in words if w in FUNCTION_WORDS]) / n if n else 0.0
             level = _bucket(function, (1e-9, 0.08, 0.15))
-            fresh = 0 if n < 12 else 1 + _bucket(len(kinds) / n, (0.3, 0.5, 0.65))
+            again = 0 if n < 12 else 1 + _bucket(1 - len(set(zip(words, words[1:]))) / (n - 1), (0.2, 0.35, 0.5))
         ends = len(SENTENCE_END.findall(bare))
         stops = 0 if not ends else 1 + _bucket(n / ends / (2 if cjk * 2 > n else 1), (4, 7, 30))
         marks = _bucket(len(MARKS.findall(bare)) / max(n, 1), (1e-9, 0.12, 0.25))
         size = _bucket(n, (1, 4, 9, 25))
         shared = len(kinds & before) / len(kinds) if kinds else 0.0
-        rows.append((_bucket(linked, (1e-9, 0.35, 0.7)), level, stops, fresh, marks, size, _bucket(shared, (0.15, 0.35, 0.6))))
-        chars.append(len(line))
+        rows.append((_bucket(linked, (1e-9, 0.35, 0.7)), level, stops, again, marks, size, _bucket(shared, (0.15, 0.35, 0.6))))
+        chars.append(size_of)
         plain.append(structure)
         before = kinds
-    return np.array(rows, dtype=np.int8).reshape(-1, len(SIZES)), np.array(chars, dtype=np.int64), np.array(plain, dtype=bool)
+    return np.array(rows, dtype=np.int8).reshape(-1, len(SIZES)), np.array(chars, dtype=np.int64), np.array(plain, dtype=np.int8)
 
 
-def seed_labels(x: np.ndarray) -> np.ndarray:
-    """First labels of lines, by rules that only need to be right mostly."""
-    link, level, stops, fresh, marks, size, shared = x.T
+def seed_labels(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first labels of lines, which are certain), by rules that only need to be right mostly.
+
+    ``again`` is 1 to 4 by the share of pairs of words that the line had before, 0 in a short line.
+    """
+    link, level, stops, again, marks, size, shared = x.T
     label = np.full(len(x), PROSE)
     label[(level <= 1) & (size <= 3) & (stops == 0)] = MENU
-    label[(level <= 1) & ((fresh == 1) | (fresh == 2) | (marks >= 2)) & (size >= 3)] = TAGS
-    label[((fresh == 1) | (shared == 3)) & (level <= 2)] = TAGS
+    label[(level <= 1) & ((again >= 3) | (marks >= 2)) & (size >= 3)] = TAGS
+    label[(again >= 3) | ((shared == 3) & (level <= 2))] = TAGS
     label[(link >= 2)] = LINKS
-    label[(level >= 2) & (stops >= 2) & (fresh != 1) & (link < 2)] = PROSE
-    return label
+    label[(level >= 2) & (stops >= 2) & (again <= 2) & (link < 2)] = PROSE
+    sure = (link == 3) | ((again == 4) & (link < 2)) | ((level == 3) & (stops >= 2) & (again <= 1) & (link == 0) & (shared < 2))
+    return label, sure
 
 
 class LineModel:
@@ -151,11 +164,12 @@ class LineModel:
 
 
 def train(texts: list[str], rounds: int = ROUNDS) -> LineModel:
-    pages = [x[~s] for x, _, s in map(line_features, texts)]
-    labels = [seed_labels(x) for x in pages]
+    pages = [x[s == 0] for x, _, s in map(line_features, texts)]
+    seeds = [seed_labels(x) for x in pages]
+    labels = [y for y, _ in seeds]
     for _ in range(rounds):
         model = LineModel.counted(pages, labels)
-        labels = [model.path(x) for x in pages]
+        labels = [np.where(sure, y, model.path(x)) for x, (y, sure) in zip(pages, seeds)]
     return LineModel.counted(pages, labels)
 
 
@@ -165,8 +179,12 @@ def shares(model: LineModel, text: str) -> tuple[float, ...]:
     total = int(chars.sum())
     if not total:
         return (0.0,) * len(LABELS)
-    y = model.path(x[~structure])
-    return tuple((np.bincount(y, weights=chars[~structure], minlength=len(LABELS)) / total).tolist())
+    use = structure == 0
+    y = model.path(x[use])
+    if (structure == SOFT).sum() >= SOFT_LINES and chars[use][y == PROSE].sum() < LEAST_PROSE * total:
+        use = structure != HARD
+        y = model.path(x[use])
+    return tuple((np.bincount(y, weights=chars[use], minlength=len(LABELS)) / total).tolist())
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, sample_pages: int = SAMPLE_PAGES) -> LineModel:

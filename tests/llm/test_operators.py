@@ -190,6 +190,29 @@ def test_repair_of_a_scanned_page(spark):
     assert scans.repair_scans(df.limit(0), counts).count() == 0
 
 
+def test_headers_stand_at_page_edges(spark):
+    counts = known_words()
+    known = scans.Vocabulary(counts)
+    body = "The service owner must verify the calendar before the deposit is moved by the team."
+    mid = f"{body}\n\nSafety Bulletin\n\n{body}\n\nSafety Bulletin\n\n{body}"
+    assert "header" not in scans.repair(mid, known)[1]
+    rows = [(f"{k}", f"{'C0mmon' if k == 2 else 'Common'} Calendar Guide\n{body} {k}", "a/x.pdf" if k else "./a/x.pdf ") for k in range(4)]
+    rows += [("9", f"Common Calendar Guide\n{body}", "b.pdf"), ("8", f"Common Calendar Guide\n{body}", None), ("7", None, "a/x.pdf")]
+    df = spark.createDataFrame(rows, "id string, content string, source string").withColumn("heads", F.lit(1))
+    got = {r.id: r for r in scans.repair_scans(df, counts).collect()}
+    assert all("header" in got[str(k)].noise and "Guide" not in got[str(k)].repaired for k in range(4))
+    assert all("header" not in got[k].noise for k in ("9", "8", "7"))
+
+
+def test_a_full_sketch_takes_off_what_stands_there_by_chance():
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(6, size=2 * scans.BINS).astype(np.uint32)
+    np.add.at(counts, list(scans._places("calendar")), 5000)
+    known = scans.Vocabulary(counts)
+    assert abs(known.count("calendar") - 5000) < 15
+    assert np.mean([known.count(f"never{k}") > 0 for k in range(2000)]) < 0.1
+
+
 def test_misreadings_dont_depend_on_the_size_of_the_corpus():
     words = {"every": 4000, "evcry": 45, "dawn": 3000, "celui": 240, "celu": 1, "stop": 900, "stopl": 1, "base": 30, "line": 30, "the": 400_000, "and": 200_000, "aud": 26, "rest": 1_560_000}
     for times in (1, 10, 1000):
@@ -421,6 +444,20 @@ def page(kind, rng):
     return "# Title\n\n" + "\n\n".join(prose)
 
 
+def test_stuffed_headings_rows_and_sentences_are_labelled():
+    rng = random.Random(10)
+    model = spam.train([page(rng.choice(["prose"] * 6 + ["mixed", "links", "stuffed", "tags"]), rng) for _ in range(300)])
+    w = lambda: rng.choice(VOCAB)
+    head = "\n".join(f"# buy cheap alpha beta best {w()} alpha beta online alpha beta {w()} alpha beta" for _ in range(30))
+    rows = "\n".join(f"| {w()} {w()} | cheap {w()} | best {w()} | buy {w()} | top {w()} |" for _ in range(40))
+    sentences = " ".join(f"Buy {w()} quay {rng.choice(['cheap', 'fast'])} for {w()} quay. Buy alpha quay for alpha quay." for _ in range(20))
+    for text in (head, rows, sentences):
+        assert sum(spam.shares(model, text)[1:]) > 0.5
+    figures = "# Sizes\n\n| item | limit |\n| --- | --- |\n" + "\n".join(f"| {w()} | {k} |" for k in range(40))
+    for text in (figures, "# Title", page("prose", rng) + "\n" + head[:300]):
+        assert sum(spam.shares(model, text)[1:]) < 0.5
+
+
 def test_spam_pages(spark):
     rng = random.Random(8)
     kinds = [rng.choice(["prose"] * 8 + ["mixed", "links", "stuffed", "tags"]) for _ in range(500)]

@@ -17,7 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillfold.sources.tables import ship_package, stored
+
 PART = 4000  # items of a group that are packed together; a larger group is packed in parts
+FAN_IN = 32  # parts whose emptiest containers are packed again together
 CJK = "[\\u4e00-\\u9fff]"
 
 
@@ -75,53 +78,92 @@ def pack(sizes: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     return b if b.max() < a.max() else a
 
 
-def _pack_rows(items: list, limit: int | None, segments: int | None, loss_limit: int | None) -> list[tuple]:
-    """(item, piece number, start, size, container number from 1, used size) of each piece of one group."""
+def _pieces(items: list, limit: int | None) -> list[tuple]:
+    """(item, piece number, start, size, loss) of each piece of one group; only an item above the limit has several."""
     if limit is None or limit <= 0:
-        return [(i["item"], 1, 0, i["size"], None, None) for i in items]
-    parts = [(i["item"], k + 1, k * limit, min(limit, i["size"] - k * limit), min(limit, i["loss"])) for i in items for k in range(max(1, -(-i["size"] // limit)))]
+        return [(i["item"], 1, 0, i["size"], i["loss"]) for i in items]
+    return [(i["item"], k + 1, k * limit, min(limit, i["size"] - k * limit), min(limit, i["loss"])) for i in items for k in range(max(1, -(-i["size"] // limit)))]
+
+
+def _placed(parts: list[tuple], limit: int | None, segments: int | None, loss_limit: int | None) -> list[tuple]:
+    """The pieces with container number from 1, used size, used loss and segments of it."""
+    if limit is None or limit <= 0:
+        return [(*p, None, None, None, None) for p in parts]
     sizes = np.array([[p[3], 1, min(p[4], loss_limit or limit)] for p in parts], dtype=float)  # one above the loss limit fills a container
     most = np.array([limit, segments or max(1, len(parts)), loss_limit or limit], dtype=float)
     where = pack(sizes, most)
-    used = np.bincount(where, weights=sizes[:, 0])
-    return [(*p[:4], int(c) + 1, int(used[c])) for p, c in zip(parts, where)]
+    used, loss, count = (np.bincount(where, weights=w) for w in (sizes[:, 0], np.array([float(p[4]) for p in parts]), sizes[:, 1]))
+    return [(*p, int(c) + 1, int(used[c]), int(loss[c]), int(count[c])) for p, c in zip(parts, where)]
+
 
+_PIECE = ("piece_no", "piece_start", "piece_size", "piece_loss")
+_PLACE = ("container_no", "used", "used_loss", "segments")
 
-def fill_containers(items: DataFrame, segments: int | None = None, loss_limit: int | None = None) -> DataFrame:
+
+def fill_containers(items: DataFrame, segments: int | None = None, loss_limit: int | None = None, part_items: int = PART) -> DataFrame:
     """Packs ``items`` (group_key, item, size, loss, capacity) group by group.
 
-    Out come group_key, item, piece_no, piece_start, piece_size, pieces, container_no and used.
+    Out come group_key, item, piece_no, piece_start, piece_size, piece_loss, container_no, and of the
+    container used, used_loss and segments.
     An item within the capacity stays whole; a larger one is cut into pieces of the capacity,
     counted in its size's unit. ``segments`` and ``loss_limit`` bound a container further
     where they are given, both positive; no item is cut for its loss, and only a single one above the
-    limit exceeds it, in a container of no other loss. A null size leaves the item out; a null or non-positive capacity gives
+    limit exceeds it, in a container of no other loss. A null loss is the size. A null size leaves the item out; a null or non-positive capacity gives
     null container and used. Repeated rows of an item count once; if they differ, the largest
     counts. Items of no size take a place in a container. An empty table gives no rows.
-    A group of more than ``PART`` items is dealt to parts by hash, each packed in a task of its own
-    with containers of its own, so that a part may leave one container partly filled.
+    A group of more than ``part_items`` items is dealt to parts by hash, each packed in a task of its own; the
+    emptiest container of each part is opened again, and what was in it is packed together with that of other
+    parts, in a tree up to the whole group. So one container a level may be partly filled.
     """
     if min(segments or 1, loss_limit or 1) < 1 or 0 in (segments, loss_limit):
         raise ValueError("segments and loss_limit must be positive")
-    distinct = items.where(F.col("size").isNotNull() & F.col("group_key").isNotNull() & F.col("item").isNotNull()).groupBy("group_key", "item").agg(F.max("size").alias("size"), F.max("loss").alias("loss"), F.max("capacity").alias("capacity"))
-    large = distinct.groupBy("group_key").agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    dealt = distinct.join(large, "group_key", "left").withColumn("part", F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / PART)).cast("int")))
-    groups = dealt.groupBy("group_key", "part").agg(F.sort_array(F.collect_list(F.struct("item", F.col("size").cast("int").alias("size"), F.coalesce(F.col("loss"), F.col("size")).cast("int").alias("loss")))).alias("items"), F.max("capacity").cast("int").alias("capacity"))
+    ship_package(items.sparkSession)
+    distinct = items.where(F.col("size").isNotNull() & F.col("group_key").isNotNull() & F.col("item").isNotNull()).groupBy("group_key", "item").agg(F.max("size").cast("int").alias("size"), F.max(F.coalesce("loss", "size")).cast("int").alias("loss"), F.max("capacity").cast("int").alias("capacity"))
+    distinct = stored(distinct, "items")
+    counts = distinct.groupBy("group_key").agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n").alias("n")).first().n or 0
     kind = items.schema["item"].dataType.simpleString()
+    schema = f"group_key string, part int, capacity int, item {kind}, piece_no int, piece_start int, piece_size int, piece_loss int, container_no int, used int, used_loss int, segments int"
+    names = ["group_key", "part", "capacity", "item", *_PIECE, *_PLACE]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(g, int(n), *r) for g, n, rows, c in zip(pdf["group_key"], pdf["part"], pdf["items"], pdf["capacity"]) for r in _pack_rows(rows, None if pd.isna(c) else int(c), segments, loss_limit)]
-            yield pd.DataFrame(out, columns=["group_key", "part", "item", "piece_no", "piece_start", "piece_size", "container_no", "used"]).astype({"container_no": "Int32", "used": "Int32"})
-
-    schema = f"group_key string, part int, item {kind}, piece_no int, piece_start int, piece_size int, container_no int, used int"
-    whole = groups.where("part < 0").mapInPandas(run, schema).drop("part")
-    packed = groups.where("part >= 0").mapInPandas(run, schema)
-    # The parts of a large group number their containers one after another.
-    most = packed.groupBy("group_key", "part").agg(F.max("container_no").alias("m"))
-    before = Window.partitionBy("group_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = most.select("group_key", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).cast("int").alias("shift"))
-    shifted = packed.join(shift, ["group_key", "part"]).withColumn("container_no", F.col("container_no") + F.col("shift")).drop("part", "shift")
-    return whole.unionByName(shifted)
+            out = []
+            for g, n, rows, c in zip(pdf["group_key"], pdf["part"], pdf["items"], pdf["capacity"]):
+                limit = None if pd.isna(c) else int(c)
+                pieces = [(r["item"], *(int(r[x]) for x in _PIECE)) for r in rows] if "piece_no" in rows[0] else _pieces(rows, limit)
+                out += [(g, int(n), limit, *r) for r in _placed(pieces, limit, segments, loss_limit)]
+            yield pd.DataFrame(out, columns=names).astype({x: "Int32" for x in ("capacity", *_PLACE)})
+
+    def packed(rows: DataFrame, columns: list[str]) -> DataFrame:
+        groups = rows.groupBy("group_key", "part").agg(F.sort_array(F.collect_list(F.struct("item", *columns))).alias("items"), F.max("capacity").alias("capacity"))
+        return groups.select("group_key", "part", "items", "capacity").mapInPandas(run, schema)
+
+    columns = ["group_key", "item", *_PIECE, *_PLACE]
+    if most <= part_items:
+        return packed(distinct.withColumn("part", F.lit(0)), ["size", "loss"]).select(*columns)
+    large = counts.where(F.col("n") > part_items)
+    whole = packed(distinct.join(large, "group_key", "left_anti").withColumn("part", F.lit(0)), ["size", "loss"]).select(*columns)
+    dealt = distinct.join(large, "group_key").withColumn("part", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / part_items)).cast("int"))
+    level, parts, done = stored(packed(dealt, ["size", "loss"]), "packed"), -(-most // part_items), []
+    while parts > 1:
+        open_ = level.where("used is not null").groupBy("group_key", "part").agg(F.min_by("container_no", F.struct("used", "container_no")).alias("open"))
+        marked = level.join(open_, ["group_key", "part"], "left").withColumn("again", F.coalesce(F.col("container_no") == F.col("open"), F.lit(False)))
+        closed = marked.where("not again").withColumn("container_no", F.col("container_no") - F.coalesce((F.col("container_no") > F.col("open")).cast("int"), F.lit(0)))
+        done.append(closed.drop("open", "again"))
+        parts = -(-parts // FAN_IN)
+        again = marked.where("again").select("group_key", "capacity", "item", *_PIECE, (F.col("part") / FAN_IN).cast("int").alias("part"))
+        level = stored(packed(again, list(_PIECE)), "packed")
+    done.append(level)
+    # The containers of a group's parts and levels are numbered one after another.
+    every = done[0].withColumn("level", F.lit(0))
+    for k, d in enumerate(done[1:], 1):
+        every = every.unionByName(d.withColumn("level", F.lit(k)))
+    last = every.groupBy("group_key", "level", "part").agg(F.max("container_no").alias("m"))
+    before = Window.partitionBy("group_key").orderBy("level", "part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = last.select("group_key", "level", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).cast("int").alias("shift"))
+    shifted = every.join(shift, ["group_key", "level", "part"]).withColumn("container_no", F.col("container_no") + F.col("shift"))
+    return whole.unionByName(shifted.select(*columns))
 
 
 def request_items(sources: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -130,3 +172,11 @@ def request_items(sources: DataFrame, contexts: DataFrame) -> DataFrame:
     ctx = contexts.groupBy("request_id").agg(F.max("budget_limit").alias("budget_limit"), F.max("budget_unit").alias("budget_unit"))
     size = F.when(F.col("budget_unit") == "tokens", F.col("toks")).otherwise(F.col("chars"))
     return src.join(ctx, "request_id").select(F.col("request_id").alias("group_key"), F.col("source_index").alias("item"), size.alias("size"), size.alias("loss"), F.col("budget_limit").alias("capacity"))
+
+
+def pair_items(pairs: DataFrame, capacity: int) -> DataFrame:
+    """Items of instruction data from (row_key, model, question, answer): a pair's tokens in all, and as loss those of its
+    answer. Pairs without a key, question or answer are left out; those without a model are one group."""
+    p = pairs.where("row_key is not null and question is not null and answer is not null").groupBy("row_key").agg(F.min(F.struct(F.coalesce("model", F.lit("")).alias("model"), "question", "answer")).alias("r"))
+    asked, answered = size_in_tokens(F.col("r.question")), size_in_tokens(F.col("r.answer"))
+    return p.select(F.col("r.model").alias("group_key"), F.col("row_key").alias("item"), (asked + answered).alias("size"), answered.alias("loss"), F.lit(capacity).alias("capacity"))

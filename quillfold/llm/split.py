@@ -16,18 +16,19 @@ from pyspark.sql import functions as F
 EDGE = " \t\r\n"  # what is cut off both ends of a text
 
 
-def _alternatives(limit: int) -> str:
-    """Matches of at most ``limit`` code points; a boundary counts from half the limit on."""
+def _alternatives(limit: int, nearest: int = 1) -> str:
+    """Matches of at most ``limit`` code points; a boundary counts from half the limit on, a space from ``nearest`` on."""
     least = max(1, limit // 2)
     kept = [rf".{{{least},{limit}}}(?<={end})" for end in (r"\n[ \t]{0,3}\n", r"\n", r"[.!?]\s|[。！？]", r"[,;:]\s|[，；：、]", r"[ \t]")]
-    return "|".join([rf".{{1,{limit}}}\z", *kept, rf".{{1,{limit}}}(?<=[ \t\n])", rf".{{1,{limit}}}"])
+    return "|".join([rf".{{1,{limit}}}\z", *kept, rf".{{{nearest},{limit}}}(?<=[ \t\n])", rf".{{1,{limit}}}"])
 
 
 def boundary_pattern(size: int, overlap: int) -> str:
     overlap = min(overlap, size - 1)
     if overlap <= 0:
         return f"(?s){_alternatives(size)}"
-    return rf"(?s)\A(?:{_alternatives(size)})|{_alternatives(size - overlap)}"
+    # A first piece no longer than the overlap would stand whole in the second one.
+    return rf"(?s)\A(?:{_alternatives(size, overlap + 1)})|{_alternatives(size - overlap)}"
 
 
 def pieces(text: Column, size: int, overlap: int) -> Column:

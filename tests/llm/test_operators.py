@@ -249,16 +249,20 @@ def test_containers(spark):
     assert binpack.fill_containers(df.limit(0)).count() == 0
 
 
-def test_a_large_group_is_packed_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(binpack, "PART", 20)
-    df = spark.createDataFrame([("g", k, 1 + k % 7, 1 + k % 7, 10) for k in range(100)] + [("h", 1, 3, 3, 10)], "group_key string, item int, size int, loss int, capacity int")
-    got = binpack.fill_containers(df).collect()
-    used = {}
+def test_a_large_group_is_packed_in_parts(spark):
+    rows = [("g", k, 1 + k % 7, 1 + k % 3, 20) for k in range(3000)] + [("g", 3000, 50, 50, 20)] + [("h", 1, 3, 3, 10), ("h", 2, 25, 25, 10)]
+    df = spark.createDataFrame(rows, "group_key string, item int, size int, loss int, capacity int")
+    got = binpack.fill_containers(df, segments=8, loss_limit=12, part_items=20).collect()
+    by = {}
     for r in got:
-        used[r.group_key, r.container_no] = used.get((r.group_key, r.container_no), 0) + r.piece_size
-    assert len(got) == 101 and max(used.values()) <= 10
-    numbers = sorted(c for g, c in used if g == "g")
-    assert numbers == list(range(1, len(numbers) + 1)) and len(numbers) <= sum(1 + k % 7 for k in range(100)) / 10 + 8
+        by.setdefault((r.group_key, r.container_no), []).append(r)
+    assert sorted((r.group_key, r.item, r.piece_no) for r in got) == sorted([("g", k, 1) for k in range(3000)] + [("g", 3000, n) for n in (1, 2, 3)] + [("h", 1, 1), ("h", 2, 1), ("h", 2, 2), ("h", 2, 3)])
+    for (g, _), rs in by.items():
+        assert all(r.used == sum(x.piece_size for x in rs) <= (20 if g == "g" else 10) and r.segments == len(rs) <= 8 and r.used_loss == sum(x.piece_loss for x in rs) for r in rs)
+        assert rs[0].used_loss <= 12 or len([x for x in rs if x.piece_loss]) == 1
+    numbers = sorted(c for g, c in by if g == "g")
+    least = sum(r[2] for r in rows if r[0] == "g") / 20
+    assert numbers == list(range(1, len(numbers) + 1)) and len(numbers) <= 1.06 * least + 3
 
 
 def test_packing_is_close_to_the_lower_bound():
@@ -275,6 +279,8 @@ def test_packing_is_close_to_the_lower_bound():
 def test_a_loss_limit_below_the_capacity_binds(spark):
     df = spark.createDataFrame([("g", k, 10, 10 if k < 4 else 30, 100) for k in range(5)], "group_key string, item int, size int, loss int, capacity int")
     loss: dict[int, list[int]] = {}
+    three = spark.createDataFrame([("g", k, 30, 30, 100) for k in range(3)], df.schema)
+    assert {r.used for r in binpack.fill_containers(three, loss_limit=50).collect()} == {30}
     for r in binpack.fill_containers(df, loss_limit=20).collect():
         loss.setdefault(r.container_no, []).append(10 if r.item < 4 else 30)
     assert sorted(map(sorted, loss.values())) == [[10, 10], [10, 10], [30]]

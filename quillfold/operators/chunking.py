@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillfold.sources.tables import ship_package, shuffle_partitions, stored
+
 SPANS = "array<struct<start:int,end:int>>"
-SEPARATORS = ("\n\n", "\n", "。", "；", "，", ". ", "; ", ", ", " ", "")
+SEPARATORS = ("\n\n", "\n", "。", "；", "，", ".", ";", ",", " ", "")
 
 
 @dataclass(frozen=True)
@@ -63,20 +65,23 @@ def _pieces(text: str, span: tuple[int, int], option: Chunking) -> list[tuple[in
 
 
 def text_spans(text: str | None, option: Chunking) -> list[tuple[int, int]]:
-    """Chunks: neighbouring pieces merged while they fit, and started early by the overlap where there is room."""
+    """Chunks as runs of neighbouring pieces: every chunk is a slice of at most ``size`` that begins where its first
+    piece does, or ``overlap`` before the end of the chunk before, as far as it has room for its first piece."""
+    pieces = _pieces(text or "", (0, len(text or "")), option)
     out: list[tuple[int, int]] = []
-    for a, b in _pieces(text or "", (0, len(text or "")), option):
-        if not out:
-            out.append((a, b))
-            continue
-        start, end = out[-1]
-        if max(end, b) - start <= option.size:
-            out[-1] = (start, max(end, b))
-        elif a < end:
-            out.append((a, b))
-        else:
-            back = max(start, end - option.overlap, b - option.size)
-            out.append((back if back < end else a, b))
+    k = 0
+    while k < len(pieces):
+        start, reach = pieces[k]
+        if out:
+            begun, stop = out[-1]
+            if start >= stop:  # pieces that overlap of themselves stay as they are
+                shared = max(begun, stop - option.overlap, reach - option.size)
+                start = shared if shared < stop else start
+        k += 1
+        while k < len(pieces) and max(reach, pieces[k][1]) - start <= option.size:
+            reach = max(reach, pieces[k][1])
+            k += 1
+        out.append((start, reach))
     return out
 
 
@@ -91,21 +96,66 @@ def chunk_spans(option: Chunking):
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, option: Chunking = Chunking()) -> DataFrame:
-    """(id, chunk_index, total_chunks, start_char, end_char, content); null and blank texts have no chunks."""
+    """(id, chunk_index, total_chunks, start_char, end_char, chunk_size, content); null and blank texts have no chunks."""
+    ship_package(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("spans", chunk_spans(option)(F.coalesce("text", F.lit(""))))
-    return d.select("id", F.size("spans").alias("total_chunks"), "text", F.posexplode("spans").alias("chunk_index", "s")).select("id", "chunk_index", "total_chunks", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("content"))
+    return d.select("id", F.size("spans").alias("total_chunks"), "text", F.posexplode("spans").alias("chunk_index", "s")).select("id", "chunk_index", "total_chunks", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"), (F.col("s.end") - F.col("s.start")).alias("chunk_size"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("content"))
+
 
+def parent_child(docs: DataFrame, id_col: str, text_col: str, parent: Chunking = Chunking(1600, 200), child: Chunking = Chunking(400, 80), source_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parents, children): the children's offsets are of the document, and their index runs over it.
 
-def parent_child(docs: DataFrame, id_col: str, text_col: str, parent: Chunking = Chunking(1600, 200), child: Chunking = Chunking(400, 80)) -> tuple[DataFrame, DataFrame]:
-    """(parents, children): the children's offsets are of the document, and their index runs over it."""
-    p = chunks(docs, id_col, text_col, parent).select("id", F.col("chunk_index").alias("parent_index"), F.col("start_char").alias("parent_start_char"), F.col("end_char").alias("parent_end_char"), "content")
-    p = p.withColumn("parent_id", F.sha2(F.concat_ws("\u0000", F.col("id").cast("string"), "parent_start_char", "parent_end_char", "content"), 256))
-    c = p.withColumn("spans", chunk_spans(child)(F.col("content"))).select("id", "parent_id", "parent_index", "parent_start_char", "content", F.explode("spans").alias("s"))
+    A parent's id is the identity of its content, source, start and end. The children's size must be less than the parents'.
+    """
+    if child.size >= parent.size:
+        raise ValueError("children must be smaller than parents")
+    ship_package(docs.sparkSession)
+    source = F.col(source_col).cast("string") if source_col else F.col(id_col).cast("string")
+    d = docs.select(F.col(id_col).alias("id"), source.alias("source"), F.col(text_col).alias("text")).withColumn("spans", chunk_spans(parent)(F.coalesce("text", F.lit(""))))
+    p = d.select("id", "source", F.size("spans").alias("total_parents"), "text", F.posexplode("spans").alias("parent_index", "s")).select("id", "source", "parent_index", "total_parents", F.col("s.start").alias("parent_start_char"), F.col("s.end").alias("parent_end_char"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("content"))
+    p = p.withColumn("parent_id", record_id(F.col("content"), [("source", F.col("source")), ("start_char", F.col("parent_start_char")), ("end_char", F.col("parent_end_char"))]))
+    c = p.withColumn("spans", chunk_spans(child)(F.col("content"))).select("id", "source", "parent_id", "parent_index", "parent_start_char", "parent_end_char", "content", F.explode("spans").alias("s"))
     w = Window.partitionBy("id")
-    c = c.select("id", "parent_id", "parent_index", (F.col("parent_start_char") + F.col("s.start")).alias("start_char"), (F.col("parent_start_char") + F.col("s.end")).alias("end_char"), F.expr("substring(content, s.start + 1, s.end - s.start)").alias("content"))
+    c = c.select("id", "source", "parent_id", "parent_index", "parent_start_char", "parent_end_char", (F.col("parent_start_char") + F.col("s.start")).alias("start_char"), (F.col("parent_start_char") + F.col("s.end")).alias("end_char"), (F.col("s.end") - F.col("s.start")).alias("chunk_size"), F.expr("substring(content, s.start + 1, s.end - s.start)").alias("content"))
     return p, c.withColumn("chunk_index", F.row_number().over(w.orderBy("parent_index", "start_char", "end_char")) - 1).withColumn("total_chunks", F.count("*").over(w))
 
 
+def record_identity(explicit: Column, document_id: Column, content: Column, keys: Sequence[tuple[str, Column]]) -> Column:
+    """The id that a chunk brings, else that of its document, else the digest of its content and metadata."""
+    return F.coalesce(F.nullif(explicit, F.lit("")), F.nullif(document_id, F.lit("")), record_id(content, keys))
+
+
+def in_sequence(df: DataFrame, order: Sequence[Column], name: str = "ingest_sequence") -> DataFrame:
+    """The rows with numbers from 0 in a total order. Ranges are sorted apart and numbered from the
+    sizes of those before them, so that no task holds all rows."""
+    spark = df.sparkSession
+    keyed = df.withColumns({f"__o{k}": c for k, c in enumerate(order)})
+    names = [f"__o{k}" for k in range(len(order))]
+    ranges = keyed.repartitionByRange(shuffle_partitions(spark), *names).sortWithinPartitions(*names)
+    placed = stored(ranges.withColumns({"__p": F.spark_partition_id(), "__k": F.monotonically_increasing_id()}), "sequence")
+    sizes = sorted(tuple(r) for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect())  # a row for each range
+    starts, total = [], 0
+    for part, n in sizes:
+        starts.append((part, total - (part << 33)))
+        total += n
+    start = F.broadcast(spark.createDataFrame(starts, "__p int, __s bigint"))
+    return placed.join(start, "__p").withColumn(name, F.col("__k") + F.col("__s")).drop("__p", "__k", "__s", *names)
+
+
+def load_and_split(documents: DataFrame, option: Chunking | None = None, *, parent: Chunking | None = None, child: Chunking | None = None) -> DataFrame:
+    """Chunks of loaded documents (source, file_type, content), flat or of two levels, with record ids and the order of ingestion.
+
+    Files come in the order of their lower-cased path and then the path, chunks in theirs.
+    """
+    if parent is None:
+        cut = chunks(documents, "source", "content", option or Chunking()).withColumnRenamed("id", "source").withColumn("parent_id", F.lit(None).cast("string"))
+    else:
+        cut = parent_child(documents.withColumn("__id", F.col("source")), "__id", "content", parent, child or Chunking(400, 80), "source")[1].drop("id")
+    keys = [(c, F.col(c)) for c in ("source", "chunk_index", "start_char", "end_char")]
+    named = cut.join(documents.select("source", "file_type"), "source").withColumn("id", record_id(F.col("content"), keys)).withColumn("loader_entrypoint", F.lit("load_and_split"))
+    return in_sequence(named.select("id", "source", "file_type", "parent_id", "chunk_index", "total_chunks", "start_char", "end_char", "chunk_size", "content", "loader_entrypoint"), [F.lower("source"), F.col("source"), F.col("chunk_index")])
+
+
 def locate(needle: Column, text: Column, start: Column) -> Column:
     """Where ``needle`` begins (from 0) at or after ``start``, else anywhere, else ``start`` within the text."""
     after, any_ = F.call_function("locate", needle, text, start + 1), F.call_function("locate", needle, text)

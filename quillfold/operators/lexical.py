@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions.text import tokens
-from quillfold.sources.tables import stored
-
-LONG_TERM = 200_000  # postings of a term from which its part of a join is salted
+from quillfold.sources.tables import ship_package, stored
 
 
 @dataclass(frozen=True)
@@ -38,25 +40,122 @@ def corpus_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0)).alias("dl")).agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None, option: Bm25 = Bm25()) -> DataFrame:
+QUERY_BYTES = 16 << 20  # of questions that are scored in one pass over the index
+DOCS_AT_ONCE = 500
+
+
+def write_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", acl_col: str | None = None) -> DataFrame:
+    """The written index (id, ts, dl[, acl]): one row per document with its tokens, made once and read by any number of batches.
+
+    A null id is left out; a null text has no tokens and counts in the statistics.
+    """
+    t = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("ts"), *([F.col(acl_col).alias("acl")] if acl_col else []))
+    return stored(t.withColumn("dl", F.size("ts")), "index")
+
+
+def _scorer(sent, option: Bm25, k: int, guarded: bool, names: list[str]):
+    """Scores of every document of a batch for every query, in numpy; on go the ``k`` best of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked, vocab, idf, avgdl, subjects, readers = sent.value
+        words = pa.array(vocab, pa.string())
+        begin = np.searchsorted(asked[:, 0], np.arange(len(vocab) + 1))
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
+                batch = whole.slice(at, DOCS_AT_ONCE)
+                lists = batch.column("ts")
+                token = pc.index_in(lists.flatten(), value_set=words)
+                doc = pc.list_parent_indices(lists)
+                used = token.is_valid()
+                key = token.filter(used).to_numpy().astype(np.int64) * batch.num_rows + doc.filter(used).to_numpy()
+                key, tf = np.unique(key, return_counts=True)
+                token, doc = key // batch.num_rows, key % batch.num_rows
+                dl = batch.column("dl").to_numpy()[doc]
+                part = idf[token] * tf * (option.k1 + 1) / (tf + option.k1 * (1 - option.b + option.b * dl / avgdl))
+                score = np.zeros((len(ids), batch.num_rows))
+                edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else []
+                for a, b in zip(edges, [*edges[1:], len(token)]):
+                    q = asked[begin[token[a]] : begin[token[a] + 1], 1]
+                    score[q[:, None], doc[a:b]] += part[a:b]
+                score = np.round(score, 6)
+                if guarded:
+                    own = pc.index_in(batch.column("acl").flatten(), value_set=subjects)
+                    of = pc.list_parent_indices(batch.column("acl"))
+                    held = np.zeros((len(subjects), batch.num_rows), dtype=np.float32)
+                    held[own.drop_null().to_numpy(), of.filter(own.is_valid()).to_numpy()] = 1
+                    score[(readers @ held) == 0] = 0
+                if score.shape[1] > k:
+                    bound = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                    q, d = np.nonzero((score >= bound[:, None]) & (score > 0))
+                else:
+                    q, d = np.nonzero(score > 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column("id").take(pa.array(d)), pa.array(score[q, d])], names=names)
+
+    return run
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id", text_col: str = "text", allowed: DataFrame | None = None, option: Bm25 = Bm25(), index: DataFrame | None = None, acl_col: str | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` best documents of each query.
 
     ``queries`` has (query_id, question). Scores are rounded to 6 places and ties go to the
     lesser id; scores of 0 are left out. The statistics cover the whole corpus; ``allowed``
-    (query_id, id) restricts what a query may see before ranking. The query side of the join
-    on terms is what is distinct there, and the plan is a join on (token) with partial sums.
+    (query_id, id) restricts what a query may see before ranking, and so do ``queries.subjects`` where
+    ``acl_col`` names the documents' subjects: one in common is needed. ``index`` is what ``write_index`` gave, else it is made.
+
+    The queries are sent to the documents, in blocks bounded in bytes, with the idf of their tokens; no
+    posting is shuffled, so a term that a third of all documents have costs what its hits cost.
+    Each batch of documents sends on its ``k`` best per query. With ``allowed`` postings are joined instead.
     """
-    # Tokenized once: frequencies, lengths and hits are read from the written postings.
+    if allowed is not None:
+        return _joined_topk(queries, docs, k, id_col, text_col, allowed, option)
+    spark = docs.sparkSession
+    ship_package(spark)
+    index = write_index(docs, id_col, text_col, acl_col) if index is None else index
+    asked = queries.where("query_id is not null").select("query_id", F.array_distinct(F.coalesce(tokens(F.col("question")), F.array().cast("array<string>"))).alias("ts"), *(["subjects"] if acl_col else []))
+    asked = stored(asked, "asked")
+    size = asked.agg(F.sum(F.aggregate("ts", F.lit(16), lambda n, t: n + F.length(t) + 16)).alias("b")).first().b or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
+    terms = asked.select(F.explode("ts").alias("token")).distinct()
+    facts = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    df = stored(document_frequency(index.select(F.explode(F.array_distinct("ts")).alias("token"))).join(terms, "token", "left_semi"), "df")
+    kind, q_kind = index.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {q_kind}, id {kind}, score double"
+    found = None
+    for b in range(blocks):
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = mine.toArrow()
+        own = df if blocks == 1 else df.join(mine.select(F.explode("ts").alias("token")).distinct(), "token", "left_semi")
+        count = own.toPandas().sort_values("token", ignore_index=True)
+        vocab = count["token"].tolist()
+        idf = np.log(1.0 + (facts.n - count["df"].to_numpy(dtype=float) + 0.5) / (count["df"].to_numpy(dtype=float) + 0.5))
+        lists = rows.column("ts").combine_chunks()
+        token = pc.index_in(lists.flatten(), value_set=pa.array(vocab, pa.string()))
+        pair = np.stack([token.drop_null().to_numpy().astype(np.int64), pc.list_parent_indices(lists).filter(token.is_valid()).to_numpy().astype(np.int64)], axis=1).reshape(-1, 2)
+        pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+        subjects, readers = pa.array([], pa.string()), None
+        if acl_col:
+            of = rows.column("subjects").combine_chunks()
+            subjects = pc.unique(of.flatten().drop_null())
+            readers = np.zeros((len(rows), len(subjects)), dtype=np.float32)
+            at = pc.index_in(of.flatten(), value_set=subjects)
+            readers[pc.list_parent_indices(of).filter(at.is_valid()).to_numpy(), at.drop_null().to_numpy()] = 1
+        sent = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), pair, vocab, idf, facts.avgdl or 1.0, subjects, readers))
+        here = index.mapInArrow(_scorer(sent, option, k, acl_col is not None, ["query_id", "id", "score"]), schema)
+        found = here if found is None else found.unionByName(here)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _joined_topk(queries: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str, allowed: DataFrame, option: Bm25) -> DataFrame:
     post = stored(postings(docs, id_col, text_col), "postings")
     terms = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("token"))
     size = docs.where(F.col(id_col).isNotNull()).agg(F.count("*").alias("n"))
     stats = size.crossJoin(F.broadcast(post.agg(F.sum("tf").alias("t")))).select("n", (F.coalesce("t", F.lit(0)) / F.col("n")).alias("avgdl"))
     idf = document_frequency(post).join(terms.select("token").distinct(), "token", "left_semi").crossJoin(F.broadcast(stats)).select("token", F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
     part = F.col("idf") * F.col("tf") * (option.k1 + 1) / (F.col("tf") + option.k1 * (1 - option.b + option.b * F.col("dl") / F.col("avgdl")))
-    hits = post.join(idf, "token").select("token", "id", part.alias("part")).join(terms, "token")
-    if allowed is not None:
-        hits = hits.join(allowed, ["query_id", "id"], "left_semi")
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+    # Only what a query may see meets its terms.
+    seen = allowed.select("query_id", "id").distinct().join(post, "id").join(terms, ["query_id", "token"])
+    scored = seen.join(idf, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions import markdown, text, vectors
@@ -160,19 +160,71 @@ def source_labels(spark: SparkSession, folder: str) -> DataFrame:
     return sources(spark, folder).where("score is not null").join(v, "record_id", "left").select("request_id", "source_index", text.source_label(F.col("source"), F.col("chunk_index"), F.col("score")).alias("label"))
 
 
-@query("""
-    WITH t AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, CAST(len(regexp_extract_all(t, '(?m)^(#{1,6}[ \\t]+.*?)[ \\t]*$', 1)) AS INTEGER) AS n_headings, array_to_string(list_transform(regexp_extract_all(t, '(?m)^(#{1,6}[ \\t]+.*?)[ \\t]*$', 1), lambda h: regexp_replace(h, '^#+[ \\t]+', '')), '|') AS titles,
-      CAST(len(regexp_extract_all(t, '(?ms)^```[^\\n]*\\n(.*?)^```[ \\t]*$', 1)) AS INTEGER) AS n_code FROM t""")
+_FENCE = r"(?ms)^```([A-Za-z0-9_+.\-]*)[ \t]*\n(.*?)^[ \t]*```[ \t]*$"
+_FRONT = r"(?s)\A\s*---\s*\n(.*?)\n---\s*?(?:\n|\z)"
+_BREAKS = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_BODY = f"""
+    a AS (SELECT doc_id, replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(57344), '') AS w FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT doc_id, w AS whole, CASE WHEN regexp_matches(w, '{_FRONT}') THEN regexp_replace(regexp_replace(w, '{_FRONT}', ''), '\\A\\n+', '') ELSE w END AS w FROM a),
+    c AS (SELECT doc_id, whole, w, regexp_extract_all(w, '{_FENCE}', 1) AS langs, list_transform(regexp_extract_all(w, '{_FENCE}', 2), lambda k: regexp_replace(k, '\\n\\z', '')) AS codes FROM b)"""
+
+
+def _plain(marked: str, filled_first: str, filled_last: str) -> str:
+    """SQL of the text rules; ``x`` runs from the marked text to the result."""
+    row = "CASE WHEN length(l) - length(replace(l, '|', '')) >= 2 THEN array_to_string(list_filter(list_transform(string_split(trim(" + _STRIP.format("l") + ", '|'), '|'), lambda v: " + _STRIP.format("v") + "), lambda v: v <> ''), ' | ') ELSE l END"
+    lines = f"list_transform(list_filter(string_split(regexp_replace(x, '{_BREAKS}', chr(10), 'g'), chr(10)), lambda l: NOT regexp_matches({_STRIP.format('l')}, '{markdown.RULE_ROW}')), lambda l: {row})"
+    steps = [marked, filled_first, f"array_to_string({lines}, chr(10))"]
+    rules = [(r"!\[([^\]]*)\]\([^)]+\)", r"\1"), (r"\[([^\]]+)\]\(([^)]+)\)", r"\1"), (r"(?m)^(#{1,6})\s+(.+)$", r"\2"), (r"\*\*(.*?)\*\*|__(.*?)__", r"\1\2"), (r"\*(.*?)\*|_(.*?)_", r"\1\2"), (r"`([^`]+)`", r"\1"), (r"~~(.*?)~~", r"\1"), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"(?m)^\s*>\s?", ""), (r"(?m)^\s*[-*_]{3,}\s*$", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")]
+    steps += [f"regexp_replace(x, '{a}', '{b}', 'g')" for a, b in rules] + [filled_last, _STRIP.format("x")]
+    out = "d0 AS (SELECT *, w AS x FROM c)"
+    for k, step in enumerate(steps, 1):
+        out += f", d{k} AS (SELECT doc_id, codes, langs, {step} AS x FROM d{k - 1})"
+    return out + f", d AS (SELECT doc_id, x FROM d{len(steps)})"
+
+
+def _filled_sql(block: str) -> str:
+    return f"array_to_string(list_transform(range(1, len(string_split(x, chr(57344))) + 1), lambda i: string_split(x, chr(57344))[i] || coalesce({block}, '')), '')"
+
+
+_MARKED = f"regexp_replace(x, '{_FENCE}', chr(10) || chr(57344) || chr(10), 'g')"
+
+
+@query(f"""
+    WITH {_BODY}, t AS (SELECT doc_id, regexp_replace(w, '{_FENCE}', chr(10), 'g') AS t, codes FROM c)
+    SELECT doc_id, CAST(len(regexp_extract_all(t, '(?m)^(#{{1,6}})\\s+(.+)$', 2)) AS INTEGER) AS n_headings, array_to_string(list_transform(regexp_extract_all(t, '(?m)^(#{{1,6}})\\s+(.+)$', 2), lambda h: {_STRIP.format('h')}), '|') AS titles,
+      array_to_string(list_transform(regexp_extract_all(t, '(?m)^(#{{1,6}})\\s+(.+)$', 1), lambda h: CAST(length(h) AS VARCHAR)), ',') AS levels, CAST(len(codes) AS INTEGER) AS n_code FROM t""")
 def markdown_outline(spark: SparkSession, folder: str) -> DataFrame:
-    t = documents(spark, folder).where("text is not null").select("doc_id", F.regexp_replace("text", r"\r\n?", "\n").alias("t"))
-    h = t.select("doc_id", markdown.headings(F.col("t")).alias("h"), markdown.code_blocks(F.col("t")).alias("c"))
-    return h.select("doc_id", F.size("h").alias("n_headings"), F.array_join(F.transform("h", lambda x: x["title"]), "|").alias("titles"), F.size("c").alias("n_code"))
+    t = documents(spark, folder).where("text is not null")
+    h = t.select("doc_id", markdown.metadata(F.col("text")).alias("m")).select("doc_id", F.col("m.headings").alias("h"), F.col("m.code_blocks").alias("c"))
+    return h.select("doc_id", F.size("h").alias("n_headings"), F.array_join(F.transform("h", lambda x: x["title"]), "|").alias("titles"), F.array_join(F.transform("h", lambda x: x["level"].cast("string")), ",").alias("levels"), F.size("c").alias("n_code"))
 
 
-@query()
+@query(f"WITH {_BODY}, {_plain(_MARKED, 'x', _filled_sql('codes[i]'))} SELECT doc_id, x AS content FROM d")
 def markdown_to_text(spark: SparkSession, folder: str) -> DataFrame:
-    return documents(spark, folder).select("doc_id", markdown.to_text(F.col("text")).alias("content"), markdown.front_matter(F.col("text"))["title"].alias("title"))
+    return documents(spark, folder).where("text is not null").select("doc_id", markdown.to_text(F.col("text")).alias("content"))
+
+
+_EXTRACTED = _filled_sql("CASE WHEN i <= len(codes) THEN '[Code block ' || i || ': ' || CASE WHEN langs[i] = '' THEN 'unknown' ELSE langs[i] END || ']' END")
+
+
+@query(f"WITH {_BODY}, {_plain(_MARKED, _EXTRACTED, 'x')} SELECT doc_id, x AS content FROM d")
+def markdown_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(spark, folder).where("text is not null").select("doc_id", markdown.to_text(F.col("text"), "extract").alias("content"))
+
+
+@query(f"WITH {_BODY}, {_plain(_MARKED.replace('chr(10) || chr(57344) || chr(10)', repr('')), 'x', 'x')} SELECT doc_id, x AS content FROM d")
+def markdown_drop(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(spark, folder).where("text is not null").select("doc_id", markdown.to_text(F.col("text"), "drop").alias("content"))
+
+
+@query(f"""
+    WITH {_BODY}, f AS (SELECT doc_id, unnest(string_split(regexp_extract(whole, '{_FRONT}', 1), chr(10))) AS l FROM b), k AS (SELECT doc_id, {_STRIP.format('l')} AS l FROM f),
+    e AS (SELECT doc_id, {_STRIP.format("regexp_extract(l, '(?s)^([^:]*):', 1)")} AS key, trim({_STRIP.format("regexp_extract(l, '(?s)^[^:]*:(.*)$', 1)")}, '"' || chr(39)) AS v FROM k WHERE l <> '' AND NOT prefix(l, '#') AND regexp_matches(l, '(?s)^\\s*[^\\s:][^:]*:'))
+    SELECT doc_id, key, CASE WHEN prefix(v, '[') AND suffix(v, ']') THEN 'list' WHEN lower(v) IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(v, '[0-9]+') THEN 'int' WHEN regexp_full_match(v, '[+-]?([0-9]+\\.[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'float' ELSE 'string' END AS kind,
+      CASE WHEN prefix(v, '[') AND suffix(v, ']') THEN array_to_string(list_transform(list_filter(list_transform(string_split(substring(v, 2, length(v) - 2), ','), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), lambda x: trim(x, '"' || chr(39))), chr(31)) WHEN lower(v) IN ('true', 'false') THEN lower(v) ELSE v END AS value FROM e""")
+def front_matter(spark: SparkSession, folder: str) -> DataFrame:
+    e = documents(spark, folder).where("text is not null").select("doc_id", F.explode(markdown.front_matter_entries(F.col("text"))).alias("e"))
+    return e.select("doc_id", "e.key", "e.kind", "e.value")
 
 
 # ---------------------------------------------------------------- chunks and identities
@@ -186,14 +238,52 @@ def fixed_spans(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select("doc_id", F.explode(chunking.fixed_spans(F.col("text"), 800, 120)).alias("s")).select("doc_id", F.col("s.start").alias("start_char"), F.col("s.end").alias("end_char"))
 
 
-@query()
+_MARKS = "[。；，.;,]"  # may stand between two chunks
+_LETTERS = f"length(regexp_replace(regexp_replace(text, '{_WS}', '', 'g'), '{_MARKS}', '', 'g'))"
+_WHOLE = f"SELECT doc_id, CAST({_LETTERS} AS BIGINT) AS letters, CAST(0 AS BIGINT) AS broken FROM documents WHERE {_LETTERS} > 0"
+
+
+def _covered(cut: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, letters, broken): the characters other than white space and marks that the chunks cover, once each, and the chunks that
+    aren't a slice of the text of at most ``size`` characters, aren't numbered from 0 to their total, or aren't ``fine``."""
+    by_place, by_number = Window.partitionBy("id").orderBy("start_char", "end_char"), Window.partitionBy("id").orderBy("chunk_index")
+    at = cut.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").withColumn("stop", F.coalesce(F.max("end_char").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("no", F.row_number().over(by_number) - 1).withColumn("n", F.count("*").over(Window.partitionBy("id")))
+    fresh = F.greatest("start_char", "stop")
+    new = F.when(F.col("end_char") > fresh, F.char_length(F.regexp_replace(F.substr("text", fresh + 1, F.col("end_char") - fresh), f"{text.WS}|{_MARKS}", ""))).otherwise(0)
+    good = (F.col("content") == F.substr("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))) & (F.col("chunk_size") == F.char_length("content")) & F.col("chunk_size").between(1, size) & (F.col("chunk_index") == F.col("no")) & (F.col("total_chunks") == F.col("n")) & F.col("fine")
+    return at.groupBy("id").agg(F.sum(new).cast("bigint").alias("letters"), F.sum(F.when(good, 0).otherwise(1)).cast("bigint").alias("broken")).where("letters > 0 or broken > 0").withColumnRenamed("id", "doc_id")
+
+
+@query(_WHOLE)
 def chunk_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.chunks(documents(spark, folder), "doc_id", "text")
+    """What the chunks of every document cover, and the chunks that break a rule."""
+    d = documents(spark, folder)
+    c = chunking.chunks(d, "doc_id", "text")
+    later = F.coalesce(F.col("start_char") > F.lag("start_char").over(Window.partitionBy("id").orderBy("chunk_index")), F.lit(True))
+    return _covered(c.withColumn("fine", later), d, 800)
 
 
-@query()
+# The digest of a parent by another way: Spark's JSON, where no control character is written differently.
+_JSON = "regexp_extract(to_json(named_struct('v', {0})), '(?s)^\\\\{{\"v\":(.*)\\\\}}$', 1)"
+_DIGEST = "content rlike '[\\u0000-\\u0008\\u000b\\u000e-\\u001f]' or parent_id = sha2(concat('{\"content\": ', " + _JSON.format("content") + ", ', \"metadata\": {\"end_char\": ', parent_end_char, if(source is null, '', concat(', \"source\": ', " + _JSON.format("source") + ")), ', \"start_char\": ', parent_start_char, '}}'), 256)"
+
+
+@query(_WHOLE)
 def parent_child_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return chunking.parent_child(documents(spark, folder), "doc_id", "text")[1]
+    """The same for the children; one that leaves its parent, or whose parent's id isn't the digest of it, is broken too."""
+    d = documents(spark, folder)
+    parents, children = chunking.parent_child(d, "doc_id", "text", source_col="source")
+    p = parents.select("id", "parent_index", F.col("parent_id").alias("named"), F.expr(_DIGEST).alias("right"))
+    inside = (F.col("named") == F.col("parent_id")) & F.col("right") & (F.col("start_char") >= F.col("parent_start_char")) & (F.col("end_char") <= F.col("parent_end_char"))
+    return _covered(children.join(p, ["id", "parent_index"]).withColumn("fine", inside), d, 400)
+
+
+@query("SELECT id, CAST(row_number() OVER (ORDER BY lower(coalesce(s, '')), coalesce(s, ''), coalesce(k, 9223372036854775807), id) - 1 AS BIGINT) AS position FROM (SELECT id, arg_max({'s': source}, ingest_sequence).s AS s, arg_max({'k': chunk_index}, ingest_sequence).k AS k FROM vector_records WHERE id IS NOT NULL GROUP BY id)")
+def ingest_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every record in the order of ingestion: by source, chunk and id."""
+    far = F.lit((1 << 63) - 1)
+    r = records(spark, folder, "source", "chunk_index").select("id", F.coalesce("source", F.lit("")).alias("s"), F.coalesce(F.col("chunk_index").cast("bigint"), far).alias("k"))
+    return chunking.in_sequence(r, [F.lower("s"), F.col("s"), F.col("k"), F.col("id")], "position").select("id", "position")
 
 
 @query(f"""
@@ -587,8 +677,6 @@ def scenario_summary(spark: SparkSession, folder: str) -> DataFrame:
     WITH l AS {_LOG}, r AS (SELECT principal_id, date_trunc('day', ts) AS day, count(*) AS c FROM l WHERE principal_id IS NOT NULL GROUP BY ALL), u AS (SELECT principal_id, day, sum(c) OVER (PARTITION BY principal_id ORDER BY day) AS used FROM r)
     SELECT principal_id, strftime(day, '%Y-%m-%d') AS day, CAST(greatest(0, used - coalesce(lag(used) OVER (PARTITION BY principal_id ORDER BY day), 0)) AS BIGINT) AS claimed FROM u""")
 def usage_delta(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
     r = log(spark, folder).where("principal_id is not null").groupBy("principal_id", F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("c"))
     used = r.withColumn("used", F.sum("c").over(Window.partitionBy("principal_id").orderBy("day")))
     return observe.usage_delta(used, ["principal_id"], ["day"], "used").select("principal_id", "day", "claimed")

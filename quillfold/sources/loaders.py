@@ -81,7 +81,7 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), ext.alias("ext"), "length").where(ext.isin(list(SUPPORTED)))
 
 
-def load_documents(spark: SparkSession, path: str, *, recursive: bool = True, clean: bool = True, code: str = "keep") -> DataFrame:
+def load_documents(spark: SparkSession, path: str, *, recursive: bool = True, clean: bool = True, code: str = "preserve") -> DataFrame:
     """(source, file_type, encoding, title, content, cleaned) of all supported files, one row each.
 
     Decoding runs on the executors; the Markdown and cleaning steps are expressions. A file that

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -38,28 +39,57 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
-    Where the session names none (tests on one machine), a temporary folder is set.
+    Where the session names none, a local master (tests on one machine) gets a temporary folder;
+    on a cluster that is an error, as no folder of one machine would do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master.startswith("local[") or master == "local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillfold-")
-        spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes the rows to the shared folder and reads them from there.
 
     This cuts the lineage with files that outlive any executor. Use it where two or more
-    later plans read the same costly rows.
+    later plans read the same costly rows. ``release`` deletes what was written.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes all tables that ``stored`` wrote in this application and gives their number; results that
+    still read them must have been written or collected before."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
+@atexit.register
+def _release_all() -> None:
+    """At the end of the program, as far as its session still runs."""
+    try:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            release(spark)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -54,11 +54,21 @@ def test_question_shapes(spark):
 def test_markdown(spark):
     doc = '---\ntitle: "T"\nx: 1\n---\n\n# Head\n\nA **b** [c](http://d) ![e](f)\n\n| a | b |\n| --- | --- |\n| 1 |  |\n\n```py\nx = 1\n```\n- item\n> quote\n'
     out = one(spark, doc, markdown.to_text)
-    assert out == "Head\n\nA b c e\n\na | b\n1\n\nx = 1\n\nitem\nquote"
+    assert out == "Head\n\nA b c e\n\na | b\n1\n\nx = 1\nitem\nquote"
     assert one(spark, doc, markdown.front_matter) == {"title": "T", "x": "1"}
     assert [tuple(h) for h in one(spark, doc, markdown.headings)] == [(1, "Head")]
     assert "x = 1" not in one(spark, doc, lambda c: markdown.to_text(c, "drop"))
     assert one(spark, None, markdown.to_text) is None
+    code = "---\n# only a remark\n---\n\n\nA *b*\n```c++\nmy_var = a * b * c\n- item_x_y  **z**\n# no heading\n```\n```\nx\n\n\n\ny\n```\n## _H_ [l](u)\n"
+    assert one(spark, code, markdown.to_text) == "A b\n\nmy_var = a * b * c\n- item_x_y  **z**\n# no heading\n\nx\n\n\n\ny\n\nH l"
+    assert one(spark, code, lambda c: markdown.to_text(c, "extract")) == "A b\n\n[Code block 1: c++]\n\n[Code block 2: unknown]\n\nH l"
+    assert one(spark, code, lambda c: markdown.to_text(c, "drop")) == "A b\n\nH l"
+    m = one(spark, code, markdown.metadata, "string")
+    assert m.title is None and not m.has_front_matter and [tuple(h) for h in m.headings] == [(2, "_H_ [l](u)")] and [b.language for b in m.code_blocks] == ["c++", "unknown"]
+    front = "---\ntags: [a, 'b' ,]\ndraft: True\nn: 007\nf: -1.5\n#c: d\n: x\nt: \"x: y\"\n---\nz"
+    got = [tuple(e) for e in one(spark, front, markdown.front_matter_entries)]
+    assert got == [("tags", "list", "a\x1fb"), ("draft", "bool", "true"), ("n", "int", "007"), ("f", "float", "-1.5"), ("t", "string", "x: y")]
+    assert one(spark, "```\nopen fence\n*x*", markdown.to_text) == "```\nopen fence\nx"
 
 
 def test_vectors(spark):

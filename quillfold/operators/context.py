@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -9,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillfold.functions.text import question_shape
+from quillfold.functions.text import question_shape, source_identifier, source_label
+from quillfold.sources.tables import ship_package
 
 
 def collapse_siblings(ranked: DataFrame) -> DataFrame:
@@ -57,6 +59,16 @@ def gate(first: DataFrame, option: Gate = Gate()) -> DataFrame:
     return d.withColumn("action", action).select("query_id", "action", "reason", "score_space", F.col("score_used").alias("gate_score"), "threshold")
 
 
+def score_space(model: str, distance: str | None = None, store: str = "memory") -> str:
+    """The space that an index's scores are in: a hash model's cosines aren't those of a trained one, a store names its
+    distance, and the index in memory gives cosines."""
+    if model.lower().startswith("hash"):
+        return "hash_cosine"
+    if store != "memory" and distance:
+        return f"dense_{distance.lower()}"
+    return "dense_cosine"
+
+
 def gate_stats(decisions: DataFrame) -> DataFrame:
     """(what, value, n) over actions, reasons of skipping and score spaces."""
     rows = decisions.select(F.explode(F.array(F.struct(F.lit("action").alias("what"), F.col("action").alias("value")), F.struct(F.lit("skip_reason").alias("what"), F.when(F.col("action") == "skipped", F.col("reason")).alias("value")), F.struct(F.lit("score_space").alias("what"), F.col("score_space").alias("value")))).alias("x")).select("x.*").where("value is not null")
@@ -98,12 +110,24 @@ def near_duplicates(sources: DataFrame, threshold: float) -> DataFrame:
     return p.select("query_id", "a", "b", F.round(jaccard, 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def dedup_key() -> Column:
+    """What makes two sources one: the same slice of a source, else the same id, else the same parent; null is like no other."""
+    span = F.when(F.col("source").isNotNull() & F.col("start_char").isNotNull() & F.col("end_char").isNotNull(), F.concat_ws("\u0000", F.lit("span"), "source", F.col("start_char").cast("string"), F.col("end_char").cast("string")))
+    named = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat_ws("\u0000", F.lit(c), c))
+    return F.coalesce(span, named("record_id"), named("parent_id"))
+
+
 @dataclass(frozen=True)
 class Packing:
-    limit_column: str = "budget_limit"
-    near_threshold: float | None = 0.9
+    exact: bool = False
+    near_threshold: float | None = None
+    # Marks after which a source that is too large may be cut.
     separators: tuple[str, ...] = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ")
 
+    def __post_init__(self) -> None:
+        if self.near_threshold is not None and not 0 <= self.near_threshold <= 1:
+            raise ValueError("near_threshold must be within 0..1")
+
 
 def _shingle_set(text: str) -> set[str]:
     t = " ".join((text or "").lower().split())
@@ -115,77 +139,97 @@ def _tokens(text: str) -> int:
     return max(1, cjk + -(-(len(text) - cjk) // 4))
 
 
-def _packed(sources: list, limit: int, unit: str, option: Packing) -> tuple:
-    size = _tokens if unit == "tokens" else len
+def _kept(sources: list, option: Packing) -> tuple[list, list[str], list[str]]:
+    """(sources without repeats, ids of repeats, why each is one)."""
     kept: list = []
-    seen: set = set()
+    keys: set[str] = set()
     grams: list[set[str]] = []
-    deduped, skipped, used = [], [], []
+    gone, reasons = [], []
     for s in sources:
-        g = _shingle_set(s["content"]) if option.near_threshold is not None else set()
-        twin = s["record_id"] is not None and s["record_id"] in seen
-        if not twin and option.near_threshold is not None:
-            twin = any((1.0 if not (g or h) else len(g & h) / len(g | h)) >= option.near_threshold for h in grams)
-        if twin:
-            deduped.append(s["record_id"])
+        reason = "exact" if option.exact and s["key"] is not None and s["key"] in keys else None
+        if reason is None and option.near_threshold is not None:
+            g = _shingle_set(s["content"])
+            alike = ((1.0 if not (g or h) else len(g & h) / len(g | h)) for h in grams)
+            reason = "near" if any(x >= option.near_threshold for x in alike) else None
+            if reason is None:
+                grams.append(g)
+        if reason:
+            gone.append(s["name"])
+            reasons.append(reason)
             continue
-        seen.add(s["record_id"])
-        grams.append(g)
+        keys.add(s["key"])
         kept.append(s)
+    return kept, gone, reasons
+
+
+def _cuts(text: str, marks: tuple[str, ...]) -> list[int]:
+    """Ends of the text's beginnings at marks, the longest first."""
+    ends = {len(text)} | {m.end() for mark in marks for m in re.finditer(re.escape(mark), text)}
+    return sorted(ends - {0}, reverse=True)
+
+
+def _packed(sources: list, limit: int, unit: str, option: Packing) -> tuple:
+    size = _tokens if unit == "tokens" else len
+    kept, gone, reasons = _kept(sources, option)
     blocks: list[str] = []
+    used, skipped, shortened = [], [], []
+
+    def fits(block: str) -> bool:
+        return size("\n\n".join([*blocks, block])) <= limit
+
     for s in kept:
-        def block(text: str) -> str:
-            return f"[{len(blocks) + 1}] source={s['record_id']}; score={s['score'] or 0:.4f}\n{text}".strip()
-
-        text = s["content"] or ""
-        whole = block(text)
-        if size("\n\n".join([*blocks, whole])) <= limit:
-            blocks.append(whole)
-            used.append(s["record_id"])
-            continue
-        if size(whole) <= limit:
-            skipped.append(s["record_id"])
-            continue
-        ends = sorted({text.find(p, k) + len(p) for p in option.separators for k in range(len(text)) if text.startswith(p, k)}, reverse=True)
-        short = next((b for b in (block(text[:e].strip()) for e in ends if text[:e].strip()) if size(b) <= limit), None)
-        if short and size("\n\n".join([*blocks, short])) <= limit:
-            blocks.append(short)
-            used.append(s["record_id"])
+        head, text = f"[{len(blocks) + 1}] {s['label']}\n", s["content"] or ""
+        block = (head + text).strip()
+        if not fits(block) and size(block) > limit:
+            short = ((head + part).strip() for e in _cuts(text, option.separators) if (part := text[:e].strip()))
+            cut = next((b for b in short if size(b) <= limit), None)
+            if cut is not None and fits(cut):
+                shortened.append(s["name"])
+                block = cut
+        if fits(block):
+            blocks.append(block)
+            used.append(s["name"])
         else:
-            skipped.append(s["record_id"])
+            skipped.append(s["name"])
     context = "\n\n".join(blocks) if blocks else "No relevant context was retrieved."
-    return context, used, deduped, skipped, size(context)
+    return context, used, gone, reasons, skipped, shortened, size(context)
 
 
 def pack_contexts(sources: DataFrame, budgets: DataFrame, option: Packing = Packing()) -> DataFrame:
-    """One row per request: context, used, deduped and skipped ids, budget used, limit and unit.
+    """One row per request: context, ids used, deduped (with dedup_reasons), skipped and truncated, budget used, limit and unit.
 
-    ``sources`` has (request_id, source_index, record_id, content, score), ``budgets`` (request_id,
-    budget_limit, budget_unit). Sources are taken in order, whole or not at all; one that is larger than the whole
-    budget is cut at the last boundary that fits. A request's sources are a handful and are
-    folded in one row. Repeated rows count once; a null limit leaves the request out.
+    ``sources`` has (request_id, source_index, record_id, content, score) and may have source, chunk_index,
+    start_char, end_char and parent_id, ``budgets`` (request_id, budget_limit, budget_unit). Sources are taken in order,
+    whole or not at all, and renumbered; one that is larger than the whole budget is cut at the last boundary that fits. A request's sources are a handful and are
+    folded in one row. Repeated rows count once; a null or non-positive limit leaves the request out. A source goes by its id, else its
+    parent's, else its slice, else its place.
     """
-    s = sources.where("request_id is not null and source_index is not null").groupBy("request_id", "source_index").agg(F.min("record_id").alias("record_id"), F.max("content").alias("content"), F.max("score").alias("score"))
-    g = s.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("source_index", "record_id", "content", "score"))).alias("sources"))
-    b = budgets.groupBy("request_id").agg(F.max("budget_limit").alias("budget_limit"), F.max("budget_unit").alias("budget_unit")).where("budget_limit is not null")
+    ship_package(sources.sparkSession)
+    extra = {"source": "string", "chunk_index": "int", "start_char": "int", "end_char": "int", "parent_id": "string"}
+    s = sources.where("request_id is not null and source_index is not null").withColumns({c: F.lit(None).cast(t) for c, t in extra.items() if c not in sources.columns})
+    s = s.groupBy("request_id", "source_index").agg(*[F.min(c).alias(c) for c in ("record_id", *extra)], F.max("content").alias("content"), F.max("score").alias("score"))
+    s = s.withColumns({"key": dedup_key(), "name": source_identifier(F.col("record_id"), F.lit(None).cast("string"), F.col("parent_id"), F.col("source"), F.col("start_char"), F.col("end_char"), F.col("source_index")), "label": source_label(F.col("source"), F.col("chunk_index"), F.coalesce("score", F.lit(0.0)))})
+    g = s.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("source_index", "name", "key", "label", "content"))).alias("sources"))
+    b = budgets.groupBy("request_id").agg(F.max("budget_limit").alias("budget_limit"), F.max("budget_unit").alias("budget_unit")).where("budget_limit > 0")
+    names = ["request_id", "context", "used_ids", "deduped_ids", "dedup_reasons", "skipped_ids", "truncated_ids", "budget_used", "budget_limit", "budget_unit"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [(r.request_id, *_packed(list(r.sources), int(r.budget_limit), r.budget_unit, option), int(r.budget_limit), r.budget_unit) for r in pdf.itertuples()]
-            yield pd.DataFrame(out, columns=["request_id", "context", "used_ids", "deduped_ids", "skipped_ids", "budget_used", "budget_limit", "budget_unit"])
+            yield pd.DataFrame(out, columns=names)
 
-    return g.join(b, "request_id").mapInPandas(run, "request_id string, context string, used_ids array<string>, deduped_ids array<string>, skipped_ids array<string>, budget_used int, budget_limit int, budget_unit string")
+    return g.join(b, "request_id").mapInPandas(run, "request_id string, context string, used_ids array<string>, deduped_ids array<string>, dedup_reasons array<string>, skipped_ids array<string>, truncated_ids array<string>, budget_used int, budget_limit int, budget_unit string")
 
 
 def cut_context(blocks: DataFrame, limit: int) -> DataFrame:
-    """(query_id, context) from (query_id, source_index, block): blocks in order up to ``limit`` characters, the last one cut."""
+    """(query_id, context) from (query_id, source_index, block): blocks in order up to ``limit`` characters, the last one cut there and nothing after it."""
     ordered = F.array_sort(F.collect_list(F.struct("source_index", "block")))
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         room = F.lit(limit) - acc["n"]
         part = F.when(F.char_length(x["block"]) > room, F.rtrim(F.left(x["block"], room))).otherwise(x["block"])
-        return F.when(room <= 0, acc).otherwise(F.struct((acc["n"] + F.char_length(part)).alias("n"), F.concat(acc["out"], F.array(part)).alias("out")))
+        return F.when(room <= 0, acc).otherwise(F.struct((acc["n"] + F.char_length(x["block"])).alias("n"), F.concat(acc["out"], F.array(part)).alias("out")))
 
     folded = F.aggregate(ordered, start, step)
     return blocks.groupBy("query_id").agg(F.array_join(folded["out"], "\n\n").alias("context"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillfold.sources.tables import ship_package
+
 BLOCK_BYTES = 64 << 20  # of queries sent to the executors at once
 
 
@@ -23,11 +25,18 @@ def _score(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return s
 
 
-def dense_topk(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosine", *, skip_self: bool = False) -> DataFrame:
+def record_ties() -> list[Column]:
+    """What orders records of equal scores, as one string each: source (lower case first, slashes forward), chunk, start and end, id."""
+    source = F.replace(F.coalesce(F.col("source"), F.lit("")), F.lit("\\"), F.lit("/"))
+    far = F.lit((1 << 63) - 1)
+    return [F.lower(source), source, *[F.lpad(F.coalesce(F.col(c).cast("bigint"), far).cast("string"), 19, "0") for c in ("chunk_index", "start_char", "end_char")], F.col("id").cast("string")]
+
+
+def dense_topk(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosine", *, skip_self: bool = False, ties: Sequence[Column] = ()) -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` best rows of ``index`` (id, embedding) for each of ``queries`` (query_id, embedding).
 
     metric is cosine, dot or euclid (the negated distance). Scores are rounded to 6 places and
-    ties go to the lesser id. Null ids and vectors take no part; a zero vector has cosine 0;
+    ties go to the lesser id, or to the lesser of the strings ``ties`` of the index (``record_ties``). Null ids and vectors take no part; a zero vector has cosine 0;
     vectors of another length than the queries' raise an error. The index is read once per block of queries, a block
     being bounded in bytes, and each partition sends on its ``k`` best per query only.
     """
@@ -35,12 +44,16 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosi
         raise ValueError("k must be positive and the metric cosine, dot or euclid")
     spark = index.sparkSession
     q = queries.where("query_id is not null and embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    x = index.where("id is not null and embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    tie = F.concat_ws("\u0000", *ties) if ties else F.lit(None).cast("string")
+    x = index.where("id is not null and embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"), tie.alias("tie"))
+    order = "tie" if ties else "id"
+    ship_package(spark)
     id_type, q_type = index.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {q_type}, id {id_type}, score double"
+    schema = f"query_id {q_type}, id {id_type}, score double, tie string"
+    nothing = f"query_id {q_type}, id {id_type}, score double, rank int"
     width = q.select(F.max(F.size("embedding")).alias("w")).first().w
     if not width:
-        return spark.createDataFrame([], schema + ", rank int")
+        return spark.createDataFrame([], nothing)
     per = max(1, BLOCK_BYTES // (8 * width))
     blocks = -(-q.count() // per)
     found = None
@@ -53,23 +66,23 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosi
             best: pd.DataFrame | None = None
             for pdf in batches:
                 vec = np.array(pdf["embedding"].tolist()).reshape(len(pdf), -1)
-                names = pdf["id"].to_numpy()
+                names, tie = pdf["id"].to_numpy(), pdf["tie"].to_numpy(dtype=object)
                 for at in range(0, len(qs), 512):
                     s = np.round(_score(qs[at : at + 512], vec, metric), 6) + 0.0
                     if skip_self:
                         s[ids[at : at + 512, None] == names[None, :]] = -np.inf
                     bound = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
                     i, j = np.nonzero((s >= bound[:, None]) & np.isfinite(s))
-                    got = pd.DataFrame({"query_id": ids[at + i], "id": names[j], "score": s[i, j]})
+                    got = pd.DataFrame({"query_id": ids[at + i], "id": names[j], "score": s[i, j], "tie": tie[j]})
                     best = got if best is None else pd.concat([best, got])
                 if best is not None and len(best) > 4 * k * len(qs):
-                    best = best.sort_values(["score", "id"], ascending=[False, True]).groupby("query_id", sort=False).head(k)
+                    best = best.sort_values(["score", order], ascending=[False, True]).groupby("query_id", sort=False).head(k)
             if best is not None:
-                yield best.sort_values(["score", "id"], ascending=[False, True]).groupby("query_id", sort=False).head(k)
+                yield best.sort_values(["score", order], ascending=[False, True]).groupby("query_id", sort=False).head(k)
 
         here = x.mapInPandas(run, schema)
         found = here if found is None else found.unionByName(here)
     if found is None:
-        return spark.createDataFrame([], schema + ", rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return spark.createDataFrame([], nothing)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), order)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("tie")

@@ -40,7 +40,7 @@ def corpus_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0)).alias("dl")).agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"))
 
 
-QUERY_BYTES = 16 << 20  # of questions that are scored in one pass over the index
+QUERY_BYTES, QUERIES = 16 << 20, 4000  # of questions that are scored in one pass over the index
 DOCS_AT_ONCE = 500
 
 
@@ -113,8 +113,8 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id"
     index = write_index(docs, id_col, text_col, acl_col) if index is None else index
     asked = queries.where("query_id is not null").select("query_id", F.array_distinct(F.coalesce(tokens(F.col("question")), F.array().cast("array<string>"))).alias("ts"), *(["subjects"] if acl_col else []))
     asked = stored(asked, "asked")
-    size = asked.agg(F.sum(F.aggregate("ts", F.lit(16), lambda n, t: n + F.length(t) + 16)).alias("b")).first().b or 0
-    blocks = max(1, -(-size // QUERY_BYTES))
+    size = asked.agg(F.sum(F.aggregate("ts", F.lit(16), lambda n, t: n + F.length(t) + 16)).alias("b"), F.count("*").alias("n")).first()
+    blocks = max(1, -(-(size.b or 0) // QUERY_BYTES), -(-size.n // QUERIES))
     terms = asked.select(F.explode("ts").alias("token")).distinct()
     facts = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     df = stored(document_frequency(index.select(F.explode(F.array_distinct("ts")).alias("token"))).join(terms, "token", "left_semi"), "df")

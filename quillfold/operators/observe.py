@@ -7,11 +7,13 @@ import hmac
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BOUNDS_MS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0)
+# Bounds of the histograms of durations (ms) and of retrieval scores.
+BOUNDS_MS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0, 10000.0)
+BOUNDS_SCORE = (-1.0, -0.5, 0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
 def one_delivery(log: DataFrame) -> DataFrame:
@@ -29,10 +31,10 @@ def latency_summary(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return v.groupBy(*keys).agg(F.count("*").alias("n"), r(F.min("latency_ms"), "min_ms"), r(F.avg("latency_ms"), "mean_ms"), r(p(0.5), "p50_ms"), r(p(0.95), "p95_ms"), r(F.when(F.count("*") >= 1000, p(0.99)), "p99_ms"), r(F.max("latency_ms"), "max_ms"))
 
 
-def histogram(log: DataFrame, keys: Sequence[str], bounds: Sequence[float] = BOUNDS_MS) -> DataFrame:
-    """Cumulative counts per bound, +Inf, count and sum, one row per (keys, bound)."""
-    v = log.where("latency_ms is not null")
-    wide = v.groupBy(*keys).agg(*[F.sum((F.col("latency_ms") <= b).cast("bigint")).alias(f"b{k}") for k, b in enumerate(bounds)], F.count("*").alias("n"), F.round(F.sum("latency_ms"), 3).alias("total"))
+def histogram(log: DataFrame, keys: Sequence[str], bounds: Sequence[float] = BOUNDS_MS, value: str = "latency_ms", places: int = 3) -> DataFrame:
+    """Cumulative counts per bound, +Inf, count and sum, one row per (keys, bound); null values are left out."""
+    v = log.where(F.col(value).isNotNull())
+    wide = v.groupBy(*keys).agg(*[F.sum((F.col(value) <= b).cast("bigint")).alias(f"b{k}") for k, b in enumerate(bounds)], F.count("*").alias("n"), F.round(F.sum(value), places).alias("total"))
     cells = [F.struct(F.lit(str(b)).alias("le"), F.col(f"b{k}").alias("cumulative")) for k, b in enumerate(bounds)] + [F.struct(F.lit("+Inf").alias("le"), F.col("n").alias("cumulative"))]
     return wide.select(*keys, F.explode(F.array(*cells)).alias("c"), "n", "total").select(*keys, "c.le", "c.cumulative", "n", "total")
 
@@ -71,10 +73,35 @@ def usage_delta(usage: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return usage.withColumn("claimed", F.greatest(F.lit(0), F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0))))
 
 
-def exposition(metrics: DataFrame, name: str, labels: Sequence[str], value: str) -> DataFrame:
-    """Lines ``name{label="value",...} number``."""
-    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in labels])
-    return metrics.select(F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("line"))
+def _labels(labels: Sequence[str]) -> Column:
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in labels])
+
+
+def exposition(metrics: DataFrame, name: str, labels: Sequence[str], value: str, help_text: str = "", kind: str = "counter") -> DataFrame:
+    """(place, line): the HELP and TYPE lines, then ``name{label="value",...} number`` in the order of the labels.
+
+    ``place`` orders the lines; a sort of few rows is left to the writer.
+    """
+    spark = metrics.sparkSession
+    head = spark.createDataFrame([(f"0{k}", x) for k, x in enumerate((f"# HELP {name} {help_text}", f"# TYPE {name} {kind}"))], "place string, line string")
+    shown = F.regexp_replace(F.col(value).cast("string"), r"\.0$", "")
+    rows = metrics.select(F.concat(F.lit("1"), _labels(labels)).alias("place"), F.concat(F.lit(name + "{"), _labels(labels), F.lit("} "), shown).alias("line"))
+    return head.unionByName(rows)
+
+
+def histogram_exposition(hist: DataFrame, name: str, labels: Sequence[str], help_text: str = "") -> DataFrame:
+    """(place, line) of what ``histogram`` gives: the buckets in order, +Inf, sum and count of each set of labels."""
+    spark = hist.sparkSession
+    head = spark.createDataFrame([(f"0{k}", x) for k, x in enumerate((f"# HELP {name} {help_text}", f"# TYPE {name} histogram"))], "place string, line string")
+    own = _labels(labels)
+    le = F.when(F.col("le") == "+Inf", F.col("le")).otherwise(F.regexp_replace("le", r"\.0$", ""))
+    order = F.when(F.col("le") == "+Inf", "2").otherwise(F.concat(F.lit("1"), F.lpad(F.format_string("%.3f", F.col("le").cast("double") + 1e6), 14, "0")))
+    bucket = hist.select(F.concat(F.lit("1"), own, F.lit("\u0001"), order).alias("place"), F.concat(F.lit(f"{name}_bucket{{"), own, F.lit(',le="'), le, F.lit('"} '), F.col("cumulative").cast("string")).alias("line"))
+    last = hist.where("le = '+Inf'")
+    total = last.select(F.concat(F.lit("1"), own, F.lit("\u00013")).alias("place"), F.concat(F.lit(f"{name}_sum{{"), own, F.lit("} "), F.format_string("%.3f", "total")).alias("line"))
+    count = last.select(F.concat(F.lit("1"), own, F.lit("\u00014")).alias("place"), F.concat(F.lit(f"{name}_count{{"), own, F.lit("} "), F.col("n").cast("string")).alias("line"))
+    return head.unionByName(bucket).unionByName(total).unionByName(count)
 
 
 @F.pandas_udf(T.StringType())
@@ -94,6 +121,16 @@ def audit_records(log: DataFrame, salt: str, text_chars: int = 0) -> DataFrame:
     return out
 
 
+def write_audit(records: DataFrame, path: str) -> None:
+    """Appends audit records as JSON lines; a stream of them goes there by ``audit_stream``."""
+    records.write.mode("append").json(path)
+
+
+def audit_stream(log: DataFrame, salt: str, path: str, checkpoint: str):
+    """Starts a query that writes the audit records of a stream of requests as JSON lines, each once, and ends when all that is there is written."""
+    return audit_records(log, salt).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def completion(log: DataFrame, slow_ms: float = 1000.0) -> DataFrame:
     """The alert of each request: error, empty, slow or none."""
     alert = F.when(F.col("status_code") >= 500, "error").when(F.coalesce(F.size("source_ids"), F.lit(0)) <= 0, "empty").when(F.col("latency_ms") > slow_ms, "slow").otherwise("none")

@@ -6,14 +6,16 @@ need no network; one that calls a service does so per Arrow batch in ``mapInPand
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.functions.text import canned_answer, strip
+from quillfold.functions.text import canned_answer, normalize_question, parse_variants, token_count
 from quillfold.operators import embedding, lexical
 
 
@@ -29,6 +31,14 @@ class Generator(Protocol):
     def answer(self, prompts: DataFrame) -> DataFrame: ...
 
 
+class Rewriter(Protocol):
+    def rewrite(self, questions: DataFrame) -> DataFrame: ...
+
+
+class Judge(Protocol):
+    def judge(self, answers: DataFrame) -> DataFrame: ...
+
+
 class HashEmbedder:
     def __init__(self, dimension: int = 128):
         self.dimension = dimension
@@ -37,23 +47,49 @@ class HashEmbedder:
         return embedding.embed_documents(df, text_col, self.dimension)
 
 
+ERRORS = (ConnectionError, TimeoutError)  # of a call, after which it is tried again
+
+
+def _called(client: Callable, tries: int, wait: float, *args):
+    for n in range(tries):
+        try:
+            return client(*args)
+        except ERRORS:
+            if n + 1 == tries:
+                raise
+            time.sleep(wait * 2**n)
+
+
 class CallEmbedder:
-    """Calls ``client(texts) -> vectors`` on batches of at most ``batch`` texts, in order."""
+    """Calls ``client(texts) -> [(index, vector)]`` on batches of at most ``batch`` texts and ``tokens`` tokens, as the
+    package estimates them. Answers may come in any order. A text above the budget is an error; calls that break off are tried again."""
 
-    def __init__(self, client: Callable[[list[str]], list[list[float]]], model: str, batch: int = 64, query_prefix: str = ""):
-        self.client, self.model, self.batch, self.query_prefix = client, model, batch, query_prefix
+    def __init__(self, client: Callable[[list[str]], list[tuple[int, list[float]]]], model: str, batch: int = 64, tokens: int = 8192, query_prefix: str = "", tries: int = 3, wait: float = 0.5):
+        self.client, self.model, self.batch, self.tokens, self.query_prefix, self.tries, self.wait = client, model, batch, tokens, query_prefix, tries, wait
 
-    def embed(self, df: DataFrame, text_col: str) -> DataFrame:
-        client, size, prefix = self.client, self.batch, self.query_prefix
+    def embed(self, df: DataFrame, text_col: str, query: bool = False) -> DataFrame:
+        """Adds embedding, embedding_model and embedding_tokens, what the text counts for; the prefix stands before queries only."""
+        client, batch, budget, tries, wait = self.client, self.batch, self.tokens, self.tries, self.wait
 
         @F.pandas_udf("array<double>")
-        def call(texts: pd.Series) -> pd.Series:
-            out: list[list[float]] = []
-            for at in range(0, len(texts), size):
-                out += client([prefix + (t or "") for t in texts.iloc[at : at + size]])
+        def call(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+            out: list[list[float] | None] = [None] * len(texts)
+            now: list[int] = []
+            used = 0
+            for k, n in enumerate([*sizes, None]):
+                if n is not None and n > budget:
+                    raise ValueError(f"a text of {n} tokens exceeds the budget of {budget}")
+                if now and (n is None or len(now) == batch or used + n > budget):
+                    for index, vector in _called(client, tries, wait, [texts.iloc[i] for i in now]):
+                        out[now[index]] = vector
+                    now, used = [], 0
+                if n is not None:
+                    now.append(k)
+                    used += n
             return pd.Series(out)
 
-        return df.withColumns({"embedding": call(F.col(text_col)), "embedding_model": F.lit(self.model)})
+        sent = F.concat(F.lit(self.query_prefix if query else ""), F.coalesce(F.col(text_col), F.lit("")))
+        return df.withColumn("__sent", sent).withColumn("embedding_tokens", token_count(F.col("__sent"))).withColumns({"embedding": call(F.col("__sent"), F.col("embedding_tokens")), "embedding_model": F.lit(self.model)}).drop("__sent")
 
 
 class LexicalReranker:
@@ -64,13 +100,18 @@ class LexicalReranker:
 
 
 class CallReranker:
-    """Calls ``client(question, contents) -> scores`` per question in batches of 32; a failing call keeps the incoming order."""
+    """Calls ``client(question, contents) -> [(index, score)]`` per question in batches of 32, each with its own indexes from 0.
+
+    Calls that break off are tried again; if they still do, the question keeps the incoming order with null scores. Other errors aren't hidden.
+    """
 
-    def __init__(self, client: Callable[[str, list[str]], list[float]], batch: int = 32):
-        self.client, self.batch = client, batch
+    provider = "call"
+
+    def __init__(self, client: Callable[[str, list[str]], list[tuple[int, float]]], batch: int = 32, tries: int = 3, wait: float = 0.5):
+        self.client, self.batch, self.tries, self.wait = client, batch, tries, wait
 
     def rerank(self, candidates: DataFrame, top_n: int) -> DataFrame:
-        client, size = self.client, self.batch
+        client, size, tries, wait = self.client, self.batch, self.tries, self.wait
         kind = candidates.schema["id"].dataType.simpleString()
         rows = candidates.groupBy("query_id", "question").agg(F.sort_array(F.collect_list(F.struct("dense_rank", "id", "content"))).alias("c"))
 
@@ -79,12 +120,15 @@ class CallReranker:
                 out = []
                 for r in pdf.itertuples():
                     items = list(r.c)
+                    scores: list[float | None] = [None] * len(items)
                     try:
-                        scores = [s for at in range(0, len(items), size) for s in client(r.question, [i["content"] or "" for i in items[at : at + size]])]
-                        order = sorted(range(len(items)), key=lambda k: (-scores[k], k))
-                    except Exception:
-                        scores, order = [0.0] * len(items), range(len(items))
-                    out += [(r.query_id, items[k]["id"], float(scores[k]), n) for n, k in enumerate(order, 1) if n <= top_n]
+                        for at in range(0, len(items), size):
+                            for index, score in _called(client, tries, wait, r.question, [i["content"] or "" for i in items[at : at + size]]):
+                                scores[at + index] = float(score)
+                    except ERRORS:
+                        scores = [None] * len(items)
+                    order = sorted(range(len(items)), key=lambda k: (-scores[k] if scores[k] is not None else math.inf, k))
+                    out += [(r.query_id, items[k]["id"], scores[k], n) for n, k in enumerate(order, 1) if n <= top_n]
                 yield pd.DataFrame(out, columns=["query_id", "id", "score", "rank"])
 
         q = candidates.schema["query_id"].dataType.simpleString()
@@ -92,11 +136,55 @@ class CallReranker:
 
 
 class CannedGenerator:
-    """Answers from the form of the prompt alone; for tests and offline runs."""
+    """Answers from what the prompt holds; for tests and offline runs."""
 
     def answer(self, prompts: DataFrame) -> DataFrame:
-        question = strip(F.regexp_extract("prompt", r"(?s)\n\nQuestion:\n(.*?)\n\n", 1))
-        return prompts.select("query_id", canned_answer(question).alias("answer"))
+        return prompts.select("query_id", canned_answer(F.col("prompt")).alias("answer"))
+
+
+class TableRewriter:
+    """Rewrites from a table (question_key, pos, rewrite)."""
+
+    def __init__(self, rewrites: DataFrame):
+        self.rewrites = rewrites
+
+    def rewrite(self, questions: DataFrame) -> DataFrame:
+        keys = questions.select(normalize_question(F.col("question")).alias("question_key")).distinct()
+        return self.rewrites.join(keys, "question_key", "left_semi").select("question_key", "pos", "rewrite")
+
+
+class CallRewriter:
+    """Calls ``client(question) -> reply`` once per distinct question and reads the variants from the reply."""
+
+    def __init__(self, client: Callable[[str], str], tries: int = 3, wait: float = 0.5):
+        self.client, self.tries, self.wait = client, tries, wait
+
+    def rewrite(self, questions: DataFrame) -> DataFrame:
+        client, tries, wait = self.client, self.tries, self.wait
+
+        @F.pandas_udf("string")
+        def call(texts: pd.Series) -> pd.Series:
+            return pd.Series([_called(client, tries, wait, t) for t in texts])
+
+        keys = questions.where("question is not null").select(normalize_question(F.col("question")).alias("question_key")).distinct()
+        replies = keys.withColumn("reply", call(F.col("question_key")))
+        return replies.select("question_key", F.posexplode(parse_variants(F.col("reply"))).alias("pos", "rewrite"))
+
+
+def token_counter(name: str = "estimate", exact: Callable[[str], int] | None = None) -> Callable[[Column], Column]:
+    """A column function that counts tokens: by the estimate, or by ``exact`` where its library can be imported; else the estimate again."""
+    if name == "estimate":
+        return token_count
+    if name != "exact":
+        raise ValueError("a token counter is estimate or exact")
+    if exact is None:
+        return token_count
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else exact(t) for t in texts], dtype="Int32")
+
+    return count
 
 
 ABSTENTION = "I do not know based on the provided context."

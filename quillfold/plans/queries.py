@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions import markdown, text, vectors
-from quillfold.operators import access, chunking, context, dense, embedding, evaluation, fusion, lexical, observe
+from quillfold.operators import access, cache, chunking, context, dense, embedding, evaluation, fusion, lexical, observe
 from quillfold.plans import retrieval
 from quillfold.sources import index as store
 from quillfold.sources.tables import stored, table
@@ -85,7 +85,7 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def golden(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "golden_set").groupBy("qid").agg(F.min("question").alias("question"), F.min("capability").alias("capability"), F.first("relevant").alias("relevant"))
+    return table(spark, folder, "golden_set").groupBy("qid").agg(F.min("question").alias("question"), F.min("capability").alias("capability"), F.min_by("relevant", F.to_json("relevant")).alias("relevant"))
 
 
 def log(spark: SparkSession, folder: str) -> DataFrame:
@@ -333,10 +333,18 @@ def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"), "embedding_dimension")
 
 
-@query()
+@query(f"""
+    WITH t AS (SELECT request_id AS group_key, greatest(1, length(regexp_replace(content, '[^一-鿿]', '', 'g')) + CAST(ceil(length(regexp_replace(content, '[一-鿿]', '', 'g')) / 4.0) AS BIGINT)) AS n FROM {_SOURCES} WHERE content IS NOT NULL)
+    SELECT group_key, count(*) AS items, CAST(sum(n) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS broken FROM t GROUP BY 1""")
 def embedding_batches(spark: SparkSession, folder: str) -> DataFrame:
-    s = sources(spark, folder).where("content is not null")
-    return embedding.request_batches(s.select(F.col("request_id").alias("group_key"), F.col("source_index").alias("item"), text.token_count(F.col("content")).alias("tokens")), 4, 8192)
+    """What the batches of each request hold, and those that are too large or had room for the next item."""
+    s = sources(spark, folder).where("content is not null").select(F.col("request_id").alias("group_key"), F.col("source_index").alias("item"), text.token_count(F.col("content")).alias("tokens"))
+    b = embedding.request_batches(s, 4, 8192).join(s, ["group_key", "item"])
+    batch = b.groupBy("group_key", "batch_no").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.min_by("tokens", "item").alias("first"))
+    w = Window.partitionBy("group_key").orderBy("batch_no")
+    at = batch.withColumn("had", F.lag("tokens").over(w)).withColumn("held", F.lag("items").over(w)).withColumn("no", F.row_number().over(w))
+    bad = (F.col("items") > 4) | (F.col("tokens") > 8192) | (F.col("no") != F.col("batch_no")) | F.coalesce((F.col("held") < 4) & (F.col("had") + F.col("first") <= 8192), F.lit(False))
+    return at.groupBy("group_key").agg(F.sum("items").alias("items"), F.sum("tokens").cast("bigint").alias("tokens"), F.sum(bad.cast("bigint")).alias("broken"))
 
 
 # ---------------------------------------------------------------- retrieval
@@ -369,6 +377,18 @@ def dense_topk_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return _dense(spark, folder, "cosine")
 
 
+@query(f"""
+    WITH a AS (SELECT id AS query_id, max(embedding) AS e FROM embedded_documents WHERE {_DIVISIBLE} GROUP BY id),
+    r AS (SELECT id, arg_max({{'s': source, 'k': chunk_index, 'a': start_char, 'z': end_char}}, ingest_sequence) AS r, max(embedding) AS embedding FROM vector_records WHERE id IS NOT NULL GROUP BY id),
+    s AS (SELECT query_id, id, replace(coalesce(r.s, ''), chr(92), '/') AS s, r, round(CASE WHEN list_dot_product(e, e) * list_dot_product(embedding, embedding) = 0 THEN 0 ELSE list_cosine_similarity(e, embedding) END, 6) AS score FROM a CROSS JOIN r WHERE e IS NOT NULL AND embedding IS NOT NULL),
+    k AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lower(s), s, coalesce(r.k, 9223372036854775807), coalesce(r.a, 9223372036854775807), coalesce(r.z, 9223372036854775807), id) AS INTEGER) AS rank FROM s)
+    SELECT * FROM k WHERE rank <= 20""")
+def dense_topk_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest records of chunks that aren't in the index yet; equal scores in the order of sources and places."""
+    recs = table(spark, folder, "vector_records").where("id is not null").groupBy("id").agg(F.max_by(F.struct("source", "chunk_index", "start_char", "end_char"), "ingest_sequence").alias("r"), F.max("embedding").alias("embedding")).select("id", "embedding", "r.*")
+    return dense.dense_topk(_asked(spark, folder).select("query_id", "embedding"), recs, 20, ties=dense.record_ties())
+
+
 @query(_dense_sql("list_dot_product(q.v, e.v)"))
 def dense_topk_dot(spark: SparkSession, folder: str) -> DataFrame:
     return _dense(spark, folder, "dot")
@@ -385,28 +405,32 @@ def vector_norms(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("length"), F.round(F.aggregate(vectors.normalize(F.col("embedding")), F.lit(0.0), lambda a, b: a + b), 6).alias("unit_sum"))
 
 
-_VARIANTS = f"(SELECT qid || '#0' AS query_id, question FROM {_GOLDEN} UNION ALL SELECT qid || '#1', ground_truth FROM (SELECT qid, min(ground_truth) AS ground_truth FROM golden_set GROUP BY qid) WHERE ground_truth IS NOT NULL)"
+_VARIANTS = f"""(WITH g AS (SELECT qid, min(question) AS question, min(ground_truth) AS truth FROM golden_set GROUP BY qid),
+    w AS (SELECT {_QUESTION.format('question')} AS key, min(truth) AS rewrite FROM g WHERE truth IS NOT NULL GROUP BY 1),
+    q AS (SELECT qid, {_STRIP.format('question')} AS question, {_QUESTION.format('question')} AS key FROM g WHERE {_STRIP.format('question')} <> '')
+    SELECT qid || '#0' AS query_id, question FROM q UNION ALL SELECT qid || '#1', {_STRIP.format('rewrite')} FROM q JOIN w USING (key) WHERE {_STRIP.format('rewrite')} <> '' AND {_QUESTION.format('rewrite')} <> key)"""
 
 
 @query("WITH" + _bm25("documents", "doc_id", "text", _VARIANTS, 20) + """,
     f AS (SELECT split_part(query_id, '#', 1) AS query_id, id, round(sum(CASE WHEN suffix(query_id, '#0') THEN 1.0 ELSE 0.7 END / (60.0 + rank)), 6) AS score FROM b GROUP BY 1, 2)
     SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f) WHERE rank <= 10""")
 def multi_query_rrf(spark: SparkSession, folder: str) -> DataFrame:
-    """A question and its reference answer as two variants, fused."""
-    truth = table(spark, folder, "golden_set").groupBy("qid").agg(F.min("ground_truth").alias("question")).where("question is not null")
-    asked = golden(spark, folder).select(F.concat("qid", F.lit("#0")).alias("query_id"), "question").unionByName(truth.select(F.concat("qid", F.lit("#1")).alias("query_id"), "question"))
-    ranked = lexical.bm25_topk(asked, documents(spark, folder), 20, id_col="doc_id")
+    """Every golden question with its rewrites (the table's reference answers stand in for them), fused."""
+    g = table(spark, folder, "golden_set").groupBy("qid").agg(F.min("question").alias("question"), F.min("ground_truth").alias("truth"))
+    rewrites = g.where("truth is not null").groupBy(text.normalize_question(F.col("question")).alias("question_key")).agg(F.min("truth").alias("rewrite")).withColumn("pos", F.lit(0))
+    v = stored(fusion.variants(g.select(F.col("qid").alias("query_id"), "question"), rewrites, 3), "variants")
+    ranked = lexical.bm25_topk(v.select(F.concat_ws("#", "query_id", "variant_no").alias("query_id"), F.col("text").alias("question")), documents(spark, folder), 20, id_col="doc_id")
     part = F.split("query_id", "#")
     return fusion.multi_query(ranked.select(part[0].alias("query_id"), part[1].cast("int").alias("variant_no"), "id", "rank"), 10)
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embedded_documents").where(divisible_by_20())
-    return e.groupBy("id").agg(F.first("content").alias("question"), F.first("embedding").alias("embedding")).withColumnRenamed("id", "query_id")
+    return e.groupBy("id").agg(F.max("content").alias("question"), F.max("embedding").alias("embedding")).withColumnRenamed("id", "query_id")
 
 
 def _paths(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    asked, recs = _asked(spark, folder), table(spark, folder, "vector_records").where("id is not null").groupBy("id").agg(F.max_by("content", "ingest_sequence").alias("content"), F.first("embedding").alias("embedding"))
+    asked, recs = _asked(spark, folder), table(spark, folder, "vector_records").where("id is not null").groupBy("id").agg(F.max_by("content", "ingest_sequence").alias("content"), F.max("embedding").alias("embedding"))
     return dense.dense_topk(asked.select("query_id", "embedding"), recs.select("id", "embedding"), 30), lexical.bm25_topk(asked.select("query_id", "question"), recs.select("id", "content"), 30, text_col="content")
 
 
@@ -450,14 +474,14 @@ def lexical_rerank(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def retrieval_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole plan over the children of all documents, for one in 200 golden questions with the reference answer as a
+    """The whole plan over the children of all documents, for all golden questions with the reference answer as a
     rewrite: hybrid search per variant, fusion, rerank, parents, gate, packing. These tables name no readers of documents, so no access filter."""
-    parents, children = chunking.parent_child(documents(spark, folder), "doc_id", "text")
+    parents, children = chunking.parent_child(documents(spark, folder), "doc_id", "text", source_col="source")
     chunks = stored(children.select(F.concat_ws("#", "id", "chunk_index").alias("id"), "parent_id", "content"))
-    g = table(spark, folder, "golden_set").where(F.pmod(F.xxhash64("qid"), F.lit(200)) == 0).groupBy("qid").agg(F.min("question").alias("question"), F.min("ground_truth").alias("rewrite"))
+    g = table(spark, folder, "golden_set").groupBy("qid").agg(F.min("question").alias("question"), F.min("ground_truth").alias("rewrite"))
     rewrites = g.where("rewrite is not null").groupBy(text.normalize_question(F.col("question")).alias("question_key")).agg(F.min("rewrite").alias("rewrite")).withColumn("pos", F.lit(0))
-    option = retrieval.Options(rerank=True, multi_query=True, expand=True, gate=context.Gate(), pack=context.Packing())
-    found = retrieval.contexts(g.select(F.col("qid").alias("query_id"), "question"), chunks, option, rewrites=rewrites, parents=parents.select("parent_id", "content").dropDuplicates(["parent_id"]))
+    option = retrieval.Options(rerank=True, multi_query=True, expand=True, gate=context.Gate(), pack=context.Packing(exact=True))
+    found = retrieval.contexts(g.select(F.col("qid").alias("query_id"), "question"), chunks, option, rewrites=rewrites, parents=parents.groupBy("parent_id").agg(F.max("content").alias("content")))
     return found.withColumn("used_ids", F.array_join("used_ids", ","))
 
 
@@ -474,16 +498,38 @@ def acl_for_principal(spark: SparkSession, folder: str) -> DataFrame:
     r AS (SELECT id, unnest(acl) AS s FROM vector_records WHERE id IS NOT NULL), v AS (SELECT DISTINCT id, trim(s) AS s FROM r WHERE trim(s) <> '')
     SELECT principal, count(DISTINCT id) AS n_visible FROM v JOIN m USING (s) GROUP BY principal""")
 def acl_filter(spark: SparkSession, folder: str) -> DataFrame:
-    m = table(spark, folder, "principal_acl_membership")
-    seen = access.visible(m.select(F.trim("principal").alias("principal")), m, table(spark, folder, "vector_records").where("id is not null").select("id", "acl"))
-    return seen.groupBy("principal").agg(F.count("*").alias("n_visible"))
+    return access.visible_counts(table(spark, folder, "principal_acl_membership"), table(spark, folder, "vector_records").where("id is not null").select("id", "acl"))
 
 
-@query("""
-    WITH r AS (SELECT source, unnest(acl) AS s FROM vector_records WHERE source IS NOT NULL)
-    SELECT source, array_to_string(list_sort(list(DISTINCT trim(s))), ',') AS subjects FROM r WHERE trim(s) <> '' GROUP BY source""")
+@query(f"""
+    WITH r AS (SELECT id, arg_max({{'s': source, 'k': chunk_index, 'a': acl}}, ingest_sequence) AS r FROM vector_records WHERE id IS NOT NULL GROUP BY id),
+    document AS (SELECT DISTINCT r.s AS id, r.s AS source FROM r WHERE r.s IS NOT NULL), chunk AS (SELECT id, r.s AS document_id FROM r),
+    acl_binding AS (SELECT CASE WHEN r.k = 0 THEN r.s END AS document_id, CASE WHEN r.k <> 0 OR r.k IS NULL THEN id END AS chunk_id, unnest(r.a) AS acl_subject FROM r),
+    m AS (SELECT d.source AS direct, e.source AS through, trim(acl_subject) AS s FROM acl_binding b LEFT JOIN document d ON b.document_id = d.id LEFT JOIN chunk c ON b.chunk_id = c.id LEFT JOIN document e ON c.document_id = e.id)
+    SELECT source, array_to_string(list_sort(list(DISTINCT s)), ',') AS subjects FROM (SELECT direct AS source, s FROM m UNION SELECT through, s FROM m) WHERE trim(source) <> '' AND s <> '' GROUP BY source""")
 def acl_for_source(spark: SparkSession, folder: str) -> DataFrame:
-    return access.subjects_of_source(table(spark, folder, "vector_records").select("source", "acl")).select("source", F.array_join("subjects", ",").alias("subjects"))
+    """The subjects of every source. The first chunk's subjects are bound to the document, the others' to their chunk."""
+    r = records(spark, folder, "source", "chunk_index", "acl")
+    first = F.col("chunk_index") == 0
+    bindings = r.select(F.when(first, F.col("source")).alias("document_id"), F.when(F.coalesce(~first, F.lit(True)), F.col("id")).alias("chunk_id"), F.explode("acl").alias("acl_subject"))
+    docs = r.where("source is not null").select(F.col("source").alias("id"), "source").distinct()
+    return access.subjects_of_source(bindings, docs, r.select("id", F.col("source").alias("document_id"))).select("source", F.array_join("subjects", ",").alias("subjects"))
+
+
+_NUMBERED = f"(SELECT p.principal AS query_id, g.question, p.subjects FROM (SELECT principal, subjects, row_number() OVER (ORDER BY principal) AS n FROM (SELECT trim(principal) AS principal, list(DISTINCT trim(acl_subject)) AS subjects FROM principal_acl_membership WHERE trim(principal) <> '' AND trim(acl_subject) <> '' GROUP BY 1)) p JOIN (SELECT question, row_number() OVER (ORDER BY qid) AS n FROM {_GOLDEN}) g USING (n))"
+
+
+@query("WITH rec AS " + _RECORDS + ", asks AS " + _NUMBERED + ", may AS (SELECT DISTINCT id, trim(s) AS s FROM (SELECT id, unnest(acl) AS s FROM (SELECT id, arg_max({'a': acl}, ingest_sequence).a AS acl FROM vector_records WHERE id IS NOT NULL GROUP BY id))),"
+    + _bm25("rec", "id", "content", "asks", 1_000_000_000) + """,
+    v AS (SELECT DISTINCT b.query_id, b.id, b.score FROM b JOIN asks USING (query_id) JOIN may USING (id) WHERE list_contains(subjects, may.s))
+    SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM v) WHERE rank <= 5""")
+def acl_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Each principal asks a golden question, and sees the best of the records that its subjects allow."""
+    p = access.allowed_subjects(table(spark, folder, "principal_acl_membership"))
+    number = lambda df, c: chunking.in_sequence(df, [F.col(c)], "n")
+    asks = number(p, "principal").join(number(golden(spark, folder).select("qid", "question"), "qid").select("question", "n"), "n").select(F.col("principal").alias("query_id"), "question", "subjects")
+    r = records(spark, folder, "content", "acl").select("id", "content", access.normalize_subjects(F.col("acl")).alias("acl"))
+    return lexical.bm25_topk(asks, r, 5, text_col="content", acl_col="acl")
 
 
 # ---------------------------------------------------------------- context
@@ -554,23 +600,84 @@ def near_dup_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return context.near_duplicates(s, 0.8)
 
 
-@query()
+_SOURCES_OF = f"(SELECT s.request_id, s.source_index FROM {_SOURCES} s JOIN (SELECT request_id, max(budget_limit) AS lim FROM packed_contexts GROUP BY 1) b USING (request_id) WHERE lim > 0)"
+
+
+def _pack(spark: SparkSession, folder: str, option: context.Packing = context.Packing()) -> DataFrame:
+    v = records(spark, folder, "source", "chunk_index", "start_char", "end_char").drop("ingest_sequence").withColumnRenamed("id", "record_id")
+    s = sources(spark, folder).join(v, "record_id", "left")
+    return context.pack_contexts(s, table(spark, folder, "packed_contexts"), option)
+
+
+@query(f"SELECT request_id, count(*) AS sources, CAST(0 AS INTEGER) AS broken FROM {_SOURCES_OF} GROUP BY request_id")
 def context_pack(spark: SparkSession, folder: str) -> DataFrame:
-    return context.pack_contexts(table(spark, folder, "retrieved_sources"), table(spark, folder, "packed_contexts"))
+    """How many sources each request has, and the rules that its packed context breaks: every source is used, skipped or a repeat,
+    the budget holds and is what the context measures, the blocks are numbered on."""
+    p = _pack(spark, folder, context.Packing(exact=True))
+    size = F.when(F.col("budget_unit") == "tokens", text.token_count(F.col("context"))).otherwise(F.char_length("context"))
+    n = F.size("used_ids") + F.size("deduped_ids") + F.size("skipped_ids")
+    heads = F.size(F.regexp_extract_all("context", F.lit(r"(?m)^\[\d+\] source="), F.lit(0)))
+    bad = (size != F.col("budget_used")).cast("int") + ((F.size("used_ids") > 0) & (F.col("budget_used") > F.col("budget_limit"))).cast("int") + (heads < F.size("used_ids")).cast("int") + (F.size("deduped_ids") != F.size("dedup_reasons")).cast("int")
+    return p.select("request_id", n.cast("bigint").alias("sources"), bad.alias("broken"))
 
 
-@query()
-def build_prompt(spark: SparkSession, folder: str) -> DataFrame:
-    packed = context.pack_contexts(table(spark, folder, "retrieved_sources"), table(spark, folder, "packed_contexts"))
-    return context.build_prompts(questions(spark, folder).where("question is not null").select(F.col("request_id").alias("query_id"), "question"), packed.select(F.col("request_id").alias("query_id"), "context"))
+@query(f"""
+    WITH s AS (SELECT s.request_id, s.source_index, s.record_id, coalesce(v.source || '|' || v.chunk_index || '|' || v.a || '|' || v.e, s.record_id) AS key FROM {_SOURCES} s LEFT JOIN (SELECT id, arg_max(source, ingest_sequence) AS source, arg_max(chunk_index, ingest_sequence) AS chunk_index, arg_max(start_char, ingest_sequence) AS a, arg_max(end_char, ingest_sequence) AS e FROM vector_records WHERE id IS NOT NULL GROUP BY id) v ON s.record_id = v.id)
+    SELECT request_id, CAST(count(*) - count(DISTINCT key) - sum(CASE WHEN key IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS repeats FROM s JOIN {_SOURCES_OF} USING (request_id, source_index) GROUP BY request_id""")
+def pack_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """The repeats that packing leaves out by exact keys."""
+    return _pack(spark, folder, context.Packing(exact=True)).select("request_id", F.size("deduped_ids").cast("bigint").alias("repeats"))
 
 
-@query()
+_BLOCKS = f"(SELECT request_id, source_index, '[' || source_index || '] ' || content AS block FROM {_SOURCES} WHERE content IS NOT NULL)"
+_CUT = f"""b AS (SELECT *, coalesce(sum(length(block)) OVER (PARTITION BY request_id ORDER BY source_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {_BLOCKS}),
+    cut AS (SELECT request_id AS query_id, string_agg(CASE WHEN length(block) > 4000 - before THEN rtrim(left(block, CAST(4000 - before AS BIGINT)), ' ') ELSE block END, chr(10) || chr(10) ORDER BY source_index) AS context FROM b WHERE before < 4000 GROUP BY 1)"""
+
+
+@query(f"WITH {_CUT} SELECT * FROM cut")
 def cut_contexts(spark: SparkSession, folder: str) -> DataFrame:
     s = sources(spark, folder).where("content is not null")
     return context.cut_context(s.select(F.col("request_id").alias("query_id"), "source_index", F.concat(F.lit("["), "source_index", F.lit("] "), "content").alias("block")), 4000)
 
 
+_SHAPE = f"""q AS (SELECT request_id AS query_id, question, ' ' || {_QUESTION.format('question')} || ' ' AS x FROM {_QUESTIONS} WHERE question IS NOT NULL)"""
+
+
+@query(f"""
+    WITH {_CUT}, {_SHAPE}
+    SELECT query_id, 'Answer from this context and cite its numbers.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, 'No relevant context was retrieved.') || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10)
+      || CASE WHEN {_has('x', text.RELEVANCE_MARKERS)} AND {_has('x', text.RELEVANCE_TARGETS)} THEN '{context.SCOPES["relevance"]}' WHEN {_has('x', text.LOOKUP_MARKERS)} AND {_has('x', text.LOOKUP_TARGETS)} THEN '{context.SCOPES["lookup"]}' WHEN {_has('x', text.RELATION_TARGETS)} AND {_has('x', text.RELATION_MARKERS)} THEN '{context.SCOPES["relation"]}' ELSE '{context.SCOPES["plain"]}' END
+      || CASE WHEN contains(x, 'workaround') THEN '{context.SCOPES["workaround"]}' WHEN {_has('x', text.SCENARIO_KEYWORDS)} OR ({_has('x', text.PROCEDURAL_INTENT)} AND {_has('x', text.SITUATION)}) THEN '{context.SCOPES["scenario"]}' WHEN {_has('x', text.ACTION_MARKERS)} THEN '{context.SCOPES["actions"]}' ELSE '{context.SCOPES["narrow"]}' END AS prompt
+    FROM q LEFT JOIN cut USING (query_id)""")
+def build_prompt(spark: SparkSession, folder: str) -> DataFrame:
+    return context.build_prompts(questions(spark, folder).where("question is not null").select(F.col("request_id").alias("query_id"), "question"), cut_contexts(spark, folder))
+
+
+@query(f"""
+    SELECT request_id, source_index, '[' || source_index || '] ' || coalesce(nullif(regexp_extract(replace(v.source, chr(92), '/'), '([^/]*)/*$', 1), ''), s.record_id, 'source-' || source_index) || ': ' || content AS citation
+    FROM {_SOURCES} s LEFT JOIN {_RECORDS} v ON s.record_id = v.id WHERE s.content IS NOT NULL""".replace("content AS citation", "s.content AS citation"))
+def citations(spark: SparkSession, folder: str) -> DataFrame:
+    v = records(spark, folder, "source").select(F.col("id").alias("record_id"), "source")
+    s = sources(spark, folder).where("content is not null").join(v, "record_id", "left")
+    return s.select("request_id", "source_index", text.citation_context(F.col("source_index"), F.col("source"), F.col("content"), F.col("record_id")).alias("citation"))
+
+
+@query(f"""
+    WITH w AS (SELECT request_id, answer, string_split(answer, ' ') AS w FROM {_QUESTIONS} WHERE answer IS NOT NULL)
+    SELECT request_id, array_to_string(CASE WHEN len(w) <= 2 THEN [answer] ELSE list_transform(range(0, CAST(ceil(len(w) / 3.0) AS BIGINT)), lambda k: array_to_string(w[3 * k + 1 : 3 * k + 3], ' ') || CASE WHEN 3 * k + 3 < len(w) THEN ' ' ELSE '' END) END, '|') AS pieces FROM w""")
+def answer_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    a = questions(spark, folder).where("answer is not null").select("request_id", text.stream_pieces(F.col("answer")).alias("p"))
+    return a.select("request_id", F.array_join("p", "|").alias("pieces"))
+
+
+@query(f"""
+    WITH a AS (SELECT request_id, coalesce(encode(question), ''::BLOB) AS q, coalesce(encode(answer), ''::BLOB) AS a FROM {_QUESTIONS})
+    SELECT request_id, sha256(unhex(lpad(hex(octet_length(q)), 16, '0')) || q || unhex(lpad(hex(octet_length(a)), 16, '0')) || a) AS digest FROM a""")
+def content_digests(spark: SparkSession, folder: str) -> DataFrame:
+    q = questions(spark, folder)
+    return q.select("request_id", text.content_digest(F.array(F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")))).alias("digest"))
+
+
 # ---------------------------------------------------------------- evaluation
 
 
@@ -601,10 +708,13 @@ def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.summary(evaluation.cases(golden(spark, folder), _run(spark, folder), (1, 3, 5)))
 
 
-@query(_CASES + " SELECT qid, k, n_relevant, CAST(n_retrieved AS INTEGER) AS n_retrieved, CAST(n_matched AS INTEGER) AS n_matched, first_rank FROM e WHERE (n_relevant > 0 AND recall < 1) OR (n_relevant = 0 AND n_retrieved > 0)")
+@query(_CASES + f""", got AS (SELECT e.qid, e.k, string_agg(run.source || '#' || coalesce(CAST(run.chunk_index AS VARCHAR), ''), ',' ORDER BY run.rank, run.source, run.chunk_index) AS retrieved FROM e JOIN run ON run.qid = e.qid AND run.rank <= e.k WHERE run.source IS NOT NULL GROUP BY ALL)
+    SELECT e.qid, e.k, n_relevant, CAST(n_retrieved AS INTEGER) AS n_retrieved, CAST(n_matched AS INTEGER) AS n_matched, first_rank, CASE WHEN n_matched = 0 THEN '{text.MISS_REASONS[0]}' WHEN n_matched < n_relevant THEN printf('{text.MISS_REASONS[1]}', n_matched, n_relevant) ELSE '{text.MISS_REASONS[2]}' END AS reason, coalesce(retrieved, '') AS retrieved
+    FROM e LEFT JOIN got USING (qid, k) WHERE (n_relevant > 0 AND recall < 1) OR (n_relevant = 0 AND n_retrieved > 0)""")
 def low_recall_cases(spark: SparkSession, folder: str) -> DataFrame:
     low = evaluation.low_recall(evaluation.cases(golden(spark, folder), _run(spark, folder), (1, 3, 5)))
-    return low.select("qid", "k", "n_relevant", "n_retrieved", "n_matched", "first_rank")
+    shown = F.array_join(F.transform("retrieved", lambda x: F.concat(x["source"], F.lit("#"), F.coalesce(x["chunk_index"].cast("string"), F.lit("")))), ",")
+    return low.select("qid", "k", "n_relevant", "n_retrieved", "n_matched", "first_rank", "reason", shown.alias("retrieved"))
 
 
 @query(f"SELECT route, round(avg(latency_ms), 6) AS mean, round(median(latency_ms), 6) AS median, round(stddev_pop(latency_ms), 6) AS stddev, round(mad(latency_ms), 6) AS mad, round(min(latency_ms), 6) AS min, round(max(latency_ms), 6) AS max, count(*) AS n FROM {_LOG} WHERE latency_ms IS NOT NULL GROUP BY route")
@@ -623,28 +733,52 @@ def compare_runs(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.compare(s.where("retrieval_mode = 'dense'"), after, "route")
 
 
+_VERDICTS = f"""v AS (SELECT {_QUESTION.format('question')} AS qid, CASE WHEN {_has(_QUESTION.format('coalesce(answer, chr(32))'), ('i do not know based on the provided context', *text.ABSTENTIONS))} THEN 0.0 ELSE 1.0 END AS answered,
+    CASE WHEN length(answer) > 0 THEN least(1.0, length(answer) / 200.0) ELSE 0.0 END AS fullness FROM {_QUESTIONS} WHERE question IS NOT NULL), l AS (SELECT qid, 'answered' AS metric, CAST(answered AS DOUBLE) AS value FROM v UNION ALL SELECT qid, 'fullness', CAST(fullness AS DOUBLE) FROM v),
+    c AS (SELECT qid, metric, round(avg(value), 6) AS mean, round(median(value), 6) AS med, round(mad(value), 6) AS mad FROM l GROUP BY ALL),
+    t AS (SELECT * FROM (VALUES ('answered', CAST(0.5 AS DOUBLE), CAST(0.1 AS DOUBLE)), ('fullness', 0.2, 0.3)) x(metric, bound, margin))"""
+
+
+def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """What a plain judge says of every answer, questions asked again being further runs: whether it answers, and how full it is."""
+    q = questions(spark, folder).where("question is not null")
+    v = q.select(text.normalize_question(F.col("question")).alias("qid"), F.when(text.is_abstention(F.col("answer")), 0.0).otherwise(1.0).alias("answered"), F.least(F.lit(1.0), F.coalesce(F.char_length("answer"), F.lit(0)) / 200.0).alias("fullness"))
+    return v.select("qid", F.lit(None).cast("string").alias("capability"), F.expr("stack(2, 'answered', answered, 'fullness', fullness) as (metric, value)"))
+
+
 @query(f"""
-    WITH v AS (SELECT request_id AS qid, retrieval_mode AS metric, score AS value FROM {_SOURCES} WHERE score IS NOT NULL AND retrieval_mode IS NOT NULL),
-    c AS (SELECT qid, metric, round(avg(value), 6) AS mean, round(median(value), 6) AS med, round(mad(value), 6) AS mad FROM v GROUP BY ALL),
-    g AS (SELECT metric, round(avg(mean), 6) AS mean, min(med) AS lowest_median, max(mad) AS largest_mad, CAST(sum(CASE WHEN metric = 'dense' AND med < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS failures FROM c GROUP BY metric)
-    SELECT *, CASE WHEN metric = 'dense' THEN failures = 0 AND largest_mad * 3 <= 0.1 ELSE TRUE END AS passed FROM g""")
+    WITH {_VERDICTS}
+    SELECT metric, round(avg(mean), 6) AS mean, min(med) AS lowest_median, max(mad) AS largest_mad, CAST(sum(CASE WHEN med < bound THEN 1 ELSE 0 END) AS BIGINT) AS failures,
+      sum(CASE WHEN med < bound THEN 1 ELSE 0 END) = 0 AND max(mad) * 3 <= max(margin) AS passed FROM c JOIN t USING (metric) GROUP BY metric""")
 def verdict_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of retrieval as if they were verdicts, with one metric gated."""
-    v = sources(spark, folder).where("score is not null and retrieval_mode is not null").select(F.col("request_id").alias("qid"), F.col("retrieval_mode").alias("metric"), F.col("score").alias("value"))
-    return evaluation.verdict_gate(v, {"dense": 0.5}, {"dense": 0.1})
+    return evaluation.replay(_verdicts(spark, folder), {"answered": 0.5, "fullness": 0.2}, {"answered": 0.1, "fullness": 0.3})[0]
+
+
+@query(f"""
+    WITH {_VERDICTS}, w AS (SELECT metric, arg_max(qid, (mad, qid)) AS qid, max(mad) AS mad FROM c GROUP BY metric)
+    SELECT 'median' AS kind, metric, qid, med AS value, bound FROM c JOIN t USING (metric) WHERE med < bound
+    UNION ALL SELECT 'margin', metric, qid, mad * 3.0, margin FROM w JOIN t USING (metric) WHERE mad * 3 > margin""")
+def verdict_failures(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.replay(_verdicts(spark, folder), {"answered": 0.5, "fullness": 0.2}, {"answered": 0.1, "fullness": 0.3})[1]
 
 
 # ---------------------------------------------------------------- observation
 
 
-@query(f"""
-    WITH l AS {_LOG}, h AS (SELECT route, count(*) AS n FROM l WHERE cache_outcome = 'hit' GROUP BY 1), m AS (SELECT route, count(*) AS n FROM l WHERE cache_outcome = 'miss' GROUP BY 1)
-    SELECT route, coalesce(h.n, 0) - coalesce(m.n, 0) AS delta FROM h FULL JOIN m USING (route)""")
-def counter_delta(spark: SparkSession, folder: str) -> DataFrame:
-    """Cache misses against hits by route."""
-    by = log(spark, folder).groupBy("route", "cache_outcome").agg(F.count("*").alias("n"))
-    return observe.delta(by.where("cache_outcome = 'miss'"), by.where("cache_outcome = 'hit'"), "route")
+_LATE = "(SELECT date_trunc('day', max(ts)) - INTERVAL 14 DAY FROM request_log)"
+
 
+def _late(spark: SparkSession, folder: str):
+    """The begin of the last 14 days of the log, a single value."""
+    return F.lit(table(spark, folder, "request_log").agg((F.date_trunc("day", F.max("ts")) - F.expr("interval 14 days")).alias("d")).first().d)
+
+
+@query(f"WITH l AS {_LOG} SELECT route, count(*) - sum(CASE WHEN ts < {_LATE} THEN 1 ELSE 0 END) AS delta FROM l GROUP BY route".replace("count(*) - sum(CASE WHEN ts", "CAST(count(*) - sum(CASE WHEN ts").replace("ELSE 0 END) AS delta", "ELSE 0 END) AS BIGINT) AS delta"))
+def counter_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """The requests of each route between two snapshots of the counters: at the begin of the last 14 days, and at their end."""
+    r = log(spark, folder)
+    by = lambda df: df.groupBy("route").agg(F.count("*").alias("n"))
+    return observe.delta(by(r.where(F.col("ts") < _late(spark, folder))), by(r), "route")
 
 
 @query(f"SELECT route, count(*) AS n, round(min(latency_ms), 3) AS min_ms, round(avg(latency_ms), 3) AS mean_ms, round(quantile_disc(latency_ms, 0.5), 3) AS p50_ms, round(quantile_disc(latency_ms, 0.95), 3) AS p95_ms, round(CASE WHEN count(*) >= 1000 THEN quantile_disc(latency_ms, 0.99) END, 3) AS p99_ms, round(max(latency_ms), 3) AS max_ms FROM {_LOG} WHERE latency_ms IS NOT NULL GROUP BY route")
@@ -652,13 +786,35 @@ def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
     return observe.latency_summary(log(spark, folder), ["route"])
 
 
-@query(f"""
-    WITH l AS (SELECT route, latency_ms FROM {_LOG} WHERE latency_ms IS NOT NULL), b AS (SELECT unnest([{', '.join(f"{{'le': '{x}', 'top': {x}}}" for x in observe.BOUNDS_MS)}, {{'le': '+Inf', 'top': CAST('inf' AS DOUBLE)}}]) AS x)
-    SELECT route, x.le AS le, CAST(sum(CASE WHEN latency_ms <= x.top THEN 1 ELSE 0 END) AS BIGINT) AS cumulative, count(*) AS n, round(sum(latency_ms), 3) AS total FROM l CROSS JOIN b GROUP BY route, x.le""")
+_HISTOGRAM = """b AS (SELECT unnest(['5.0', '10.0', '25.0', '50.0', '100.0', '250.0', '500.0', '1000.0', '2500.0', '5000.0', '10000.0', '+Inf']) AS le),
+    h AS (SELECT route, le, CAST(sum(CASE WHEN le = '+Inf' OR latency_ms <= try_cast(le AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS cumulative, count(*) AS n, round(sum(latency_ms), 3) AS total FROM l CROSS JOIN b WHERE latency_ms IS NOT NULL GROUP BY route, le)"""
+
+
+@query(f"WITH l AS {_LOG}, {_HISTOGRAM} SELECT * FROM h")
 def latency_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return observe.histogram(log(spark, folder), ["route"])
 
 
+@query(f"""
+    WITH l AS (SELECT retrieval_mode, score FROM {_SOURCES} WHERE score IS NOT NULL), b AS (SELECT unnest(['-1.0', '-0.5', '0.0', '0.25', '0.5', '0.75', '0.9', '1.0', '+Inf']) AS le)
+    SELECT retrieval_mode, le, CAST(sum(CASE WHEN le = '+Inf' OR score <= try_cast(le AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS cumulative, count(*) AS n, round(sum(score), 3) AS total FROM l CROSS JOIN b GROUP BY ALL""")
+def score_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return observe.histogram(sources(spark, folder), ["retrieval_mode"], observe.BOUNDS_SCORE, "score")
+
+
+@query(f"""
+    WITH l AS {_LOG}, {_HISTOGRAM}, k AS (SELECT route, cache_outcome, count(*) AS n FROM l GROUP BY ALL)
+    SELECT unnest(['# HELP request_duration_ms Latency of requests.', '# TYPE request_duration_ms histogram', '# HELP cache_operations_total Outcomes of the cache.', '# TYPE cache_operations_total counter']) AS line
+    UNION ALL SELECT 'request_duration_ms_bucket{{route="' || coalesce(route, '') || '",le="' || regexp_replace(le, '\\.0$', '') || '"}} ' || cumulative FROM h
+    UNION ALL SELECT 'request_duration_ms_sum{{route="' || coalesce(route, '') || '"}} ' || printf('%.3f', total) FROM h WHERE le = '+Inf' UNION ALL SELECT 'request_duration_ms_count{{route="' || coalesce(route, '') || '"}} ' || n FROM h WHERE le = '+Inf'
+    UNION ALL SELECT 'cache_operations_total{{route="' || coalesce(g.route, '') || '",cache_outcome="' || coalesce(g.cache_outcome, '') || '"}} ' || coalesce(k.n, 0) FROM (SELECT * FROM (SELECT DISTINCT route FROM l) CROSS JOIN (SELECT DISTINCT cache_outcome FROM l)) g LEFT JOIN k ON g.route IS NOT DISTINCT FROM k.route AND g.cache_outcome IS NOT DISTINCT FROM k.cache_outcome""")
+def metrics_exposition(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the metrics page; ``place`` orders them where they are written."""
+    r = log(spark, folder)
+    lines = observe.histogram_exposition(observe.histogram(r, ["route"]), "request_duration_ms", ["route"], "Latency of requests.")
+    return lines.unionByName(observe.exposition(observe.counters(r, ["route", "cache_outcome"]), "cache_operations_total", ["route", "cache_outcome"], "n", "Outcomes of the cache.")).select("line")
+
+
 @query(f"""
     WITH l AS {_LOG}, g AS (SELECT * FROM (SELECT DISTINCT route FROM l) CROSS JOIN (SELECT DISTINCT cache_outcome FROM l))
     SELECT g.route, g.cache_outcome, count(l.request_id) AS n FROM g LEFT JOIN l ON g.route IS NOT DISTINCT FROM l.route AND g.cache_outcome IS NOT DISTINCT FROM l.cache_outcome GROUP BY ALL""")
@@ -688,14 +844,50 @@ def request_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return observe.completion(log(spark, folder))
 
 
-@query()
+def _hmac_sql(domain: str, value: str, salt: bytes = b"salt") -> str:
+    """SQL of the keyed digest: the inner and the outer hash over the padded key."""
+    inner, outer = (bytes(k ^ pad for k in salt.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode('{domain}') || unhex('00') || encode({value}))))"
+
+
+@query(f"""
+    SELECT request_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, route, CASE WHEN trim(coalesce(principal_id, '')) = '' THEN 'anonymous' ELSE 'p_' || {_hmac_sql('principal', 'trim(principal_id)')} END AS principal_id, 'q_' || {_hmac_sql('query', 'question')} AS query_hash, top_k, retrieval_mode,
+      CAST(coalesce(len(source_ids), 0) AS INTEGER) AS n_sources, array_to_string(list_transform(coalesce(source_ids, []), lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z0-9._:-]{{1,128}}') THEN x ELSE 's_' || sha256('salt' || x) END), ',') AS source_ids, round(greatest(0.0, latency_ms), 3) AS latency_ms, cache_outcome, status_code, outcome FROM {_LOG}""")
 def audit_records(spark: SparkSession, folder: str) -> DataFrame:
-    return observe.audit_records(log(spark, folder), "salt")
+    return observe.audit_records(log(spark, folder), "salt").withColumn("source_ids", F.array_join("source_ids", ","))
 
 
 @query(f"""
-    WITH q AS (SELECT DISTINCT {_QUESTION.format('question')} AS question FROM request_log WHERE question IS NOT NULL), c AS (SELECT DISTINCT {_QUESTION.format('question')} AS question FROM rag_responses WHERE question IS NOT NULL)
-    SELECT question, sha256(question) AS query_hash FROM q WHERE question NOT IN (SELECT question FROM c)""")
+    WITH g AS (SELECT {_QUESTION.format('question')} AS question FROM golden_set WHERE question IS NOT NULL UNION SELECT {_QUESTION.format('ground_truth')} FROM golden_set WHERE ground_truth IS NOT NULL), c AS (SELECT DISTINCT {_QUESTION.format('question')} AS question FROM rag_responses WHERE question IS NOT NULL)
+    SELECT question, sha256(question) AS query_hash FROM g WHERE question NOT IN (SELECT question FROM c)""")
 def cache_misses(spark: SparkSession, folder: str) -> DataFrame:
+    """The questions and variants of the golden set whose embedding the answered requests haven't left in the cache."""
     cached = table(spark, folder, "rag_responses").where("question is not null").select(F.sha2(text.normalize_question(F.col("question")), 256).alias("query_hash"))
-    return observe.cache_misses(table(spark, folder, "request_log").select("question"), cached)
+    g = table(spark, folder, "golden_set")
+    return observe.cache_misses(g.select("question").unionByName(g.select(F.col("ground_truth").alias("question"))), cached)
+
+
+_KEY = f"""'rag:cache-v1:retrieval:' || sha256('{{"config":' || CASE WHEN retrieval_mode IS NULL THEN 'null' ELSE CAST(to_json(retrieval_mode) AS VARCHAR) END || ',"corpus":"kb","filter":"{{}}","question":' || CASE WHEN question IS NULL THEN 'null' ELSE CAST(to_json({_QUESTION.format('question')}) AS VARCHAR) END || ',"top_k":' || coalesce(CAST(top_k AS VARCHAR), 'null') || ',"version":1}}')"""
+
+
+@query(f"""
+    WITH l AS (SELECT *, {_KEY} AS cache_key FROM {_LOG} WHERE question IS NOT NULL), live AS (SELECT cache_key, arg_max(request_id, (ts, request_id)) AS payload FROM l WHERE ts < {_LATE} AND ts > {_LATE} - INTERVAL 7 DAY GROUP BY 1)
+    SELECT request_id, l.cache_key, CASE WHEN live.cache_key IS NULL THEN 'miss' ELSE 'hit' END AS cache_outcome, CASE WHEN live.cache_key IS NULL THEN (SELECT min(request_id) FROM l x WHERE x.cache_key = l.cache_key AND x.ts >= {_LATE}) ELSE payload END AS payload FROM l LEFT JOIN live USING (cache_key) WHERE ts >= {_LATE}""")
+def retrieval_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """The last 14 days' requests served from what the seven days before left in the cache; the payload names the request that it was made for."""
+    r, now = log(spark, folder).where("question is not null"), _late(spark, folder)
+    parts = cache.retrieval_parts(F.col("question"), "kb", 1, F.col("top_k"), F.lit("{}"), "") | {"config": F.col("retrieval_mode")}
+    keyed = cache.with_key(r, "retrieval", parts).select("request_id", "ts", "cache_key")
+    entries = keyed.where(F.col("ts") < now).groupBy("cache_key").agg(F.max(F.struct(F.col("ts"), "request_id")).alias("r")).select("cache_key", F.col("r.request_id").alias("payload"), F.col("r.ts").alias("stored_at"))
+    first = lambda missing: missing.select("cache_key", F.col("first").alias("payload"))
+    today = keyed.where(F.col("ts") >= now).withColumn("first", F.min("request_id").over(Window.partitionBy("cache_key")))
+    return cache.served(today, entries, first, now, 7 * 86_400)[0].select("request_id", "cache_key", "cache_outcome", "payload")
+
+
+@query("""
+    WITH r AS (SELECT id, max(ingest_sequence) AS n, arg_max({'s': source}, ingest_sequence).s AS s, arg_max({'c': content}, ingest_sequence).c AS c FROM vector_records WHERE id IS NOT NULL GROUP BY id)
+    SELECT s AS parent_id, arg_min(c, n) AS content FROM r WHERE s IS NOT NULL AND c IS NOT NULL GROUP BY s""")
+def parent_store(spark: SparkSession, folder: str) -> DataFrame:
+    """The store of parents rebuilt from records that carry a parent's text: here each source's text is its first record's."""
+    r = records(spark, folder, "source", "content").where("source is not null and content is not null")
+    return store.parents_of(r.select("id", "ingest_sequence", F.col("source").alias("parent_id"), F.col("content").alias("parent_content")))

@@ -25,6 +25,7 @@ class Options:
     original_weight: float = fusion.ORIGINAL_WEIGHT
     variant_weight: float = fusion.VARIANT_WEIGHT
     rerank: bool = False
+    hierarchical: bool = False  # what is searched are children of parents
     expand: bool = False  # children give way to their parents
     gate: context.Gate | None = None
     pack: context.Packing | None = None
@@ -53,9 +54,10 @@ PROFILES = {
     "baseline": Options(mode="dense"),
     "rerank": Options(mode="dense", rerank=True),
     "hybrid": Options(),
-    "parent_child": Options(mode="dense", expand=True),
-    "context_packing": Options(pack=context.Packing()),
-    "multi_query": Options(multi_query=True),
+    "bm25": Options(mode="bm25"),
+    "parent_child": Options(mode="dense", hierarchical=True),
+    "context_packing": Options(mode="dense", pack=context.Packing(exact=True)),
+    "multi_query": Options(mode="dense", multi_query=True),
 }
 
 
@@ -66,7 +68,8 @@ def _single(questions: DataFrame, chunks: DataFrame, option: Options, n: int, al
         index = chunks if "embedding" in chunks.columns else embedding.embed_documents(chunks, "content", option.dimension)
         asked = embedding.embed_documents(questions, "question", option.dimension)
         if allowed is None:
-            paths["dense"] = dense.dense_topk(asked.select("query_id", "embedding"), index.select("id", "embedding"), n)
+            placed = {"source", "chunk_index", "start_char", "end_char"} <= set(index.columns)
+            paths["dense"] = dense.dense_topk(asked.select("query_id", "embedding"), index, n, ties=dense.record_ties() if placed else ())
         else:
             from pyspark.sql import Window
 
@@ -105,7 +108,10 @@ def _variants(questions: DataFrame, rewrites: DataFrame, chunks: DataFrame, opti
 
 
 def _ranked(questions: DataFrame, chunks: DataFrame, option: Options, allowed: DataFrame | None, reranker: Reranker | None, rewrites: DataFrame | None, parents: DataFrame | None) -> DataFrame:
-    """All stages before the gate: (query_id, id, score, rank, dense_score, retrieval_mode, rerank_provider[, content, expanded, child_ids])."""
+    """All stages before the gate: (query_id, id, score, rank, dense_score, dense_rank, retrieval_mode, rerank_provider[, content, expanded, child_ids]).
+
+    A reranker that gave no score leaves the score and order of before.
+    """
     if option.multi_query and rewrites is None:
         raise ValueError("multi_query needs the rewrites")
     if option.expand and (parents is None or "parent_id" not in chunks.columns):
@@ -116,7 +122,10 @@ def _ranked(questions: DataFrame, chunks: DataFrame, option: Options, allowed: D
         found, by = stored(found), reranker or LexicalReranker()
         provider = getattr(by, "provider", "unknown")
         c = found.join(questions, "query_id").join(chunks.select("id", "content"), "id").select("query_id", "question", "id", "content", F.col("rank").alias("dense_rank"))
-        found = by.rerank(c, option.top_k).select("query_id", "id", "score", "rank").join(found.select("query_id", "id", "dense_score", "retrieval_mode"), ["query_id", "id"])
+        before = found.select("query_id", "id", "dense_score", "retrieval_mode", F.col("rank").alias("dense_rank"), F.col("score").alias("__score"))
+        found = by.rerank(c, option.top_k).select("query_id", "id", "score", "rank").join(before, ["query_id", "id"]).withColumn("score", F.coalesce("score", "__score")).drop("__score")
+    else:
+        found = found.withColumn("dense_rank", F.col("rank"))
     found = found.where(F.col("rank") <= option.top_k).withColumn("rerank_provider", F.lit(provider).cast("string"))
     if not option.expand:
         return found
@@ -135,7 +144,7 @@ def _decisions(questions: DataFrame, found: DataFrame, option: context.Gate) ->
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, option: Options = Options(), *, allowed: DataFrame | None = None, reranker: Reranker | None = None, rewrites: DataFrame | None = None, parents: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, rank) for ``questions`` (query_id, question) over ``chunks`` (id, content[, embedding, parent_id]).
+    """(query_id, id, score, rank, dense_score, dense_rank, retrieval_mode) for ``questions`` (query_id, question) over ``chunks`` (id, content[, embedding, parent_id]).
 
     ``allowed`` (query_id, id) is applied before ranking. Chunks without an embedding column get hash
     embeddings. The reranker sees the original question. With ``option.multi_query`` the ``rewrites``
@@ -144,7 +153,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, option: Options = Options(
     ``option.gate`` action and reason are added. Packing makes one row per question: ``contexts``.
     """
     found = _ranked(questions, chunks, option, allowed, reranker, rewrites, parents)
-    columns = ["query_id", "id", "score", "rank", *(["content", "expanded", "child_ids"] if option.expand else [])]
+    columns = ["query_id", "id", "score", "rank", "dense_score", "dense_rank", "retrieval_mode", *(["content", "expanded", "child_ids"] if option.expand else [])]
     if option.gate is not None:
         found = stored(found)
         found = found.join(_decisions(questions, found, option.gate).select("query_id", "action", "reason"), "query_id")
@@ -172,7 +181,9 @@ def contexts(questions: DataFrame, chunks: DataFrame, option: Options = Options(
     decided = decided.select("query_id", "action", "reason")
     open_ = found.join(decided.where("action in ('rejected', 'no_candidates')"), "query_id", "left_anti")
     if option.pack is not None:
-        s = open_.select(F.col("query_id").alias("request_id"), F.col("rank").alias("source_index"), F.col("id").cast("string").alias("record_id"), "content", "score")
+        more = [c for c in ("source", "chunk_index", "start_char", "end_char") if c in chunks.columns]
+        open_ = open_.join(chunks.select("id", *more), "id") if more and not option.expand else open_
+        s = open_.select(F.col("query_id").alias("request_id"), F.col("rank").alias("source_index"), F.col("id").cast("string").alias("record_id"), "content", "score", *(more if not option.expand else []))
         budgets = asked.select(F.col("query_id").alias("request_id"), F.lit(option.budget).alias("budget_limit"), F.lit(option.budget_unit).alias("budget_unit"))
         made = context.pack_contexts(s, budgets, option.pack).select(F.col("request_id").alias("query_id"), "used_ids", "context")
     else:

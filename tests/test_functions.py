@@ -75,3 +75,39 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0]), ([1.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     rows = df.select(vectors.cosine(F.col("a"), F.col("b")).alias("c"), vectors.normalize(F.col("a")).alias("n"), vectors.negated_distance(F.col("a"), F.col("b")).alias("d")).collect()
     assert [r.c for r in rows] == [0.0, 1.0] and rows[0].n == [0.6, 0.8] and rows[0].d == -5.0
+
+
+def test_replies_pieces_and_guards(spark):
+    for reply, want in (('["a", "b"]', ["a", "b"]), ('{"rewrites": ["c"]}', ["c"]), ('{"queries": ["d"]}', ["d"]), ('{"x": 1}', []), ("1. one\n-- 2 two\n\n* three", ["one", "two", "three"]), ("", [])):
+        assert one(spark, reply, text.parse_variants) == want, reply
+    assert one(spark, "a b c d", text.stream_pieces) == ["a b c ", "d"] and one(spark, "a b", text.stream_pieces) == ["a b"] and one(spark, "a b c", text.stream_pieces) == ["a b c"]
+    assert one(spark, "x Apollo Dashboard y", text.canned_answer).startswith("Apollo") and one(spark, "y", text.canned_answer) == text.CANNED_REST
+    guard = lambda answer, statements: spark.createDataFrame([(answer, statements)], "a string, s array<string>").select(text.guarded_statements(F.col("a"), F.col("s")).alias("r")).first().r
+    assert guard("The policy  is relevant because it lists fees.", ["x", "y"]) == ["The policy is relevant because it lists fees."]
+    whole = "Records must be encrypted, and the owner must archive the ticket before the release. [1]"
+    assert guard(whole, ["Records must be encrypted before the release.", "The owner must archive."]) == [whole]
+    assert guard(whole, ["Records must be encrypted.", "b"]) == ["Records must be encrypted.", "b"] and guard("One. Two, and three before four.", ["One before four."]) == ["One before four."]
+    assert one(spark, 1.0000001, text.clamp_score, "double") == 1.0
+    import hashlib
+
+    import pytest
+
+    for bad in (1.1, None, float("nan")):
+        with pytest.raises(Exception, match="within 0..1"):
+            one(spark, bad, text.clamp_score, "double")
+    h = hashlib.sha256()
+    for p in ("é", ""):
+        h.update(len(p.encode()).to_bytes(8, "big") + p.encode())
+    assert one(spark, ["é", ""], text.content_digest, "array<string>") == h.hexdigest()
+    from quillfold.operators import evaluation
+
+    v = spark.createDataFrame([("q", 0, [1.0, 0.0]), ("q", 1, [0.6, 0.8])], "qid string, variant_no int, embedding array<double>")
+    assert [(r.role, r.cosine) for r in evaluation.semantic_baselines(v).orderBy("variant_no").collect()] == [("original", 1.0), ("variant_1", 0.6)]
+    assert evaluation.in_requested_order(v, ["q"]).count() == 2
+    with pytest.raises(Exception, match="no rows of the question"):
+        evaluation.in_requested_order(v, ["q", "z"]).collect()
+    rows = [("p", "pos", k, "faith", x) for k, x in enumerate((0.9, 0.4, 0.5))] + [("n", "negative", k, m, x) for k in range(2) for m, x in (("abstained", float(k)), ("fabricated", 0.0))]
+    m, f = evaluation.replay(spark.createDataFrame(rows, "qid string, capability string, run_index int, metric string, value double"), {"faith": 0.7}, {"faith": 0.1})
+    got = {r.metric: r for r in m.collect()}
+    assert not got["faith"].passed and got["abstained"].mean == 0.5 and not got["abstained"].passed and got["fabricated"].passed
+    assert sorted((r.kind, r.metric, r.qid) for r in f.collect()) == [("margin", "faith", "p"), ("median", "faith", "p"), ("negative", "abstained", "n")]

@@ -65,11 +65,49 @@ def test_access_denies_by_default(spark):
     assert access.merge_filters({"acl": ["a", "b"]}, {"acl": ["b", "c"]}) == {"acl": ["b"]}
     with pytest.raises(PermissionError):
         access.merge_filters({"acl": ["a"]}, {"acl": ["b"]})
+    assert access.merge_filters({"acl": [" b ", ""], "kind": "md"}, {"acl": ["b", "c"]}) == {"acl": ["b"], "kind": "md"}
+    with pytest.raises(access.AccessDenied):
+        access.subject_filter([" ", None])
+    assert access.subject_filter([], default_deny=False) == {"acl": []} and access.subject_filter([" b", "a", "a"]) == {"acl": ["a", "b"]}
+    assert access.principal_of({"X-Principal-Id": " u "}, {"principal_id": "v"}) == "u" and access.principal_of({}, {"principal_id": "v"}, body_allowed=True) == "v"
+    with pytest.raises(access.AccessDenied):
+        access.principal_of({}, {"principal_id": "v"})
+    assert access.parse_filter(' {"a": 1}') == {"a": 1} and access.parse_filter(" ") == {}
+    with pytest.raises(ValueError):
+        access.parse_filter("[1]")
+    docs = spark.createDataFrame([(1, "x.md"), (2, "y.md")], "id int, source string")
+    kids = spark.createDataFrame([(7, 2), (8, 1)], "id int, document_id int")
+    bound = spark.createDataFrame([(1, None, "g1"), (None, 8, " g2"), (None, 7, "g3"), (9, None, "g4"), (None, None, "g5"), (1, None, " ")], "document_id int, chunk_id int, acl_subject string")
+    of = access.subjects_of_source(bound, docs, kids)
+    assert {r.source: r.subjects for r in of.collect()} == {"x.md": ["g1", "g2"], "y.md": ["g3"]}
+    rec = spark.createDataFrame([("x.md",), ("z.md",)], "source string").withColumn("acl", F.lit("clash"))
+    assert {r.source: r.acl for r in access.stamp(rec, of, ["d"]).collect()} == {"x.md": ["g1", "g2"], "z.md": ["d"]} and access.stamp(rec, default=["d"]).first().acl == ["d"]
+    with pytest.raises(Exception, match="no subjects are bound"):
+        access.stamp(rec, of).collect()
     m = spark.createDataFrame([(" p ", "g1"), ("p", "g1"), ("", "g2"), ("r", None)], "principal string, acl_subject string")
     assert [(r.principal, r.subjects) for r in access.allowed_subjects(m).collect()] == [("p", ["g1"])]
     assert [(r.principal, r.id) for r in access.visible(spark.createDataFrame([("p",), ("r",)], "principal string"), m, df).collect()] == [("p", "1")]
 
 
+def test_access_beside_the_documents_equals_the_join(spark):
+    docs = spark.createDataFrame([(f"d{k}", f"leave policy {'annual ' * (k % 5)}number {k}", [["a"], ["b"], ["a", "b"], [], None][k % 5]) for k in range(60)], "id string, text string, acl array<string>")
+    asked = spark.createDataFrame([("q1", "annual leave", ["a"]), ("q2", "annual leave policy", ["b", "c"]), ("q3", "number", []), ("q4", None, ["a"])], "query_id string, question string, subjects array<string>")
+    allowed = asked.select("query_id", F.explode("subjects").alias("s")).join(docs.select("id", F.explode("acl").alias("s")), "s").select("query_id", "id").distinct()
+    fast = {tuple(r) for r in lexical.bm25_topk(asked, docs, 7, acl_col="acl").collect()}
+    assert fast and fast == {tuple(r) for r in lexical.bm25_topk(asked, docs, 7, allowed=allowed).collect()}
+    index = lexical.write_index(docs)
+    assert {tuple(r) for r in lexical.bm25_topk(asked, docs, 7, index=index).collect()} == {tuple(r) for r in lexical.bm25_topk(asked, docs, 7).collect()}
+    assert lexical.bm25_topk(asked.limit(0), docs, 7).count() == 0 and lexical.bm25_topk(asked, docs.limit(0), 7).count() == 0
+
+
+def test_equal_scores_follow_sources_and_places(spark):
+    rows = [("support", "docs\\\\support.md".replace("\\\\", "\\"), 0, 0), ("product", "docs/product.md", 0, 0), ("late", "docs/product.md", 1, 0), ("upper", "Docs/alpha.md", None, None), ("none", None, None, None)]
+    x = spark.createDataFrame([(i, [1.0, 0.0], s, c, a, None) for i, s, c, a in rows], "id string, embedding array<double>, source string, chunk_index int, start_char int, end_char int")
+    q = spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, embedding array<double>")
+    for df in (x, x.orderBy(F.desc("id"))):
+        assert [r.id for r in dense.dense_topk(q, df, 5, ties=dense.record_ties()).orderBy("rank").collect()] == ["none", "upper", "product", "late", "support"]
+
+
 def test_gate_matrix(spark):
     rows = [("a", "dense", 0.7, None, None), ("b", "dense", 0.1, None, None), ("c", "bm25", 9.0, None, None), ("d", "dense", None, None, None), ("e", "hybrid", 0.02, 0.9, None), ("f", "dense", 0.4, None, "cohere"), ("g", "dense", 0.4, None, "deterministic"), ("h", None, None, None, None), ("i", "hybrid", 0.02, None, None)]
     f = spark.createDataFrame(rows, "query_id string, retrieval_mode string, score double, dense_score double, rerank_provider string")
@@ -81,7 +119,16 @@ def test_packing(spark):
     s = spark.createDataFrame([("r", 1, "a", "one two three", 0.5), ("r", 2, "a", "again", 0.4), ("r", 3, "b", "First. Second is far too long to be taken here at all.", 0.3), ("r", 3, "b", "First. Second is far too long to be taken here at all.", 0.3), ("x", 1, "c", "t", None)], "request_id string, source_index int, record_id string, content string, score double")
     b = spark.createDataFrame([("r", 90, "chars"), ("x", None, "chars")], "request_id string, budget_limit int, budget_unit string")
     got = context.pack_contexts(s, b).collect()
-    assert len(got) == 1 and got[0].used_ids == ["a"] and got[0].deduped_ids == ["a"] and got[0].skipped_ids == ["b"] and got[0].budget_used == len(got[0].context) <= 90
+    assert len(got) == 1 and got[0].used_ids == ["a"] and got[0].deduped_ids == [] and got[0].skipped_ids == ["a", "b"] and got[0].budget_used == len(got[0].context) <= 90
+    got = context.pack_contexts(s, b, context.Packing(exact=True)).collect()
+    assert got[0].deduped_ids == ["a"] and got[0].dedup_reasons == ["exact"] and got[0].skipped_ids == ["b"]
+    cut = context.pack_contexts(s.where("source_index = 3").withColumn("source", F.lit("d.md")).withColumn("chunk_index", F.lit(4)), spark.createDataFrame([("r", 60, "chars")], b.schema)).first()
+    assert cut.context == "[1] source=d.md; chunk=4; score=0.3000\nFirst." and cut.used_ids == ["b"] == cut.truncated_ids
+    near = context.pack_contexts(s.withColumn("content", F.concat("content", F.lit(""))).withColumn("record_id", F.col("source_index").cast("string")).unionByName(spark.createDataFrame([("r", 9, "9", "ONE two  three", 0.1)], s.schema)), spark.createDataFrame([("r", 900, "tokens")], b.schema), context.Packing(near_threshold=0.9)).first()
+    assert near.deduped_ids == ["9"] and near.dedup_reasons == ["near"]
+    keys = spark.createDataFrame([("s", 1, 2, "a", "p"), ("s", 1, None, "a", "p"), (None, None, None, "", "p"), (None, None, None, None, None)], "source string, start_char int, end_char int, record_id string, parent_id string").select(context.dedup_key().alias("k")).collect()
+    assert [None if r.k is None else r.k.split("\0")[0] for r in keys] == ["span", "record_id", "parent_id", None]
+    assert [context.score_space(*x) for x in (("hash-64",), ("bge",), ("bge", "Cosine", "remote"))] == ["hash_cosine", "dense_cosine", "dense_cosine"]
     small = context.pack_contexts(s, spark.createDataFrame([("r", 40, "chars")], "request_id string, budget_limit int, budget_unit string")).first()
     assert small.used_ids == [] or small.budget_used <= 40
 
@@ -148,7 +195,11 @@ def test_observation(spark):
     assert (s.p50_ms, s.p95_ms, s.p99_ms, s.n) == (5.0, 10.0, None, 10)
     h = {r.le: r.cumulative for r in observe.histogram(log, ["route"]).collect()}
     assert h["5.0"] == 5 and h["+Inf"] == 10
-    assert observe.exposition(spark.createDataFrame([("a", 2)], "route string, n int"), "m", ["route"], "n").first().line == 'm{route="a"} 2'
+    page = observe.exposition(spark.createDataFrame([('a"', 2)], "route string, n int"), "m", ["route"], "n", "Help.").orderBy("place").collect()
+    assert [r.line for r in page] == ["# HELP m Help.", "# TYPE m counter", 'm{route="a\\""} 2']
+    hist = observe.histogram(spark.createDataFrame([("a", 7.0), ("a", 20000.0), ("a", None)], "route string, latency_ms double"), ["route"])
+    page = [r.line for r in observe.histogram_exposition(hist, "d", ["route"]).orderBy("place").collect()][2:]
+    assert page[:2] == ['d_bucket{route="a",le="5"} 0', 'd_bucket{route="a",le="10"} 1'] and page[-4:] == ['d_bucket{route="a",le="10000"} 1', 'd_bucket{route="a",le="+Inf"} 2', 'd_sum{route="a"} 20007.000', 'd_count{route="a"} 2']
 
 
 def test_index_table(spark):

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillfold.sources import fixtures, loaders
+from quillfold.sources import fixtures, index, loaders
 from quillfold.streaming import metrics
 
 
@@ -55,3 +55,46 @@ def test_windowed_metrics(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert [(r.route, r.n) for r in spark.table("w").select("route", F.col("n")).collect()] == [("/query", 3)]
+
+
+def test_snapshots_parents_and_dimensions(spark, tmp_path):
+    root = f"file://{tmp_path}/index"
+    a = spark.createDataFrame([("1", [1.0, 2.0], 1)], "id string, embedding array<double>, ingest_sequence bigint")
+    assert index.write_snapshot(a, root) == 1
+    b = index.add_records(index.read_snapshot(spark, root), spark.createDataFrame([("1", [3.0, 4.0], 1), ("2", [0.0, 1.0], 2)], a.schema))
+    assert index.write_snapshot(b, root) == 2 and index.versions(spark, root) == [1, 2]
+    assert index.read_snapshot(spark, root, 1).count() == 1 and {r.id: r.embedding for r in index.read_snapshot(spark, root).collect()} == {"1": [3.0, 4.0], "2": [0.0, 1.0]}
+    with pytest.raises(Exception, match="exist"):
+        index.write_snapshot(a, root, 2)
+    with pytest.raises(FileNotFoundError):
+        index.read_snapshot(spark, root, 7)
+    with pytest.raises(Exception, match="isn't of 2 numbers"):
+        index.add_records(a, spark.createDataFrame([("3", [1.0], 3)], a.schema)).collect()
+    parents = index.add_parents(index.add_parents(None, spark.createDataFrame([("p", "old"), ("r", "x")], "parent_id string, content string")), spark.createDataFrame([("p", "new")], "parent_id string, content string"))
+    assert {r.parent_id: r.content for r in parents.collect()} == {"p": "new", "r": "x"} and index.get(parents, "p", "parent_id").first().content == "new"
+    with pytest.raises(Exception, match="parent_id is missing"):
+        index.add_parents(None, spark.createDataFrame([(None, "x")], "parent_id string, content string")).collect()
+    kids = index.with_parent_payload(spark.createDataFrame([("c1", "p", 1), ("c2", "p", 2), ("c3", "gone", 3)], "id string, parent_id string, ingest_sequence bigint"), parents)
+    assert index.parents_of(kids.where("parent_id = 'p'")).collect() == [("p", "new")]
+    with pytest.raises(Exception, match="no text of the parent"):
+        index.parents_of(kids).collect()
+
+
+def test_audit_of_a_stream(spark, tmp_path):
+    from quillfold.operators import observe
+
+    log = "request_id string, ts timestamp, route string, principal_id string, question string, top_k int, retrieval_mode string, latency_ms double, cache_outcome string, status_code int, outcome string, source_ids array<string>"
+    rows = spark.sql("select '1' request_id, timestamp'2026-01-01' ts, 'query' route, 'u' principal_id, 'q?' question, 5 top_k, 'dense' retrieval_mode, -1.0D latency_ms, 'hit' cache_outcome, 200 status_code, 'success' outcome, array('ok', 'a b') source_ids")
+    rows.write.json(f"file://{tmp_path}/log")
+    for _ in range(2):
+        observe.audit_stream(spark.readStream.schema(log).json(f"file://{tmp_path}/log"), "salt", f"file://{tmp_path}/audit", f"file://{tmp_path}/at").awaitTermination(60)
+    observe.write_audit(observe.audit_records(rows, "salt"), f"file://{tmp_path}/audit2")
+    got = [spark.read.json(f"file://{tmp_path}/{x}").collect() for x in ("audit", "audit2")]
+    assert len(got[0]) == 1 and got[0][0].principal_id == got[1][0].principal_id != "u" and got[0][0].source_ids[1].startswith("s_") and got[0][0].latency_ms == 0.0
+
+
+def test_stored_tables_are_released(spark):
+    from quillfold.sources.tables import release, stored
+
+    kept = stored(spark.range(3).toDF("k"))
+    assert kept.count() == 3 and release(spark) >= 1 and release(spark) == 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.sources.tables import tokenizer_path
+from quillfold.sources.tables import ship_package, tokenizer_path
 
 # Fixed value: the split pattern of the byte-level BPE.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -144,6 +144,7 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "b
     as often as they occur; an empty table gives no rows; other columns are not read.
     The vocabulary is public and of fixed size; each worker reads its file.
     """
+    ship_package(df.sparkSession)
     file = tokenizer_path(tokenizer, folder)
     kind = df.schema[id_col].dataType
 
@@ -164,6 +165,7 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "b
 
 def count_tokens(df: DataFrame, keep: list[str], text_col: str, tokenizer: str = "byte_bpe_50k.json", folder: str | None = None) -> DataFrame:
     """The kept columns and ``tokens bigint``, the length of each text's encoding (0 for null and empty)."""
+    ship_package(df.sparkSession)
     file = tokenizer_path(tokenizer, folder)
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 

@@ -44,7 +44,7 @@ from quillfold.sources.tables import ship_package, shuffle_partitions, stored
 
 BITS = 24  # the frequency sketch has 2**24 places
 SEGMENTS = 12  # of the ring of sets of up to 256 shingles; more for larger ones
-CLASSES_A_PART = 30_000
+CLASSES_A_PART = 8_000
 HOT = 20_000  # sets of one signature that are compared in one task
 HOT_BITS = 20  # signatures of frequent shingles are counted on 2**20 places
 COPIES_EXPANDED = 1000  # exact copies of a text that are paired with one another

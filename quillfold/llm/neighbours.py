@@ -340,14 +340,14 @@ def _compare(width: int, k: int, least: float):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = 24, stop: float = 2.0, width: int | None = None, sample: int = SAMPLE_VECTORS) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int = 24, stop: float = 2.0, width: int | None = None, sample: int = SAMPLE_VECTORS, share: float = 0.0) -> DataFrame:
     """(id, neighbour, cosine, rank from 1): up to ``k`` nearest others of each id, best first.
 
     ``vectors`` has (id string, embedding array). Ids that are null, and embeddings that are
     null, all zero, not finite or of another length than ``width`` (the most frequent length; of
     two, the greater) take no part; repeated rows of an id count once; ties go to the lesser id; pairs
-    under the cosine ``least`` are left out. ``cells`` cells are visited, or fewer where the
-    next lies more than ``stop`` further than the nearest. Every vector is indexed; all are
+    under the cosine ``least`` are left out. ``cells`` cells are visited, or that ``share`` of all cells if it is more, so that recall keeps up with a growing
+    index; fewer where the next lies more than ``stop`` further than the nearest. Every vector is indexed; all are
     queries, or those with a true ``ask`` where there is such a column. The centroids are fitted on a bounded sample. An empty table gives no rows.
     """
     ask = F.coalesce(F.col("ask"), F.lit(False)) if "ask" in vectors.columns else F.lit(True)
@@ -362,6 +362,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = -1.0, cells: int =
     width = facts.w
     v = v.where(F.size("embedding") == width)
     index, seen = fit(v, facts.n, width, sample)
+    cells = max(cells, math.ceil(share * len(index.first) * len(index.second)))
 
     def homes(pdf: pd.DataFrame) -> np.ndarray:
         _, x = _unit(pdf["embedding"], width)

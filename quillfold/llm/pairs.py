@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfold.llm.sketch import hashed_counts, least_hashed
+from quillfold.sources.tables import ship_package
 
 DEFECTS = ("empty", "copied_question", "refusal", "other_language", "truncated")
 SAMPLE_PAIRS = 5000  # pairs the classifier is fitted on
@@ -372,6 +373,7 @@ def faulty_pairs(pairs: DataFrame, model: PairModel) -> DataFrame:
     an empty text. ``abstains`` true bars the defect ``refusal``. Repeated rows come out once;
     rows with a null key don't; extra columns are ignored; an empty table gives no rows.
     """
+    ship_package(pairs.sparkSession)
     weights = (model.weights.astype(np.float32), model.thresholds, np.packbits(model.known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -103,7 +103,7 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 nearest of every vector whose id, a hexadecimal number, is divisible by 20."""
     # 16 leaves 1 when divided by 5, so the number's digits' sum tells about 5 and its last digit about 4.
     ask = (F.conv(F.substring("id", -1, 1), 16, 10).cast("int") % 4 == 0) & (F.aggregate(F.transform(F.split("id", ""), lambda c: F.coalesce(F.conv(c, 16, 10).cast("int"), F.lit(0))), F.lit(0), lambda a, b: a + b) % 5 == 0)
-    return neighbours.neighbours(_vectors(spark, folder).withColumn("ask", ask), 5, cells=400, stop=9.0)
+    return neighbours.neighbours(_vectors(spark, folder).withColumn("ask", ask), 5, cells=400, stop=9.0, share=0.05)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

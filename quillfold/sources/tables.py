@@ -66,7 +66,21 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(kept: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once all that reads it was written in its turn."""
+    spark = kept.sparkSession
+    _WRITTEN.get(spark.sparkContext.applicationId, []).remove(kept.stored_at)
+    _delete(spark, kept.stored_at)
 
 
 def release(spark: SparkSession) -> int:
@@ -74,8 +88,7 @@ def release(spark: SparkSession) -> int:
     still read them must have been written or collected before."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for p in paths:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, p)
     return len(paths)
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfold.llm.sketch import hashed_counts
-from quillfold.sources.tables import ship_package, shuffle_partitions, stored
+from quillfold.sources.tables import discard, ship_package, shuffle_partitions, stored
 
 BITS = 24  # the frequency sketch has 2**24 places
 SEGMENTS = 12  # of the ring of sets of up to 256 shingles; more for larger ones
@@ -467,7 +467,9 @@ def classes_of(texts: DataFrame, words: int = 3) -> tuple[DataFrame, DataFrame]:
     keyed = stored(rows.mapInPandas(lambda b: _classes(b, words), kinds), "dup-keys")
     sets = keyed.where("toks is not null").select("cls", "toks").repartition(shuffle_partitions(spark), "cls").sortWithinPartitions("cls")
     classes = stored(sets.mapInArrow(_firsts, "cls bigint, toks binary"), "dup-classes")
-    return keyed.select("rel", "grp", "key", "txt", "cls").distinct(), classes
+    members = stored(keyed.select("rel", "grp", "key", "txt", "cls").distinct(), "dup-members")
+    discard(keyed)
+    return members, classes
 
 
 def similar_classes(classes: DataFrame, most: int = HOT) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions.text import tokens
+from quillfold.operators.best import Best, merged, schemas
 from quillfold.sources.tables import ship_package, stored
 
 
@@ -40,8 +41,8 @@ def corpus_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0)).alias("dl")).agg(F.count("*").alias("n"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"))
 
 
-QUERY_BYTES, QUERIES = 16 << 20, 4000  # of questions that are scored in one pass over the index
-DOCS_AT_ONCE = 500
+QUERY_BYTES, QUERIES = 16 << 20, 50_000  # of questions that are scored in one pass over the index
+DOCS_FIRST, DOCS_AT_ONCE = 2048, 65_536  # the first documents of a task give the bounds for its others
 
 
 def write_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", acl_col: str | None = None) -> DataFrame:
@@ -53,43 +54,104 @@ def write_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", acl
     return stored(t.withColumn("dl", F.size("ts")), "index")
 
 
-def _scorer(sent, option: Bm25, k: int, guarded: bool, names: list[str]):
-    """Scores of every document of a batch for every query, in numpy; on go the ``k`` best of each query."""
+def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``DOCS_FIRST`` and then four times as many each time, up to ``DOCS_AT_ONCE``."""
+    held: list[pa.RecordBatch] = []
+    rows, most = 0, DOCS_FIRST
+    for batch in batches:
+        while rows + batch.num_rows >= most:
+            held.append(batch.slice(0, most - rows))
+            yield pa.concat_batches(held)
+            batch = batch.slice(most - rows)
+            held, rows, most = [], 0, min(4 * most, DOCS_AT_ONCE)
+        held.append(batch)
+        rows += batch.num_rows
+    if rows:
+        yield pa.concat_batches(held)
+
+
+def _added(doc: np.ndarray, part: np.ndarray, runs: list[tuple[int, int]], n: int) -> np.ndarray:
+    return np.bincount(np.concatenate([doc[a:b] for a, b in runs]), np.concatenate([part[a:b] for a, b in runs]), n)
+
+
+def _scorer(sent, option: Bm25, k: int, guarded: bool, schema: pa.Schema):
+    """The ``k`` best documents of a task for each query, in numpy.
+
+    Terms whose greatest weights together stay below a query's bound (its k-th best score so far) can't bring a
+    document among the best without another one (MaxScore). Where most postings are theirs, the others are added
+    up first, and theirs only if some document can still reach the bound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, asked, vocab, idf, avgdl, subjects, readers = sent.value
         words = pa.array(vocab, pa.string())
-        begin = np.searchsorted(asked[:, 0], np.arange(len(vocab) + 1))
-        for whole in batches:
-            for at in range(0, whole.num_rows, DOCS_AT_ONCE):
-                batch = whole.slice(at, DOCS_AT_ONCE)
-                lists = batch.column("ts")
-                token = pc.index_in(lists.flatten(), value_set=words)
-                doc = pc.list_parent_indices(lists)
-                used = token.is_valid()
-                key = token.filter(used).to_numpy().astype(np.int64) * batch.num_rows + doc.filter(used).to_numpy()
-                key, tf = np.unique(key, return_counts=True)
-                token, doc = key // batch.num_rows, key % batch.num_rows
-                dl = batch.column("dl").to_numpy()[doc]
-                part = idf[token] * tf * (option.k1 + 1) / (tf + option.k1 * (1 - option.b + option.b * dl / avgdl))
-                score = np.zeros((len(ids), batch.num_rows))
-                edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else []
-                for a, b in zip(edges, [*edges[1:], len(token)]):
-                    q = asked[begin[token[a]] : begin[token[a] + 1], 1]
-                    score[q[:, None], doc[a:b]] += part[a:b]
-                score = np.round(score, 6)
+        terms, ends = asked[:, 0], np.searchsorted(asked[:, 1], np.arange(len(ids) + 1)).tolist()
+        sets, of_set = np.unique(readers, axis=0, return_inverse=True) if guarded else (None, np.zeros(len(ids), dtype=np.int64))
+        turn = np.argsort(of_set.reshape(-1), kind="stable").tolist()
+        best = Best(len(ids), k)
+        for batch in _slabs(batches):
+            n, lists = batch.num_rows, batch.column("ts")
+            token = pc.index_in(lists.flatten(), value_set=words)
+            doc = pc.list_parent_indices(lists)
+            used = token.is_valid()
+            key, tf = np.unique(token.filter(used).to_numpy().astype(np.int64) * n + doc.filter(used).to_numpy(), return_counts=True)
+            token, doc = key // n, key % n
+            dl = batch.column("dl").to_numpy()[doc]
+            part = idf[token] * tf * (option.k1 + 1) / (tf + option.k1 * (1 - option.b + option.b * dl / avgdl))
+            begin = np.searchsorted(token, np.arange(len(vocab) + 1))
+            most = np.zeros(len(vocab))
+            held_by = np.flatnonzero(np.diff(begin))
+            most[held_by] = np.maximum.reduceat(part, begin[held_by]) if len(held_by) else 0
+            del key, token, tf, dl
+            if guarded:
+                own = pc.index_in(batch.column("acl").flatten(), value_set=subjects)
+                of = pc.list_parent_indices(batch.column("acl"))
+                held = np.zeros((len(subjects), n), dtype=np.float32)
+                held[own.drop_null().to_numpy(), of.filter(own.is_valid()).to_numpy()] = 1
+            seen, hidden, least = -1, None, (best.bound - 1e-6).tolist()
+            who, where, scores = [], [], []
+            for q in turn:
+                t = terms[ends[q] : ends[q + 1]]
+                runs = [(a, b) for a, b in zip(begin[t].tolist(), begin[t + 1].tolist()) if a < b]
+                if not runs:
+                    continue
+                weak, rest = [], 0.0
+                if least[q] > 0 and len(runs) > 1:
+                    top = most[t[begin[t] < begin[t + 1]]]
+                    turned = np.argsort(top)
+                    cut = int(top[turned].cumsum().searchsorted(least[q]))
+                    if cut == len(runs):
+                        continue
+                    hits = [runs[x][1] - runs[x][0] for x in turned.tolist()]
+                    if sum(hits[cut:]) < 0.4 * sum(hits):
+                        rest, weak = float(top[turned[:cut]].sum()), [runs[x] for x in turned[:cut].tolist()]
+                        runs = [runs[x] for x in sorted(turned[cut:].tolist())]
+                score = _added(doc, part, runs, n)
+                if weak:
+                    near = np.count_nonzero(score >= least[q] - rest)
+                    if not near:
+                        continue
+                    score += _added(doc, part, weak, n)
                 if guarded:
-                    own = pc.index_in(batch.column("acl").flatten(), value_set=subjects)
-                    of = pc.list_parent_indices(batch.column("acl"))
-                    held = np.zeros((len(subjects), batch.num_rows), dtype=np.float32)
-                    held[own.drop_null().to_numpy(), of.filter(own.is_valid()).to_numpy()] = 1
-                    score[(readers @ held) == 0] = 0
-                if score.shape[1] > k:
-                    bound = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-                    q, d = np.nonzero((score >= bound[:, None]) & (score > 0))
-                else:
-                    q, d = np.nonzero(score > 0)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column("id").take(pa.array(d)), pa.array(score[q, d])], names=names)
+                    if of_set[q] != seen:
+                        seen = of_set[q]
+                        hidden = (sets[seen] @ held) == 0
+                    score[hidden] = 0
+                found = np.flatnonzero(score >= max(least[q], 5e-7))  # a score that rounds to 0 is none
+                own = score[found]
+                if least[q] == -np.inf and len(found) > k:
+                    best_of = own >= np.partition(own, len(own) - k)[len(own) - k] - 1e-6
+                    found, own = found[best_of], own[best_of]
+                if len(found):
+                    who.append(q)
+                    where.append(found)
+                    scores.append(own)
+            if who:
+                at, names = np.concatenate(where), batch.column("id").to_numpy(zero_copy_only=False)
+                score = np.round(np.concatenate(scores), 6)
+                best.add(np.repeat(who, [len(x) for x in where])[score > 0], score[score > 0], names[at[score > 0]], names[at[score > 0]])
+                best.cut()
+        yield from best.batches(ids, schema, tied=False)
 
     return run
 
@@ -104,7 +166,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id"
 
     The queries are sent to the documents, in blocks bounded in bytes, with the idf of their tokens; no
     posting is shuffled, so a term that a third of all documents have costs what its hits cost.
-    Each batch of documents sends on its ``k`` best per query. With ``allowed`` postings are joined instead.
+    Each task sends on its ``k`` best per query. With ``allowed`` postings are joined instead.
     """
     if allowed is not None:
         return _joined_topk(queries, docs, k, id_col, text_col, allowed, option)
@@ -119,7 +181,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id"
     facts = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     df = stored(document_frequency(index.select(F.explode(F.array_distinct("ts")).alias("token"))).join(terms, "token", "left_semi"), "df")
     kind, q_kind = index.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {q_kind}, id {kind}, score double"
+    schema, arrow = schemas(q_kind, kind)
     found = None
     for b in range(blocks):
         mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
@@ -131,7 +193,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id"
         lists = rows.column("ts").combine_chunks()
         token = pc.index_in(lists.flatten(), value_set=pa.array(vocab, pa.string()))
         pair = np.stack([token.drop_null().to_numpy().astype(np.int64), pc.list_parent_indices(lists).filter(token.is_valid()).to_numpy().astype(np.int64)], axis=1).reshape(-1, 2)
-        pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+        pair = pair[np.lexsort((pair[:, 0], pair[:, 1]))]
         subjects, readers = pa.array([], pa.string()), None
         if acl_col:
             of = rows.column("subjects").combine_chunks()
@@ -140,10 +202,9 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id"
             at = pc.index_in(of.flatten(), value_set=subjects)
             readers[pc.list_parent_indices(of).filter(at.is_valid()).to_numpy(), at.drop_null().to_numpy()] = 1
         sent = spark.sparkContext.broadcast((rows.column("query_id").combine_chunks(), pair, vocab, idf, facts.avgdl or 1.0, subjects, readers))
-        here = index.mapInArrow(_scorer(sent, option, k, acl_col is not None, ["query_id", "id", "score"]), schema)
+        here = index.mapInArrow(_scorer(sent, option, k, acl_col is not None, arrow), schema)
         found = here if found is None else found.unionByName(here)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return merged(found, k)
 
 
 def _joined_topk(queries: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str, allowed: DataFrame, option: Bm25) -> DataFrame:
@@ -169,11 +230,11 @@ def lexical_rerank(candidates: DataFrame, top_n: int) -> DataFrame:
     terms keeps the dense order. Null contents count as empty.
     """
     c = candidates.select("query_id", "id", "dense_rank", tokens(F.col("question")).alias("q"), F.coalesce(tokens(F.col("content")), F.array().cast("array<string>")).alias("t"))
-    c = c.withColumn("qd", F.array_distinct("q"))
+    c = stored(c.withColumn("qd", F.array_distinct("q")), "rerank")  # five branches read the tokens
     n = c.groupBy("query_id").agg(F.count("*").alias("n"))
     has = c.select("query_id", "id", F.explode(F.array_intersect("qd", F.array_distinct("t"))).alias("token"))
     local = has.groupBy("query_id", "token").agg(F.count("*").alias("f")).join(n, "query_id").select("query_id", "token", (F.log((F.col("n") + 1) / (F.col("f") + 1)) + 1).alias("idf"))
-    counts = c.select("query_id", "id", F.explode("t").alias("token")).groupBy("query_id", "id", "token").agg(F.count("*").alias("tf"))
+    counts = c.select("query_id", "id", F.explode(F.filter("t", lambda x: F.array_contains("qd", x))).alias("token")).groupBy("query_id", "id", "token").agg(F.count("*").alias("tf"))
     wanted = c.select("query_id", "q").dropDuplicates(["query_id"]).select("query_id", F.explode("q").alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     weight = counts.join(local, ["query_id", "token"]).join(wanted, ["query_id", "token"]).groupBy("query_id", "id").agg(F.sum(F.col("qtf") * (1 + F.log("tf")) * F.col("idf")).alias("w"))
 

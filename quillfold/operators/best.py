@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WAITING = 4_000_000  # candidates that wait for a cut
+WAITING = 1_000_000  # candidates that wait for a cut, besides those that the last one kept
 QUERIES_A_BATCH = 4000
 
 
@@ -26,7 +26,7 @@ class Best:
 
     def add(self, q: np.ndarray, score: np.ndarray, key: np.ndarray, ids: np.ndarray) -> None:
         if len(q):
-            self.parts.append((q, score, key, ids))
+            self.parts.append((q.astype(np.int32), score, ids, *([] if key is ids else [key])))
             self.waiting += len(q)
             if self.waiting > WAITING:
                 self.cut()
@@ -35,7 +35,8 @@ class Best:
         """Drops what is below the bounds, which rise; only a query with more than 2k left has its ties put in order and cut to k."""
         if not self.waiting:
             return
-        q, score, key, ids = (np.concatenate(x) for x in zip(*self.parts))
+        q, score, ids, *key = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
         whole = np.rint(score * 1e6)
         if (np.abs(whole) < 1 << 38).all() and len(self.bound) < 1 << 23:  # scores have six places, so one number sorts both
             order = np.argsort((q.astype(np.int64) << 40) - whole.astype(np.int64))
@@ -50,24 +51,24 @@ class Best:
         left = np.add.reduceat(keep.astype(np.int64), first)
         for a, n in zip(first[left > 2 * self.k], left[left > 2 * self.k]):
             rows = np.arange(a, a + n)
-            rows = rows[np.argsort(key[order[rows]], kind="stable")]
+            rows = rows[np.argsort((key[0] if key else ids)[order[rows]], kind="stable")]
             keep[rows[np.argsort(-ss[rows], kind="stable")][self.k :]] = False
         order = order[keep]
-        self.parts, self.waiting = [(q[order], score[order], key[order], ids[order])], 0
+        self.parts, self.waiting = [(q[order], score[order], ids[order], *(x[order] for x in key))], 0
 
     def batches(self, names: pa.Array, schema: pa.Schema, tied: bool) -> Iterator[pa.RecordBatch]:
         """(query_id, best): a row for each query that found something."""
         self.cut()
         if not self.parts:
             return
-        q, score, key, ids = self.parts[0]
+        q, score, ids, *key = self.parts[0]
         first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
         ends = np.append(first, len(q))
         kind = schema.field("best").type
         for at in range(0, len(first), QUERIES_A_BATCH):
             own = ends[at : at + QUERIES_A_BATCH + 1]
             a, b = own[0], own[-1]
-            fields = [pa.array(0.0 - score[a:b]), pa.array(key[a:b], pa.string()) if tied else pa.nulls(b - a, pa.string()), pa.array(ids[a:b], kind.value_type.field("id").type)]
+            fields = [pa.array(0.0 - score[a:b]), pa.array(key[0][a:b], pa.string()) if tied else pa.nulls(b - a, pa.string()), pa.array(ids[a:b], kind.value_type.field("id").type)]
             rows = pa.StructArray.from_arrays(fields, fields=list(kind.value_type))
             yield pa.RecordBatch.from_arrays([names.take(pa.array(q[own[:-1]])), pa.ListArray.from_arrays(pa.array((own - a).astype(np.int32)), rows, type=kind)], schema=schema)
 

@@ -80,12 +80,14 @@ def _scorer(sent, k: int, metric: str, skip_self: bool, tied: bool, schema: pa.S
                         score = np.round(np.divide(np.einsum("ij,ij->i", qs[mine[i]], x[j]), n, out=np.zeros(len(i)), where=n > 0), 6) + 0.0
                     good = np.isfinite(score) & (score >= best.bound[mine[i]])
                     i, j = i[good], j[good]
-                    best.add(mine[i], score[good], keys[j], names[j])
+                    got = names[j]
+                    best.add(mine[i], score[good], keys[j] if tied else got, got)
                 if len(blank):
                     least = np.argsort(keys, kind="stable")
                     for q in blank:
                         j = (least[names[least] != own[q]] if skip_self else least)[:k]
-                        best.add(np.full(len(j), q), np.zeros(len(j)), keys[j], names[j])
+                        got = names[j]
+                        best.add(np.full(len(j), q), np.zeros(len(j)), keys[j] if tied else got, got)
                 done += len(x)
                 if done >= due:
                     best.cut()

@@ -42,7 +42,7 @@ def corpus_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 QUERY_BYTES, QUERIES = 16 << 20, 50_000  # of questions that are scored in one pass over the index
-DOCS_FIRST, DOCS_AT_ONCE = 2048, 65_536  # the first documents of a task give the bounds for its others
+DOCS_FIRST, DOCS_AT_ONCE = 2048, 32_768  # the first documents of a task give the bounds for its others
 
 
 def write_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", acl_col: str | None = None) -> DataFrame:
@@ -110,6 +110,17 @@ def _scorer(sent, option: Bm25, k: int, guarded: bool, schema: pa.Schema):
                 held[own.drop_null().to_numpy(), of.filter(own.is_valid()).to_numpy()] = 1
             seen, hidden, least = -1, None, (best.bound - 1e-6).tolist()
             who, where, scores = [], [], []
+            names = batch.column("id").to_numpy(zero_copy_only=False)
+
+            def hand_on(who=who, where=where, scores=scores, names=names) -> None:
+                if who:
+                    score = np.round(np.concatenate(scores), 6)
+                    good = score > 0
+                    got = names[np.concatenate(where)[good]]
+                    best.add(np.repeat(who, [len(x) for x in where])[good], score[good], got, got)
+                    for x in (who, where, scores):
+                        x.clear()
+
             for q in turn:
                 t = terms[ends[q] : ends[q + 1]]
                 runs = [(a, b) for a, b in zip(begin[t].tolist(), begin[t + 1].tolist()) if a < b]
@@ -146,11 +157,10 @@ def _scorer(sent, option: Bm25, k: int, guarded: bool, schema: pa.Schema):
                     who.append(q)
                     where.append(found)
                     scores.append(own)
-            if who:
-                at, names = np.concatenate(where), batch.column("id").to_numpy(zero_copy_only=False)
-                score = np.round(np.concatenate(scores), 6)
-                best.add(np.repeat(who, [len(x) for x in where])[score > 0], score[score > 0], names[at[score > 0]], names[at[score > 0]])
-                best.cut()
+                    if len(who) == 2000:
+                        hand_on()
+            hand_on()
+            best.cut()
         yield from best.batches(ids, schema, tied=False)
 
     return run
